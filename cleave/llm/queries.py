@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Module of each query.
 MODULES = {
+    "op6_warc_zstandard": "warc",
     "op1_balanced_sharding": "sharding",
     "op3_perplexity_rules": "perplexity",
     "op10_quality_classifier": "quality",
