@@ -131,7 +131,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 16) -> Data
     fill = F.array(*(F.lit(int(e)) for e in ends))
     filled = F.size(F.filter(fill, lambda e: e <= F.col("rank")))
     placed = ranked.select("doc_id", "size", "text_crc32", "b", F.when(F.col("cells").isNotNull(), in_cells).otherwise(filled).cast("int").alias("shard"))
-    placed = materialise(placed, "shard-placed")
+    placed = materialise(placed.withColumn("b", F.pmod(F.xxhash64(F.lit("slot"), "doc_id"), F.lit(buckets))), "shard-placed")  # other buckets than those that chose the shard
     counts = placed.groupBy("shard", "b").agg(F.count("*").alias("n"))
     offsets = counts.select("shard", "b", _running(counts, ["shard"], ["b"], "n").alias("o"))  # shards x buckets rows
     slot = F.col("o") + F.row_number().over(W.partitionBy("shard", "b").orderBy("doc_id", "text_crc32")) - 1
