@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Module of each query.
 MODULES = {
+    "op7_suffix_dedup": "repeats",
     "op8_jaccard_join": "jaccard_join",
     "op6_warc_zstandard": "warc",
     "op1_balanced_sharding": "sharding",
