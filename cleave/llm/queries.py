@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Module of each query.
 MODULES = {
+    "op9_suffix_array_pieces": "sentencepiece_codec",
     "op5_template_decontamination": "decontaminate",
     "op7_suffix_dedup": "repeats",
     "op8_jaccard_join": "jaccard_join",
