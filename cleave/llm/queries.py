@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Module of each query.
 MODULES = {
+    "op2_licence_scan": "licences",
     "op4_language_fusion": "language_id",
     "op9_suffix_array_pieces": "sentencepiece_codec",
     "op5_template_decontamination": "decontaminate",
