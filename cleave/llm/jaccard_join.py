@@ -237,8 +237,11 @@ def similar_classes(docs: DataFrame, k: int, percent: int, block: int = 1000) ->
     classes = materialise(_classes(docs, k), "jaccard-classes")
     parts = materialise(_parts(docs, k, percent), "jaccard-parts")
     shared = parts.groupBy("sig").agg(F.min("cls").alias("low"), F.max("cls").alias("top")).where("low <> top").select("sig", "low")
-    near = materialise(parts.join(shared, "sig").where("cls <> low").select("low", "cls").distinct(), "jaccard-near")
-    clusters = materialise(connected_components(near, "low", "cls").toDF("cls", "cluster"), "jaccard-clusters")
+    near = parts.join(shared, "sig").where("cls <> low").select("low", "cls").distinct()
+    near = materialise(near.withColumn("least", F.min("low").over(W.partitionBy("cls"))), "jaccard-near")  # at most two rows a part of the class
+    # one edge from each class to its least partner, and from its other partners to that: as connected, and many classes agree on the latter
+    edges = near.select("cls", "least").union(near.where("low <> least").select("low", "least")).distinct()
+    clusters = materialise(connected_components(edges, "cls", "least").toDF("cls", "cluster"), "jaccard-clusters")
 
     large = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
     first = classes.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
