@@ -30,3 +30,55 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if not changed:
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def all_components(g) -> DataFrame:  # noqa: ANN001
+    """``id, component`` of every vertex; isolated ones are their own."""
+    found = connected_components(g.edges)
+    return g.vertices.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def component_sizes(g) -> DataFrame:  # noqa: ANN001
+    return all_components(g).groupBy("component").agg(F.count("*").alias("size"))
+
+
+def largest_component(g) -> DataFrame:  # noqa: ANN001
+    """``id`` of the vertices of the largest component; ties go to the smaller label."""
+    found = materialise(all_components(g), "components")
+    best = found.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(1).select("component")
+    return found.join(F.broadcast(best), "component").select("id")
+
+
+def bfs(g, sources: DataFrame, max_depth: int | None = None) -> DataFrame:  # noqa: ANN001
+    """``id, distance, parent`` of what ``sources(id)`` reach; the parent is the smallest one a step closer."""
+    arcs = materialise(g.arcs().select("src", "dst"), "bfs-arcs")
+    seen = materialise(sources.select("id", F.lit(0).alias("distance"), F.lit(None).cast("long").alias("parent")).distinct(), "bfs")
+    front, depth = seen, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        step = arcs.join(front.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        front = materialise(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("distance"), "parent"), "bfs")
+        if not front.limit(1).count():
+            break
+        seen = materialise(seen.union(front), "bfs-seen") if depth % 8 == 0 else seen.union(front)
+    return seen
+
+
+def core_numbers(g, max_rounds: int = 200) -> DataFrame:  # noqa: ANN001
+    """``id, core``: each vertex takes the h-index of its neighbours' values, starting from degrees, until nothing changes."""
+    from cleave.operators.relational import degrees
+
+    arcs = materialise(g.arcs().select("src", "dst"), "core-arcs")
+    core = materialise(degrees(g).select("id", F.col("degree").alias("core")), "core")
+    for _ in range(max_rounds):
+        near = arcs.join(core.select(F.col("id").alias("dst"), F.col("core").alias("c")), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.count("*").alias("k"))
+        from pyspark.sql import Window as W
+
+        upto = near.withColumn("h", F.least(F.col("c"), F.sum("k").over(W.partitionBy("id").orderBy(F.desc("c")))))
+        h = upto.groupBy("id").agg(F.max("h").alias("h"))
+        new = materialise(core.join(h, "id", "left").select("id", F.col("core").alias("old"), F.least("core", F.coalesce("h", F.lit(0))).alias("core")), "core")
+        changed = new.where("old <> core").limit(1).count()
+        core = new.select("id", "core")
+        if not changed:
+            return core
+    raise RuntimeError(f"cores did not settle in {max_rounds} rounds")

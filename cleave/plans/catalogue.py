@@ -1,4 +1,142 @@
-"""Every query of the graph operators by name, and the SQL that gives the same rows."""
+"""Every query of the graph operators by name, over whole tables, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cleave.graph import Graph, canonical
+from cleave.operators import components as C
+from cleave.operators import reduce as R
+from cleave.operators import relational as L
+from cleave.plans import cuts as P
+from cleave.session import materialise
+from cleave.sources import tables as T
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+# Graphs in SQL, each as e(src, dst, weight) and v(id).
+_TRADE = """r AS (SELECT {c} AS a, {s} AS b, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+JOIN supplier ON l_suppkey = s_suppkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON s_nationkey = sn.n_nationkey GROUP BY 1, 2),
+e AS (SELECT CAST(least(a, b) AS BIGINT) AS src, CAST(greatest(a, b) AS BIGINT) AS dst, CAST(sum(w) AS BIGINT) AS weight FROM r WHERE a <> b GROUP BY 1, 2)"""
+NATION = _TRADE.format(c="cn.n_nationkey", s="sn.n_nationkey") + ", v AS (SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation)"
+REGION = _TRADE.format(c="cn.n_regionkey", s="sn.n_regionkey") + ", v AS (SELECT CAST(r_regionkey AS BIGINT) AS id FROM region)"
+_V = ", v AS (SELECT DISTINCT id FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e))"
+_E = "e AS (SELECT CAST(least(a, b) AS BIGINT) AS src, CAST(greatest(a, b) AS BIGINT) AS dst, CAST(sum(w) AS BIGINT) AS weight FROM r WHERE a <> b GROUP BY 1, 2)" + _V
+MARKET = f"""sg AS (SELECT c_mktsegment, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS i FROM (SELECT DISTINCT c_mktsegment FROM customer)),
+pr AS (SELECT o_orderpriority, dense_rank() OVER (ORDER BY o_orderpriority) + 99 AS i FROM (SELECT DISTINCT o_orderpriority FROM orders)),
+r AS (SELECT sg.i AS a, pr.i AS b, count(*) AS w FROM orders JOIN customer ON o_custkey = c_custkey JOIN sg USING (c_mktsegment) JOIN pr USING (o_orderpriority) GROUP BY 1, 2
+UNION ALL SELECT sg.i, n_regionkey + 200, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN sg USING (c_mktsegment) GROUP BY 1, 2), {_E}"""
+CUSTOMER_SUPPLIER = f"r AS (SELECT 2 * o_custkey + 1 AS a, 2 * l_suppkey AS b, 1 AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey), {_E}"
+PART_SUPPLIER = f"r AS (SELECT 2 * l_partkey + 1 AS a, 2 * l_suppkey AS b, 1 AS w FROM lineitem), {_E}"
+FOREST = f"r AS (SELECT 2 * c_custkey + 1 AS a, 2 * c_nationkey AS b, 1 AS w FROM customer), {_E}"
+ARCS = "arcs AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e)"
+DEG = ARCS + ", deg AS (SELECT v.id, count(dst) AS degree, CAST(coalesce(sum(weight), 0) AS BIGINT) AS weighted FROM v LEFT JOIN arcs ON v.id = src GROUP BY v.id)"
+#: Cuts of a small graph as bit masks over the vertices but the smallest: u(id, k), masks(mask, value).
+MASKS = """u AS (SELECT id, row_number() OVER (ORDER BY id) - 2 AS k FROM v), ek AS (SELECT a.k AS ka, b.k AS kb, weight FROM e JOIN u a ON src = a.id JOIN u b ON dst = b.id),
+m AS (SELECT unnest(range(1, CAST(power(2, (SELECT count(*) - 1 FROM v)) AS BIGINT))) AS mask),
+masks AS (SELECT mask, CAST(sum(weight) AS BIGINT) AS value FROM m, ek WHERE (CASE WHEN ka < 0 THEN 0 ELSE (mask >> ka) & 1 END) <> (CASE WHEN kb < 0 THEN 0 ELSE (mask >> kb) & 1 END) GROUP BY mask),
+best AS (SELECT min(value) AS value FROM masks)"""
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _blocks(s: SparkSession, d: str) -> DataFrame:
+    return T.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("block"))
+
+
+def _kept(g: Graph, name: str) -> Graph:
+    """The graph as written tables, for queries that use it many times."""
+    return Graph(materialise(g.edges, f"{name}-edges"), materialise(g.vertices, f"{name}-vertices"))
+
+
+def _simple(name: str, source: Callable[[SparkSession, str], Graph], f: Callable[[Graph], DataFrame], sql: str | None = None) -> None:
+    query(name, sql)(lambda s, d: f(source(s, d)))
+
+
+BL = "bl AS (SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS BIGINT) AS block FROM nation), eb AS (SELECT e.*, a.block AS b1, b.block AS b2 FROM e JOIN bl a ON src = a.id JOIN bl b ON dst = b.id)"
+
+_simple("edges_canonical", T.nation_trade, lambda g: g.edges, f"WITH {NATION} SELECT src, dst, weight FROM e")
+_simple("arcs_both_ways", T.nation_trade, lambda g: g.arcs(), f"WITH {NATION}, {ARCS} SELECT * FROM arcs")
+_simple("arcs_reverse", T.nation_trade, L.reverse_arcs, f"WITH {NATION}, {ARCS} SELECT a.src, a.dst, a.weight, b.weight AS back_weight FROM arcs a JOIN arcs b ON a.src = b.dst AND a.dst = b.src")
+_simple("deg_weighted", T.customer_supplier, L.degrees, f"WITH {CUSTOMER_SUPPLIER}, {DEG} SELECT * FROM deg")
+_simple("deg_extrema", T.customer_supplier, L.extrema, f"WITH {CUSTOMER_SUPPLIER}, {DEG} SELECT min(weighted) AS min_weighted, max(weighted) AS max_weighted, max(degree) AS max_degree, CAST(sum(weighted) AS BIGINT) AS total_weighted, count(*) AS n, (SELECT count(*) FROM e) AS m FROM deg")
+_simple("deg_percentile", T.customer_supplier, lambda g: L.degree_percentile(g, 0.9), f"WITH {CUSTOMER_SUPPLIER}, {DEG}, o AS (SELECT weighted, row_number() OVER (ORDER BY weighted) AS r, count(*) OVER () AS n FROM deg) SELECT weighted AS percentile_degree FROM o WHERE r = CAST(floor(n * 0.9) AS BIGINT) + 1")
+_simple("topk_degree", T.part_supplier, lambda g: L.top_degrees(g, 20), f"WITH {PART_SUPPLIER}, {DEG} SELECT * FROM deg ORDER BY weighted DESC, id LIMIT 20")
+_simple("topk_degree_unweighted", T.part_supplier, lambda g: L.top_degrees(g, 20, weighted=False), f"WITH {PART_SUPPLIER}, {DEG} SELECT * FROM deg ORDER BY degree DESC, id LIMIT 20")
+_simple("graph_validity", T.customer_supplier, lambda g: g.violations(), "SELECT rule, CAST(0 AS BIGINT) AS n FROM (VALUES ('loop'), ('order'), ('weight'), ('parallel'), ('unknown_source'), ('unknown_target'), ('repeated_vertex')) x(rule)")
+_simple("flow_graph_arcs", T.nation_trade, L.flow_arcs, f"WITH {NATION}, {ARCS} SELECT src, dst, weight AS capacity, false AS residual FROM arcs UNION ALL SELECT dst, src, 0, true FROM arcs")
+query("edge_cut_by_region", f"WITH {NATION}, {BL} SELECT CAST(coalesce(sum(weight), 0) AS BIGINT) AS cut_weight, count(*) AS cut_edges FROM eb WHERE b1 <> b2")(lambda s, d: L.edge_cut(T.nation_trade(s, d), _blocks(s, d)))
+query("cut_edges_by_region", f"WITH {NATION}, {BL} SELECT src, dst, weight FROM eb WHERE b1 <> b2")(lambda s, d: L.cut_edges(T.nation_trade(s, d), _blocks(s, d)))
+query("block_matrix_region", f"WITH {NATION}, {BL} SELECT least(b1, b2) AS block_a, greatest(b1, b2) AS block_b, CAST(sum(weight) AS BIGINT) AS weight FROM eb WHERE b1 <> b2 GROUP BY 1, 2")(lambda s, d: L.block_matrix(T.nation_trade(s, d), _blocks(s, d)))
+query("contract_by_region", f"WITH {NATION}, {BL} SELECT least(b1, b2) AS src, greatest(b1, b2) AS dst, CAST(sum(weight) AS BIGINT) AS weight FROM eb WHERE b1 <> b2 GROUP BY 1, 2")(lambda s, d: L.contract(T.nation_trade(s, d), _blocks(s, d)).edges)
+query("extract_region", f"WITH {NATION}, {BL} SELECT src, dst, weight FROM eb WHERE b1 = 1 AND b2 = 1")(lambda s, d: L.induced(T.nation_trade(s, d), _blocks(s, d).where("block = 1")).edges)
+query("delete_region", f"WITH {NATION}, {BL} SELECT src, dst, weight FROM eb WHERE b1 <> 1 AND b2 <> 1")(lambda s, d: L.delete_vertices(T.nation_trade(s, d), _blocks(s, d).where("block = 1")).edges)
+query("delete_cut_edges", f"WITH {NATION}, {BL} SELECT src, dst, weight FROM eb WHERE b1 = b2")(lambda s, d: (lambda g: L.delete_edges(g, L.cut_edges(g, _blocks(s, d))).edges)(T.nation_trade(s, d)))
+query("set_weights_tenfold", f"WITH {NATION}, {BL} SELECT src, dst, CASE WHEN b1 = b2 THEN weight * 10 ELSE weight END AS weight FROM eb")(lambda s, d: (lambda g: L.set_weights(g, L.with_blocks(g, _blocks(s, d)).where("b1 = b2").select("src", "dst", (F.col("weight") * 10).alias("weight"))).edges)(T.nation_trade(s, d)))
+query("term_edge_deletion", f"WITH {NATION}, {BL} SELECT CAST(coalesce(sum(weight), 0) AS BIGINT) AS deleted_weight FROM eb WHERE b1 = 0 AND b2 = 0")(lambda s, d: L.delete_terminal_edges(T.nation_trade(s, d), _blocks(s, d).where("block = 0"))[1])
+query("remap_dense", "WITH b AS (SELECT CAST(n_nationkey AS BIGINT) AS id, 7 * n_regionkey AS block FROM nation), l AS (SELECT block, min(id) AS low FROM b GROUP BY block) SELECT b.id, dense_rank() OVER (ORDER BY low) - 1 AS block FROM b JOIN l USING (block)")(lambda s, d: L.dense_ids(_blocks(s, d).withColumn("block", F.col("block") * 7)))
+_simple("heavy_vertex_removal", T.customer_supplier, lambda g: L.without_heavy(g, 0.9).edges, f"WITH {CUSTOMER_SUPPLIER}, {DEG}, o AS (SELECT weighted, row_number() OVER (ORDER BY weighted) AS r, count(*) OVER () AS n FROM deg), p AS (SELECT weighted AS x FROM o WHERE r = CAST(floor(n * 0.9) AS BIGINT) + 1), k AS (SELECT id FROM deg, p WHERE weighted < x) SELECT src, dst, CAST(1 AS BIGINT) AS weight FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)")
+query("cactus_block_histogram", "WITH z AS (SELECT count(*) AS size FROM customer GROUP BY c_nationkey) SELECT count(CASE WHEN size = 0 THEN 1 END) AS empty, count(CASE WHEN size >= 1 THEN 1 END) AS at_least_1, count(CASE WHEN size >= 10 THEN 1 END) AS at_least_10, count(CASE WHEN size >= 100 THEN 1 END) AS at_least_100, count(CASE WHEN size >= 1000 THEN 1 END) AS at_least_1000, count(CASE WHEN size >= 10000 THEN 1 END) AS at_least_10000 FROM z")(lambda s, d: L.size_histogram(T.table(s, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("size"))))
+
+CC = "cc AS (SELECT 2 * c_custkey + 1 AS id, 2 * c_nationkey AS hub FROM customer), lab AS (SELECT hub, least(min(id), hub) AS component FROM cc GROUP BY hub), comp AS (SELECT CAST(id AS BIGINT) AS id, CAST(component AS BIGINT) AS component FROM cc JOIN lab USING (hub) UNION ALL SELECT CAST(hub AS BIGINT), CAST(component AS BIGINT) FROM lab)"
+_simple("components", T.customer_nation, C.all_components, f"WITH {CC} SELECT * FROM comp")
+_simple("component_sizes", T.customer_nation, C.component_sizes, f"WITH {CC} SELECT component, count(*) AS size FROM comp GROUP BY component")
+_simple("largest_component", T.customer_nation, C.largest_component, f"WITH {CC}, s AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT id FROM comp WHERE component IN (SELECT component FROM s)")
+query("bfs_distance", f"WITH RECURSIVE {PART_SUPPLIER}, {ARCS}, s AS (SELECT min(id) AS id FROM v), b AS (SELECT id, 0 AS distance FROM s UNION SELECT dst, distance + 1 FROM b JOIN arcs ON src = b.id WHERE distance < 8) SELECT id, min(distance) AS distance FROM b GROUP BY id")(lambda s, d: (lambda g: C.bfs(g, g.vertices.agg(F.min("id").alias("id"))).select("id", "distance"))(_kept(T.part_supplier(s, d), "bfs")))
+_simple("kcore_membership", T.nation_trade, C.core_numbers)
+_simple("kcore_customer_supplier", lambda s, d: _kept(T.customer_supplier(s, d), "core"), C.core_numbers)
+
+_LOW = "low AS (SELECT min(weighted) AS x FROM deg)"
+_simple("pr1_heavy_edges", T.nation_trade, lambda g: R.heavy_edges(g, 500), f"WITH {NATION} SELECT src, dst FROM e WHERE weight >= 500")
+_simple("pr2_heavy_vertices", T.market, R.heavy_vertices, f"WITH {MARKET}, {DEG} SELECT src, dst FROM e JOIN deg a ON src = a.id JOIN deg b ON dst = b.id WHERE 2 * weight > a.weighted OR 2 * weight > b.weighted")
+TRI = "tri AS (SELECT x.src AS a, x.dst AS b, y.dst AS c, x.weight AS w_ab, z.weight AS w_ac, y.weight AS w_bc FROM e x JOIN e y ON x.dst = y.src JOIN e z ON z.src = x.src AND z.dst = y.dst)"
+_simple("triangles", T.nation_trade, R.all_triangles, f"WITH {NATION}, {TRI} SELECT * FROM tri")
+_simple("pr3_triangles", T.region_trade, R.triangle_pairs, f"WITH {REGION}, {DEG}, {TRI}, p AS (SELECT a AS u, b AS v, w_ab AS w, w_ac AS wu, w_bc AS wv FROM tri UNION ALL SELECT a, c, w_ac, w_ab, w_bc FROM tri UNION ALL SELECT b, c, w_bc, w_ab, w_ac FROM tri) SELECT DISTINCT u AS src, p.v AS dst FROM p JOIN deg x ON u = x.id JOIN deg y ON p.v = y.id WHERE 2 * (w + wu) >= x.weighted AND 2 * (w + wv) >= y.weighted")
+_simple("pr4_common", T.nation_trade, lambda g: R.common_neighbours(g, 3000), f"WITH {NATION}, {TRI}, p AS (SELECT a AS src, b AS dst, least(w_ac, w_bc) AS o FROM tri UNION ALL SELECT a, c, least(w_ab, w_bc) FROM tri UNION ALL SELECT b, c, least(w_ab, w_ac) FROM tri), s AS (SELECT src, dst, sum(o) AS o FROM p GROUP BY 1, 2) SELECT e.src, e.dst FROM e LEFT JOIN s USING (src, dst) WHERE weight + coalesce(o, 0) >= 3000")
+_simple("heavy_triangles", T.nation_trade, lambda g: R.heavy_triangles(g, 300), f"WITH {NATION}, {TRI} SELECT a, b, c FROM tri WHERE w_ab + w_ac + w_bc - greatest(w_ab, w_ac, w_bc) > 300")
+_simple("degree_one", T.customer_nation, R.degree_one, f"WITH {FOREST}, {DEG} SELECT arcs.src AS id, arcs.dst AS anchor, arcs.weight FROM arcs JOIN deg ON arcs.src = deg.id WHERE degree = 1")
+_simple("equal_neighbourhood", T.customer_nation, R.equal_neighbourhoods, f"WITH {FOREST}, {DEG}, n AS (SELECT arcs.src AS id, list(arcs.dst ORDER BY arcs.dst) AS near, list(arcs.weight ORDER BY arcs.dst) AS w FROM arcs JOIN deg ON arcs.src = deg.id WHERE degree BETWEEN 1 AND 50 GROUP BY 1), f AS (SELECT near, w, min(id) AS a FROM n GROUP BY 1, 2) SELECT f.a, n.id AS b FROM n JOIN f ON n.near = f.near AND n.w = f.w WHERE f.a <> n.id")
+_simple("label_prop_round", T.customer_supplier, lambda g: R.label_propagation(g, 1), f"WITH {CUSTOMER_SUPPLIER}, {ARCS}, r2 AS (SELECT src AS id, dst AS label, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM arcs) SELECT id, label FROM r2 WHERE k = 1")
+_simple("second_choice", T.customer_supplier, R.second_choice, f"WITH {CUSTOMER_SUPPLIER}, {ARCS}, r2 AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM arcs) SELECT src AS id, max(CASE WHEN k = 1 THEN dst END) AS first, max(CASE WHEN k = 2 THEN weight END) AS second FROM r2 WHERE k <= 2 GROUP BY src")
+query("cluster_gain", f"WITH {NATION}, {BL} SELECT id, block, CAST(sum(CASE WHEN block = other THEN weight ELSE 0 END) AS BIGINT) AS inside, CAST(sum(CASE WHEN block <> other THEN weight ELSE 0 END) AS BIGINT) AS outside FROM (SELECT src AS id, b1 AS block, b2 AS other, weight FROM eb UNION ALL SELECT dst, b2, b1, weight FROM eb) GROUP BY id, block")(lambda s, d: R.cluster_cut_gain(T.nation_trade(s, d), _blocks(s, d)))
+_simple("random_matching", T.nation_trade, lambda g: R.matching(g.edges.select("src", "dst"), 7))
+_simple("weighted_edge_sample", T.nation_trade, lambda g: R.sampled_edges(g, 10, 7))
+
+_VALUE = "SELECT value AS cut_value, (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM e) AS m, true AS consistent FROM best"
+for _name, _algorithm in (("min_cut_value", "exact"), ("min_cut_noi", "noi"), ("min_cut_stoer_wagner", "stoer_wagner"), ("min_cut_karger_stein", "ks")):
+    _simple(_name, lambda s, d: _kept(T.market(s, d), "market"), lambda g, a=_algorithm: P.min_cut_value(g, a), f"WITH {MARKET}, {MASKS} {_VALUE}")
+for _name, _algorithm in (("min_cut_matula", "matula"), ("min_cut_padberg_rinaldi", "pr"), ("min_cut_multilevel", "vc")):
+    _simple(_name, lambda s, d: _kept(T.market(s, d), "market"), lambda g, a=_algorithm: P.min_cut_value(g, a))
+_simple("min_cut_nations", lambda s, d: _kept(T.nation_trade(s, d), "nations"), P.min_cut_value)
+_simple("min_cut_contracted", lambda s, d: _kept(T.nation_trade(s, d), "nations"), lambda g: P.contract_then_cut(g, 0.3, 5))
+_simple("min_cut_without_heavy", lambda s, d: _kept(T.nation_trade(s, d), "nations"), lambda g: P.heavy_vertices_cut(g, 0.9))
+_simple("min_cut_all", lambda s, d: _kept(T.market(s, d), "market"), P.cut_list, f"WITH {MARKET}, {MASKS} SELECT value AS cut_value, (SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FROM u WHERE k >= 0 AND (mask >> k) & 1 = 1) AS members FROM masks JOIN best USING (value)")
+_simple("min_cut_count", lambda s, d: _kept(T.market(s, d), "market"), lambda g: P.cut_list(g).groupBy("cut_value").agg(F.count("*").alias("cuts")), f"WITH {MARKET}, {MASKS} SELECT value AS cut_value, count(*) AS cuts FROM masks JOIN best USING (value) GROUP BY value")
+_SIDES = "x AS (SELECT mask, value, (SELECT sum({w}) FROM u JOIN deg USING (id) WHERE k >= 0 AND (mask >> k) & 1 = 1) AS a, (SELECT sum({w}) FROM deg) AS t FROM masks JOIN best USING (value)) SELECT value AS cut_value, CAST(max(least(a, t - a)) AS BIGINT) AS lighter FROM x GROUP BY value"
+_simple("most_balanced", lambda s, d: _kept(T.market(s, d), "market"), P.balanced_cut, f"WITH {MARKET}, {DEG}, {MASKS}, " + _SIDES.format(w="1"))
+_simple("min_conductance", lambda s, d: _kept(T.market(s, d), "market"), lambda g: P.balanced_cut(g, "volume"), f"WITH {MARKET}, {DEG}, {MASKS}, " + _SIDES.format(w="weighted"))
+_simple("cactus_nodes", lambda s, d: _kept(T.market(s, d), "market"), lambda g: P.cactus(g)[0].select("node_id", F.array_join(F.transform("contained", lambda x: x.cast("string")), ",").alias("contained")))
+_simple("cactus_edges", lambda s, d: _kept(T.market(s, d), "market"), lambda g: P.cactus(g)[1])
+_ST = "(mask & (SELECT CAST(sum(1 << k) AS BIGINT) FROM u WHERE id IN ({ids})))"
+_simple("st_min_cut", lambda s, d: _kept(T.market(s, d), "market"), lambda g: P.st_cut(g, [0, 204]).select("flow").distinct(), f"WITH {MARKET}, {MASKS} SELECT min(value) AS flow FROM masks WHERE {_ST.format(ids='204')} <> 0")
+_simple("st_source_side", lambda s, d: _kept(T.market(s, d), "market"), lambda g: P.st_cut(g, [0, 4, 204]), f"WITH {MARKET}, {MASKS}, t AS (SELECT mask, value FROM masks WHERE {_ST.format(ids='4, 204')} = (SELECT CAST(sum(1 << k) AS BIGINT) FROM u WHERE id IN (4, 204))), f AS (SELECT bit_and(mask) AS mask, min(value) AS value FROM t WHERE value = (SELECT min(value) FROM t)) SELECT value AS flow, id FROM f, u WHERE k < 0 OR (mask >> k) & 1 = 0")
+_simple("isolating_cuts", lambda s, d: _kept(T.market(s, d), "market"), lambda g: P.isolating_cuts(g, [0, 100, 200]).select("terminal", "flow"), f"WITH {MARKET}, {MASKS}, q AS (SELECT CAST(sum(CASE WHEN id = 100 THEN 1 << k ELSE 0 END) AS BIGINT) AS b, CAST(sum(CASE WHEN id = 200 THEN 1 << k ELSE 0 END) AS BIGINT) AS c FROM u WHERE k >= 0) SELECT CAST(0 AS BIGINT) AS terminal, min(CASE WHEN mask & b <> 0 AND mask & c <> 0 THEN value END) AS flow FROM masks, q UNION ALL SELECT 100, min(CASE WHEN mask & b <> 0 AND mask & c = 0 THEN value END) FROM masks, q UNION ALL SELECT 200, min(CASE WHEN mask & b = 0 AND mask & c <> 0 THEN value END) FROM masks, q")
+_simple("isolating_bounds", lambda s, d: _kept(T.market(s, d), "market"), lambda g: P.multiterminal_bounds(g, [0, 100, 200]))
+_simple("multiterminal_value", lambda s, d: _kept(T.region_trade(s, d), "region"), lambda g: P.multiterminal_value(g, [0, 1, 2]), f"WITH {REGION}, a AS (SELECT x.range AS x, y.range AS y FROM range(3) x, range(3) y), b AS (SELECT x, y, sum(CASE WHEN (CASE src WHEN 3 THEN x WHEN 4 THEN y ELSE src END) <> (CASE dst WHEN 3 THEN x WHEN 4 THEN y ELSE dst END) THEN weight ELSE 0 END) AS w FROM a, e GROUP BY x, y) SELECT CAST(min(w) AS BIGINT) AS cut_value, true AS is_optimal FROM b")
+_simple("multiterminal_nations", lambda s, d: _kept(T.nation_trade(s, d), "nations"), lambda g: P.multiterminal_value(g, [0, 1, 2, 3]))
+_simple("articulation_and_bridges", lambda s, d: T.customer_nation(s, d), P.structure, f"WITH {FOREST}, {DEG} SELECT 'point' AS kind, id AS u, CAST(NULL AS BIGINT) AS v FROM deg WHERE degree > 1 UNION ALL SELECT 'bridge', src, dst FROM e")
+_simple("cliques_maximal", lambda s, d: _kept(T.market(s, d), "market"), P.cliques, f"WITH {MARKET} SELECT src || ',' || dst AS members FROM e")
+query("dynamic_prefix_cut")(lambda s, d: P.replay(T.event_updates(s, d)).select("ts", "cut_value", "changes"))
