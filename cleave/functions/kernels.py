@@ -92,7 +92,7 @@ def scan(g: Adj, bound: int, start: int) -> list[tuple[int, int]]:
 
 
 def noi(g: Adj, approximate: bool = False, seed: int = 0) -> tuple[int | None, list[int]]:
-    """Value and one side of a minimum cut (None under two vertices); ``approximate`` halves the bound, for a value below (2+e) times the least."""
+    """Value and one side of a minimum cut (None under two vertices); ``approximate`` halves the bound, for a value of at most twice the least."""
     if len(g) < 2:
         return None, []
     parts = components(g)
@@ -102,7 +102,7 @@ def noi(g: Adj, approximate: bool = False, seed: int = 0) -> tuple[int | None, l
     best = Bound(g)
     best.trivial(g)
     while len(g) > 1 and best.value:
-        limit = max(best.value // 2, 1) if approximate else best.value
+        limit = (best.value + 1) // 2 if approximate else best.value
         pairs = scan(g, limit, rng.choice(sorted(g)))
         home: dict[int, int] = {}
 
