@@ -133,7 +133,7 @@ def identify(pages: DataFrame, docs: DataFrame, strength: float = 10.0) -> DataF
 
     whole = scored.agg(F.array(*each).alias("n"))
     base = whole.select(smooth(F.col("n"), F.array_repeat(F.lit(1.0 / k), k)).alias("prior")).first()[0]  # one row of k numbers
-    total = F.array(*(F.lit(float(x)) for x in base))
+    total = F.array(*(F.lit(1.0 / k if x is None else float(x)) for x in base or [None] * k))
     suffixes = sums(["suffix"]).select("suffix", smooth(F.col("n"), total).alias("of_suffix"))
     sites = sums(["suffix", "site"]).join(suffixes, "suffix").select("site", smooth(F.col("n"), F.col("of_suffix")).alias("of_site"))
     hosts = sums(["site", "host"]).where("host is not null").join(sites, "site").select("host", smooth(F.col("n"), F.col("of_site")).alias("prior"))

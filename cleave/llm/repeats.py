@@ -34,7 +34,7 @@ from cleave.session import materialise
 U64 = np.uint64
 NO_ID = -(1 << 63)
 #: Bytes of contexts that a task merges at once, and shards they are cut into.
-MERGE_BYTES, SHARDS = 2 << 20, 4
+MERGE_BYTES, SHARDS = 512 << 10, 2
 
 
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -71,7 +71,7 @@ def contexts(t: Texts, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _candidates(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """``anchor, context, id, lo, n, done``: the contexts of all texts; ``done`` where an equal one comes earlier in the task's chunk."""
+    """``anchor, context, id, lo, n, done``: the contexts of all texts; ``done`` (with a scattered anchor) where an equal one comes earlier in the task's chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, t in chunks(batches, "_text"):
@@ -88,6 +88,8 @@ def _candidates(docs: DataFrame, width: int, k: int) -> DataFrame:
             done = np.zeros(len(key), bool)
             lead = order[leader]
             done[order] = same & ((ids[lead] != ids[order]) | (lo[lead] != lo[order]))
+            with np.errstate(over="ignore"):  # what is done needs no meeting; it goes anywhere
+                anchor = np.where(done, mix(ids.astype(np.uint64) + mix(lo.astype(np.uint64))), anchor)
             yield pa.RecordBatch.from_arrays([pa.array(to_signed(anchor)), pa.array(to_signed(context)), pa.array(ids), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(done)], names=["anchor", "context", "id", "lo", "n", "done"])
 
     return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text").alias("_text")).mapInArrow(run, "anchor long, context long, id long, lo int, n int, done boolean")
@@ -96,9 +98,9 @@ def _candidates(docs: DataFrame, width: int, k: int) -> DataFrame:
 def _resolve(candidates: DataFrame) -> DataFrame:
     """``id, lo, n, anchor``: repeating windows (no anchor) and contested contexts (with theirs).
 
-    Each task reads its rows in the order of (anchor, context, done, id, lo), batch by batch, and keeps one row of state.
+    Each task reads its rows in the order of (anchor, context, id, lo), batch by batch, and keeps one row of state.
     """
-    rows = candidates.repartition("anchor").sortWithinPartitions("anchor", "context", "done", "id", "lo")
+    rows = candidates.repartition("anchor").sortWithinPartitions("anchor", "context", "id", "lo")
     names = ["id", "lo", "n", "anchor"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +110,14 @@ def _resolve(candidates: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            anchor, context, ids, lo, n, done = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            *cols, done = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            if done.any():
+                _, _, ids, lo, n = (c[done] for c in cols)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lo), pa.array(n), pa.nulls(len(ids), pa.int64())], names=names)
+            anchor, context, ids, lo, n = (c[~done] for c in cols)
             size = len(anchor)
+            if not size:
+                continue
             fresh_anchor, fresh = np.ones(size, bool), np.ones(size, bool)
             fresh_anchor[1:] = anchor[1:] != anchor[:-1]
             fresh[1:] = fresh_anchor[1:] | (context[1:] != context[:-1])
@@ -122,7 +130,7 @@ def _resolve(candidates: DataFrame) -> DataFrame:
             if not fresh[0]:
                 carried = lead < 0
                 lead_id[carried], lead_lo[carried] = last[2], last[3]
-            repeat = ~fresh & (done | (lead_id != ids) | (lead_lo != lo))
+            repeat = ~fresh & ((lead_id != ids) | (lead_lo != lo))
             # classes of each anchor in this batch
             group = np.cumsum(fresh_anchor) - (1 if fresh_anchor[0] else 0)
             count = np.bincount(group, fresh, minlength=group[-1] + 1)
@@ -145,21 +153,29 @@ def _resolve(candidates: DataFrame) -> DataFrame:
 
 
 def suffix_array(symbols: np.ndarray, string: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of all strings (each ends with symbol 0) in the order of their first ``depth`` symbols, then of position."""
-    rank = symbols.astype(np.int64)
-    order, h = np.argsort(rank, kind="stable"), 1
-    while h < depth:
-        second = np.zeros(len(rank), np.int64)
-        inside = string[h:] == string[:-h]
-        second[:-h][inside] = rank[h:][inside] + 1
-        key = rank * (int(rank.max()) + 2) + second
-        order = np.argsort(key, kind="stable")
+    """Suffixes of all strings (each ends with symbol 0) in the order of their first ``depth`` symbols or more, then of position."""
+    size = len(symbols)
+    h = 8 if symbols.dtype == np.uint8 else 1
+    key = symbols.astype(np.uint64)
+    for j in range(1, h):  # the first symbols side by side in one number
+        key <<= U64(8)
+        inside = string[j:] == string[:-j]
+        key[: size - j] |= np.where(inside, symbols[j:], 0).astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    rank = np.empty(size, np.int64)
+    while True:
         key = key[order]
-        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        new = key[1:] != key[:-1]
+        rank[order] = np.concatenate([[0], np.cumsum(new)])
+        if h >= depth or new.all():
+            return order
+        second = np.zeros(size, np.int64)
+        if size > h:
+            inside = string[h:] == string[:-h]
+            second[:-h][inside] = rank[h:][inside] + 1
+        key = rank * (size + 2) + second
+        order = np.argsort(key, kind="stable")
         h *= 2
-        if rank.max() == len(rank) - 1:
-            break
-    return order
 
 
 def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,29 +183,27 @@ def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarr
 
     Common prefixes are exact below ``depth`` and ``depth`` from there on.
     """
-    bwt = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(x) for x in transforms])
-    ends = [np.count_nonzero(x == 0) for x in transforms]
-    head = np.repeat(np.arange(len(transforms), dtype=np.uint8), ends)  # rows of the strings' ends stay in shard order
-    m, size = len(head), len(bwt)
+    z = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(x) for x in transforms])
+    head = np.repeat(np.arange(len(transforms), dtype=np.uint8), [np.count_nonzero(x == 0) for x in transforms])  # rows of the strings' ends stay in shard order
+    m, size = len(head), len(z)
     common = np.full(size, depth, np.uint8)
     common[0] = 0
     block = np.zeros(size, np.int32)
-    z = shard
+    symbol = np.empty(size, transforms[0].dtype)
+    parted = np.ones(size, bool)
     for h in range(depth):
-        symbol = np.empty(size, bwt.dtype)
-        symbol[np.argsort(z, kind="stable")] = bwt
+        for s, own in enumerate(transforms):
+            symbol[z == s] = own
         order = np.argsort(symbol, kind="stable")
         first, under = symbol[order], block[order]
         z = z[order]
         z[:m] = head
-        parted = np.ones(size, bool)
-        parted[1:] = (first[1:] != first[:-1]) | (under[1:] != under[:-1])
+        np.not_equal(under[1:], under[:-1], out=parted[1:])
+        parted[1:] |= first[1:] != first[:-1]
         parted[1:m] = h > 0  # an end equals nothing beyond itself
-        found = parted & (common == depth)
-        common[found] = h
-        block = np.cumsum(parted, dtype=np.int32)
-        if h and not (common == depth).any():
+        common[parted & (common == depth)] = h
+        np.cumsum(parted, dtype=np.int32, out=block)
+        if h and block[-1] == size:
             break
     return z, common
 
@@ -197,7 +211,9 @@ def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarr
 def repeating_windows(strings: list[bytes], windows: np.ndarray, ids: np.ndarray, lo: np.ndarray, width: int, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
     """Id and start of each window that an earlier one of the strings' windows equals."""
     length = np.array([len(s) + 1 for s in strings])
-    data = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.uint16) + 1
+    raw = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
+    used = np.bincount(raw, minlength=256) > 0  # UTF-8 leaves byte values unused, so the end and all symbols fit in a byte
+    data = np.cumsum(used).astype(np.uint8 if np.count_nonzero(used) < 256 else np.uint16)[raw]
     ends = np.cumsum(length)
     data[ends - 1] = 0
     cut = np.unique(np.linspace(0, len(strings), min(shards, len(strings)) + 1).astype(int))
@@ -206,7 +222,7 @@ def repeating_windows(strings: list[bytes], windows: np.ndarray, ids: np.ndarray
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         start, end = ends[a] - length[a], ends[b - 1]
         part, own = data[start:end], string[start:end]
-        sa = suffix_array(part, own, width + 80)
+        sa = suffix_array(part, own, width)
         before = part[sa - 1].copy()
         before[np.isin(sa, ends[a:b] - length[a:b] - start)] = 0
         arrays.append(sa + start)
