@@ -75,7 +75,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, share:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates; rows with a null doc_id stay if their text is clean under no other id."""
+    """The rows of ``docs`` that no item contaminates; rows with one id, or with none, go together."""
     found = contamination(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
 

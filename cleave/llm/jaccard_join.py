@@ -12,8 +12,8 @@ Clusters above ``block`` classes are dealt into blocks and every pair of blocks
 than two blocks.  Copies count once, hot parts are combined before the shuffle, and components are found by joins.
 
 Edge cases.  Null texts and texts without words have no shingles, are linked with nothing and are their own component.  A
-text with fewer than k words is its whole sequence as one shingle.  Repeated rows and ids are members of the same class;
-a null doc_id is never a component's id unless it is alone.  Class keys are 64-bit hashes of whole sets.
+text with fewer than k words is its whole sequence as one shingle.  Repeated rows are members of the same class; rows with one id
+and several texts are members of several.  Rows with a null doc_id belong to their class, and a class of such rows alone is linked with nothing.  Class keys are 64-bit hashes of whole sets.
 """
 
 from __future__ import annotations
@@ -54,6 +54,13 @@ def sums64(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
         return mix(low + mix(high + U64(0x1234567)))
 
 
+def _class_keys(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The hash of each whole set."""
+    n = np.diff(offs)
+    with np.errstate(over="ignore"):
+        return mix(sums64(h, np.repeat(np.arange(len(n)), n), len(n)) + n.astype(np.uint64))
+
+
 class Sizes:
     """Size intervals and, for each, into how many parts the shingle space is cut."""
 
@@ -198,10 +205,7 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, t in chunks(batches, "_text"):
             h, offs = distinct_shingles(t, k)
-            n = np.diff(offs)
-            cls = sums64(h, np.repeat(np.arange(t.n), n), t.n)
-            with np.errstate(over="ignore"):
-                cls = mix(cls + n.astype(np.uint64))
+            n, cls = np.diff(offs), _class_keys(h, offs)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), pa.array(to_signed(cls), mask=n == 0)], names=schema.names)
 
     return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(run, schema)
@@ -214,10 +218,7 @@ def _parts(docs: DataFrame, k: int, percent: int) -> DataFrame:
         sizes, seen = Sizes(percent), set()
         for _, t in chunks(batches, "_text"):
             h, offs = distinct_shingles(t, k)
-            n = np.diff(offs)
-            cls = sums64(h, np.repeat(np.arange(t.n), n), t.n)
-            with np.errstate(over="ignore"):
-                cls = mix(cls + n.astype(np.uint64))
+            n, cls = np.diff(offs), _class_keys(h, offs)
             fresh = np.zeros(t.n, bool)
             for i, c in enumerate(cls.tolist()):
                 if n[i] and c not in seen:
@@ -268,8 +269,11 @@ def similar_classes(docs: DataFrame, k: int, percent: int, block: int = 1000) ->
         key, group = None, []
         for rows, t in chunks(batches, "_text"):
             h, offs = distinct_shingles(t, k)
+            own = to_signed(_class_keys(h, offs)).tolist()
             cols = [rows.column(i).to_pylist() for i in range(5)]
             for x, (c, i, j, cls, mine) in enumerate(zip(*cols, strict=True)):
+                if own[x] != cls:  # another text under the same doc_id
+                    continue
                 if (c, i, j) != key:
                     if group:
                         yield done()
@@ -294,7 +298,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The row with the smallest doc_id of each component; rows without shingles all stay, repeated rows of a kept id stay once."""
     found = jaccard_components(docs, k, percent)
-    stay = found.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id"), (F.col("n_shingles") > 0).alias("_some")).distinct()
+    stay = found.where("doc_id = component_id or doc_id is null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("n_shingles") > 0).alias("_some"))
     rows = docs.select("doc_id", F.struct(*docs.columns).alias("row")).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")))
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.lit(0)))
     return rows.withColumn("rank", rank).where(F.col("doc_id").isNull() | ~F.col("_some") | (F.col("rank") == 1)).select("row.*")
