@@ -32,6 +32,8 @@ from cleave.session import materialise
 
 U64 = np.uint64
 FANOUT = 8
+#: Bits of the bitmap of repeated part hashes, as a power of two: 4 MB whatever the input.
+BITMAP_BITS = 25
 
 
 def distinct_shingles(t: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,8 +213,9 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
-def _parts(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``sig, cls`` of all texts; a task emits equal sets once."""
+def _parts(docs: DataFrame, k: int, percent: int, bitmap: np.ndarray | None = None) -> DataFrame:
+    """``sig, cls`` of all texts; a task emits equal sets once.  With a bitmap, only what it may hold."""
+    shared = None if bitmap is None else docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, seen = Sizes(percent), set()
@@ -226,6 +229,10 @@ def _parts(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     fresh[i] = True
             n_kept = np.where(fresh, n, 0)
             sig, owner = part_hashes(h[np.repeat(fresh, n)], np.concatenate([[0], np.cumsum(n_kept)]), sizes)
+            if shared is not None:
+                at = sig & U64((1 << BITMAP_BITS) - 1)
+                may = (shared.value[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
+                sig, owner = sig[may], owner[may]
             for lo in range(0, len(sig), 1 << 18):
                 part = slice(lo, lo + (1 << 18))
                 yield pa.RecordBatch.from_arrays([pa.array(to_signed(sig[part])), pa.array(to_signed(cls[owner[part]]))], names=["sig", "cls"])
@@ -233,10 +240,21 @@ def _parts(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select(F.col("text").alias("_text")).mapInArrow(run, "sig long, cls long")
 
 
+def _repeated(parts: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the part hashes that occur twice or more: false positives only, so what it lets through stays exact."""
+    often = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    at = F.col("sig").bitwiseAND((1 << BITMAP_BITS) - 1)
+    words = often.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sig & 63 as int))")).alias("bits")).toArrow()  # at most 2**(BITMAP_BITS - 6) rows
+    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return bitmap
+
+
 def similar_classes(docs: DataFrame, k: int, percent: int, block: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Classes of all rows (``doc_id, n_shingles, cls``) and links (``a, b``) between classes that connect all similar ones."""
     classes = materialise(_classes(docs, k), "jaccard-classes")
-    parts = materialise(_parts(docs, k, percent), "jaccard-parts")
+    # part hashes are made twice: counted alone, then kept with their class only where repeated, which is a few in a hundred
+    parts = materialise(_parts(docs, k, percent, _repeated(_parts(docs, k, percent).select("sig"))), "jaccard-parts")
     shared = parts.groupBy("sig").agg(F.min("cls").alias("low"), F.max("cls").alias("top")).where("low <> top").select("sig", "low")
     near = parts.join(shared, "sig").where("cls <> low").select("low", "cls").distinct()
     near = materialise(near.withColumn("least", F.min("low").over(W.partitionBy("cls"))), "jaccard-near")  # at most two rows a part of the class
