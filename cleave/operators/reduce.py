@@ -1,7 +1,7 @@
 """Safe contractions and coarsening, as joins over the edges.
 
 Tests return pairs ``(src, dst)`` that may be merged.  ``heavy_edges``, ``heavy_vertices`` (strict) and ``common_neighbours`` may be
-applied all at once for the value of a minimum cut below ``bound``; ``triangles`` only on a matching.
+applied all at once for the value of a minimum cut below ``bound``; ``half_vertices`` and ``triangle_pairs`` only on a matching.
 """
 
 from __future__ import annotations
@@ -33,6 +33,11 @@ def heavy_vertices(g: Graph, least_degree: int | None = None) -> DataFrame:
     return e.select("src", "dst")
 
 
+def half_vertices(g: Graph) -> DataFrame:
+    """Edges with half the weighted degree of an end or more."""
+    return _with_degrees(g).where((2 * F.col("weight") >= F.col("d_src")) | (2 * F.col("weight") >= F.col("d_dst"))).select("src", "dst")
+
+
 def oriented(g: Graph) -> DataFrame:
     """Edges from the end of smaller (degree, id) to the other: no vertex has more than sqrt(2m) of them."""
     d = degrees(g).select("id", "degree")

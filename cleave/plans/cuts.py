@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,13 +42,15 @@ def identity(g: Graph) -> DataFrame:
     return g.vertices.select("id", F.col("id").alias("block"))
 
 
-def shrink(g: Graph, most: int, triangles: bool = True, rounds: int = 20) -> tuple[Graph, DataFrame, tuple[int, DataFrame] | None]:
+def shrink(g: Graph, most: int, triangles: bool = True, rounds: int | None = 20, matched: bool = False) -> tuple[Graph, DataFrame, tuple[int, DataFrame] | None]:
     """Contract what no cut below the best vertex cut parts, until ``most`` vertices are left or nothing moves.
 
+    Without ``rounds`` only that ends it.  ``matched``: where the tests that may be applied all at once move nothing, the
+    others (half the degree of an end, alone or with a triangle) are applied on a matching.
     Returns the graph, ``mapping(id, block)``, and the value and original vertices ``(id)`` of the best vertex cut met.
     """
     mapping, best = identity(g), None
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         low = degrees(g).agg(F.min(F.struct("weighted", "id"))).first()[0]
         if low is None:
             break
@@ -59,7 +62,10 @@ def shrink(g: Graph, most: int, triangles: bool = True, rounds: int = 20) -> tup
         pairs = R.heavy_edges(g, best[0]).union(R.heavy_vertices(g))
         if triangles:
             pairs = pairs.union(R.common_neighbours(g, best[0]))
-        merged = connected_components(materialise(pairs, "cut-pairs"))
+        pairs = materialise(pairs, "cut-pairs")
+        if matched and pairs.limit(1).count() == 0:
+            pairs = materialise(R.matching(R.half_vertices(g).union(R.triangle_pairs(g)).distinct()), "cut-matching")
+        merged = connected_components(pairs)
         step = g.vertices.join(merged, "id", "left").select("id", F.coalesce("component", "id").alias("block"))
         smaller = contract(g, step)
         smaller = Graph(materialise(smaller.edges, "cut-edges"), materialise(smaller.vertices, "cut-vertices"))
@@ -83,7 +89,8 @@ def min_cut(g: Graph, algorithm: str = "exact", seed: int = 0, kernel: int = 2_0
     if algorithm in ("vc", "inexact") and n > kernel:  # heuristic: clusters by label propagation, then as exact
         labels = materialise(R.label_propagation(g).select("id", F.col("label").alias("block")), "labels")
         start = contract(g, labels)
-    small, mapping, best = shrink(start, kernel)
+    pr = algorithm == "pr"  # no kernel: the tests alone, and the best vertex cut that they meet
+    small, mapping, best = shrink(start, 2, rounds=None, matched=True) if pr else shrink(start, kernel)
     if labels is not None:
         mapping = compose(labels, mapping)
 
@@ -99,7 +106,7 @@ def min_cut(g: Graph, algorithm: str = "exact", seed: int = 0, kernel: int = 2_0
             value, side = K.noi(a, seed=seed)
         return [(v, value) for v in side]
 
-    if algorithm == "pr" and best is not None:
+    if pr and best is not None:
         found = None
     else:
         found = materialise(in_one_group(small, solve, "block long, cut_value long"), "cut-kernel") if small.vertices.limit(2).count() > 1 else None

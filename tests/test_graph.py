@@ -88,6 +88,16 @@ def test_replay_and_stream(spark, tmp_path):
     assert spark.sql("select cut_value from cuts order by seq desc").first()[0] == 1
 
 
+def test_padberg_rinaldi_below_least_degree(spark):
+    triangles = [(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5), (2, 3)]
+    squares = [(0, 1), (1, 2), (2, 3), (0, 3), (4, 5), (5, 6), (6, 7), (4, 7), (3, 4)]  # no strict test moves anything here
+    for e in (triangles, squares):
+        g = Graph.of(spark.createDataFrame([(u, v, 1) for u, v in e], "src long, dst long, weight long"))
+        value, sides = cuts.min_cut(g, "pr")
+        assert value.first()[0] == 1
+        assert [r[1] for r in rows(sides)] == [0] * (max(map(max, e)) // 2 + 1) + [1] * (max(map(max, e)) // 2 + 1)
+
+
 @pytest.mark.parametrize("name", ["deg_weighted", "deg_percentile", "contract_by_region", "components", "pr3_triangles", "pr4_common", "equal_neighbourhood", "min_cut_value", "min_cut_all", "st_source_side", "multiterminal_value"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
