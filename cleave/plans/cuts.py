@@ -311,11 +311,15 @@ def cliques(g: Graph) -> DataFrame:
 def replay(updates: DataFrame, edges: DataFrame | None = None, one_by_one: bool = False) -> DataFrame:
     """``ts, cut_value, changes`` after each timestamp's updates ``(seq, src, dst, delta, ts)``, in the order of (ts, seq).
 
-    ``graph`` groups separate streams where the column exists.  ``one_by_one`` gives a row for every update.
+    ``graph`` groups separate streams where the column exists.  ``one_by_one`` gives a row for every update.  Start graphs
+    of more than 20 * KERNEL_VERTICES edges are refused.
     """
     rows = updates if "graph" in updates.columns else updates.withColumn("graph", F.lit(0).cast("long"))
     rows = rows.select("graph", "ts", "seq", "src", "dst", "delta")
-    start = [] if edges is None else [tuple(r) for r in edges.select("src", "dst", "weight").limit(KERNEL_VERTICES * 20).collect()]
+    most = KERNEL_VERTICES * 20
+    start = [] if edges is None else [tuple(r) for r in edges.select("src", "dst", "weight").limit(most + 1).collect()]
+    if len(start) > most:
+        raise ValueError(f"the start graph has more than {most} edges; it can't be replayed in one group")
     ts = rows.schema["ts"].dataType.simpleString()
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

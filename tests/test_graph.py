@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cleave.graph import Graph
 from cleave.operators import components as C
@@ -98,6 +99,15 @@ def test_padberg_rinaldi_below_least_degree(spark):
         assert [r[1] for r in rows(sides)] == [0] * (max(map(max, e)) // 2 + 1) + [1] * (max(map(max, e)) // 2 + 1)
 
 
+def test_replay_refuses_a_large_start(spark, monkeypatch):
+    u = spark.createDataFrame([(1, 0, 1, 2, 1)], "seq long, src long, dst long, delta long, ts long")
+    start = spark.range(21).select("id", (F.col("id") + 1).alias("dst"), F.lit(1).cast("long").alias("weight")).toDF("src", "dst", "weight")
+    monkeypatch.setattr(cuts, "KERNEL_VERTICES", 1)
+    assert cuts.replay(u, start.limit(20)).count() == 1
+    with pytest.raises(ValueError):
+        cuts.replay(u, start)
+
+
 @pytest.mark.parametrize("name", ["deg_weighted", "deg_percentile", "contract_by_region", "components", "pr3_triangles", "pr4_common", "equal_neighbourhood", "min_cut_value", "min_cut_all", "st_source_side", "multiterminal_value"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
