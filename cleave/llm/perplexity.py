@@ -1,16 +1,18 @@
 """Quality rules: base counts of words and repeats, and perplexity under a Spark-counted modified Kneser-Ney model.
 
-Method.  Texts are sequences of 64 byte symbols (single lower-case letters; upper case, digits, marks and the bytes of other
-scripts in fixed classes), so a symbol 4-gram is a 24-bit hash and the model cannot exceed 2**24 entries whatever the corpus.
-Each task counts the 4-grams of all its texts in one array, Spark sums the counts over the corpus, and the modified
-Kneser-Ney probabilities (three discounts an order, continuation counts below the highest) are kept as arrays sorted by
-hash.  That proven bound (2**24 entries, 12 bytes each) is what lets the model be broadcast.  A document's perplexity is
-the exponential of its mean negative log-probability; each language has its own lower and upper band, from the quartiles
+Method.  Texts are sequences of full code points; the model has every 5-gram of the corpus, as a table that grows with it.
+Tasks count the 5-grams of their texts, Spark sums the counts, lower orders count in how many different grams of one more
+code point they end, and the modified Kneser-Ney probabilities (three discounts an order) come from joins by context and by
+suffix, from order 1 up.  A text is not its own evidence: each gram has the smallest and the largest hash of the texts it is in, and one that
+is only in one text (exact copies are one text) counts as unseen there and backs off.  For scoring, documents are dealt by a hash into chunks of about ``CHUNK`` bytes; a chunk's different grams are joined
+with the model, and what comes back, sorted by hash, scores the chunk's texts.  No task holds more of the model than its chunk uses, and nothing of it is
+broadcast or sent to the driver.  A document's perplexity is
+the exponential of its mean negative log-probability a code point; each language has its own lower and upper band, from the quartiles
 of the log-perplexities of its documents, and documents outside are rejected.
 
-Edge cases.  A null or empty text has no words, so the base rules reject it; its perplexity is null.  A null language is a
-language of its own.  Repeated rows are counted and returned as often as they occur.  Languages with fewer documents than
-``least`` take the bands of the whole corpus.  An empty table gives an empty result.
+Edge cases.  A null or empty text has no words, so the base rules reject it; its perplexity is null.  What lies before a text
+counts as code points 0.  A null language is a language of its own.  Repeated rows are counted and returned as often as they occur.  Languages with fewer documents than
+``least`` take the bands of the whole corpus.  An empty table gives an empty result.  Within a chunk, grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,60 +26,115 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleave.llm.quality import duplicate_lines, repeated_words
-from cleave.llm.textbytes import Texts, chunks
+from cleave.llm.textbytes import SpanHash, Texts, chunks
 from cleave.session import materialise, small
 
+#: Code points of a gram, and of the start that lies before a text.
+DEPTH = 5
+PAD = DEPTH - 1
+#: Bytes of text that are scored together, about.
+CHUNK = 16 << 20
+#: Bytes of text that are cut into grams at once: about 100 bytes of arrays each.
+PART = 1 << 20
+#: Different grams that a counting task holds before it hands them on.
+HELD = 1 << 21
+#: The model in memory (:func:`fit`), over grams of ORDER symbols of BITS bits.
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
-#: Entries that a model can have at most: the bound of what is broadcast.
-MOST_ENTRIES = SYMBOLS**ORDER
 
-
-def symbol_table() -> np.ndarray:
-    """Byte to symbol: 0 start of text, 1 space, 2 break, 3-28 letters, 29 upper case, 30 digit, 31-39 marks, 40-63 other bytes."""
-    table = np.full(256, 39, np.uint8)
-    table[0x20], table[[0x09, *range(0x0A, 0x0E)]] = 1, 2
-    table[97:123] = np.arange(3, 29)
-    table[65:91], table[48:58] = 29, 30
-    for i, group in enumerate((".", ",", ";:", "!?", "'\"`", "#*$%&|<>", "()[]{}", "-_/\\+=~^@")):
-        table[[ord(c) for c in group]] = 31 + i
-    table[0x80:] = 40 + np.arange(128) % 24
-    return table
-
-
-_SYMBOL = symbol_table()
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def grams(t: Texts) -> np.ndarray:
-    """The hash of the 4-gram that ends at each byte; what lies before a text are start symbols."""
-    s = _SYMBOL[t.data].astype(np.int32)
-    out = s.copy()
-    for back in range(1, ORDER):
-        prev = np.zeros(len(s), np.int32)
-        prev[back:] = s[:-back] if len(s) > back else 0
-        for i in range(back):  # the first bytes of a text don't look into the text before
-            at = t.offs[:-1] + i
-            prev[at[(at < t.offs[1:])]] = 0
-        out |= prev << (BITS * back)
-    return out
+Counted = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]
+
+
+class Grams:
+    """The span of the gram that ends at each code point, with its hash and text index."""
+
+    def __init__(self, t: Texts) -> None:
+        shift = np.arange(1, t.n + 1) * PAD
+        self.data = np.zeros(len(t.data) + t.n * PAD, np.uint8)
+        self.data[np.arange(len(t.data)) + np.repeat(shift, np.diff(t.offs))] = t.data
+        first = np.flatnonzero((self.data & 0xC0) != 0x80)
+        text = np.searchsorted(t.offs + np.arange(t.n + 1) * PAD, first, "right") - 1
+        own = np.ones(len(first), bool)
+        lead = np.searchsorted(text, np.arange(t.n))
+        own[(lead[:, None] + np.arange(PAD)).ravel()] = False
+        at = np.flatnonzero(own)
+        self.text, self.start, self.end = text[at], first[at - PAD], np.append(first, len(self.data))[at + 1]
+        self.hash = SpanHash(self.data).spans(self.start, self.end)
+        self.of = (t.hash.spans(t.offs[:-1], t.offs[1:]) >> np.uint64(33)).astype(np.int64)
+
+    def counted(self) -> Counted:
+        """Of each different gram: hash, count, least and largest text hash, and string."""
+        order = np.argsort(self.hash, kind="stable")
+        h = self.hash[order]
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        of = self.of[self.text[order]]
+        lo, hi = (f.reduceat(of, at) if len(at) else of for f in (np.minimum, np.maximum))
+        start, size = self.start[order[at]], (self.end - self.start)[order[at]]
+        offs = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(size, out=offs[1:])
+        raw = self.data[np.repeat(start - offs[:-1], size) + np.arange(offs[-1])]
+        return h[at], np.diff(np.append(at, len(h))), lo, hi, pa.StringArray.from_buffers(len(at), pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(raw))
+
+
+def _merged(parts: list[Counted]) -> Counted:
+    if len(parts) == 1:
+        return parts[0]
+    h, n, lo, hi = (np.concatenate([x[i] for x in parts]) for i in range(4))
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    n, lo, hi = (f.reduceat(x[order], at) if len(at) else x for f, x in ((np.add, n), (np.minimum, lo), (np.maximum, hi)))
+    return h[at], n, lo, hi, pa.concat_arrays([x[4] for x in parts]).take(pa.array(order[at]))
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """``gram int, n long`` over all texts (one string column): one row a gram and task before the shuffle."""
+    """``gram string, n long, lo int, hi int`` over all texts (one string column); lo and hi are the least and the largest hash of the texts with the gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(MOST_ENTRIES, np.int64)
-        for _, t in chunks(batches, "_text", 16 << 20):
-            key, n = np.unique(grams(t), return_counts=True)
-            total[key] += n
-        found = np.flatnonzero(total)
-        for lo in range(0, len(found), 1 << 18):
-            part = found[lo : lo + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["gram", "n"])
-
-    return texts.toDF("_text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        held: list = []
+        for _, t in chunks(batches, "_text", PART):
+            held.append(Grams(t).counted())
+            if len(held) == 9:
+                held = [_merged(held)]
+            if len(held[0][0]) >= HELD:
+                yield from _rows(_merged(held))
+                held = []
+        if held:
+            yield from _rows(_merged(held))
+
+    def _rows(x: Counted) -> Iterator[pa.RecordBatch]:
+        whole = pa.RecordBatch.from_arrays([x[4], pa.array(x[1].astype(np.int64)), *(pa.array(c.astype(np.int32)) for c in x[2:4])], names=["gram", "n", "lo", "hi"])
+        yield from (whole.slice(lo, 1 << 17) for lo in range(0, len(whole), 1 << 17))
+
+    return texts.toDF("_text").mapInArrow(run, "gram string, n long, lo int, hi int").groupBy("gram").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def train(texts: DataFrame) -> DataFrame:
+    """``gram, log_p`` of every gram of the texts (one string column)."""
+    levels = [materialise(count_grams(texts), "grams")]
+    for k in range(DEPTH - 1, 0, -1):  # continuation counts: in how many different grams of one more code point
+        levels.insert(0, materialise(levels[0].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "grams"))
+    below, shared = None, F.col("lo") < F.col("hi")
+    for k, level in enumerate(levels, 1):
+        seen = level.agg(F.count("*"), *(F.count_if(F.col("n") == i) for i in range(1, 5))).first()
+        d = discounts(list(seen)[1:])
+        taken = F.when(F.col("n") == 1, d[1]).when(F.col("n") == 2, d[2]).otherwise(d[3])
+        g = level.select("gram", "n", "lo", "hi", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"), taken.alias("taken"))
+        if below is None:
+            total, held = g.agg(F.sum("n"), F.sum("taken")).first()
+            left = F.lit(float(held or 0)) / max(seen[0], 1)
+            below = g.select("gram", ((F.when(shared, F.col("n") - F.col("taken")).otherwise(0.0) + left) / float(total or 1)).alias("p"))
+            continue
+        context = g.groupBy("context").agg(F.sum("n").alias("total"), F.sum("taken").alias("held"), (F.min("lo") < F.max("hi")).alias("context_shared"))
+        under = below.select(F.col("gram").alias("suffix"), F.col("p").alias("p_suffix"))
+        left = F.col("held") * F.col("p_suffix")
+        p = F.when(shared, (F.col("n") - F.col("taken") + left) / F.col("total")).when(F.col("context_shared"), left / F.col("total")).otherwise(F.col("p_suffix"))
+        below = g.join(context, "context").join(under, "suffix").select("gram", p.alias("p"))
+    return below.select("gram", F.log(F.greatest("p", F.lit(1e-300))).alias("log_p"))
 
 
 @dataclass(frozen=True)
@@ -121,16 +178,20 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _discounts(n: np.ndarray) -> np.ndarray:
     """The three modified Kneser-Ney discounts from the counts of counts; an absolute 0.5 where those are too few."""
-    c = [np.count_nonzero(n == i) for i in range(1, 5)]
+    return discounts([np.count_nonzero(n == i) for i in range(1, 5)])
+
+
+def discounts(c: list[int]) -> np.ndarray:
+    """The discounts of counts 0, 1, 2 and more, from how many grams have the counts 1 to 4."""
     if min(c) == 0:
         return np.array([0.0, 0.5, 0.5, 0.5])
     y = c[0] / (c[0] + 2 * c[1])
     d = np.array([0.0] + [i + 1 - (i + 2) * y * c[i + 1] / c[i] for i in range(3)])
-    return np.clip(d, 0.0, [0, 1, 2, 3])
+    return np.clip(d, [0, 0.1, 0.1, 0.1], [0, 1, 2, 3])  # never 0: each context must leave something to back off to
 
 
 def fit(gram: np.ndarray, n: np.ndarray) -> KneserNey:
-    """The model of all counts (``gram`` sorted)."""
+    """The model in memory of all counts of symbol grams (``gram`` sorted)."""
     counts = [(gram.astype(np.int64), n.astype(np.int64))]
     for k in range(ORDER - 1, 0, -1):  # continuation counts: in how many different grams of one more symbol
         counts.insert(0, np.unique(counts[0][0] & (SYMBOLS**k - 1), return_counts=True))
@@ -147,33 +208,49 @@ def fit(gram: np.ndarray, n: np.ndarray) -> KneserNey:
     return KneserNey(tuple(levels))
 
 
-def train(texts: DataFrame) -> KneserNey:
-    rows = count_grams(texts).toPandas().sort_values("gram")
-    return fit(rows["gram"].to_numpy(), rows["n"].to_numpy())
-
-
-def with_counts_and_perplexity(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """``doc_id, lang`` and the base counts of every document, with ``n_bytes`` and ``log_ppl`` (null for no bytes)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def with_counts_and_perplexity(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """``doc_id, lang`` and the base counts of every document, with ``log_ppl`` (null for no code points); ``model`` as of :func:`train` on these texts."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     schema = docs.select("doc_id", "lang").schema
     for c in names:
         schema = schema.add(c, "long")
     schema = schema.add("log_ppl", "double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kn = shared.value
-        for rows, t in chunks(batches, "_text"):
-            start, end, text = t.words()
-            points = (t.data & 0xC0) != 0x80
+    def wanted(key: tuple, rows: pa.Table) -> pa.Table:
+        found: list = []
+        for _, t in chunks(iter(rows.combine_chunks().to_batches()), "_text", PART):
+            found.append(Grams(t).counted())
+            if len(found) == 9:
+                found = [_merged(found)]
+        gram = _merged(found)[4]
+        return pa.table({"_chunk": pa.array(np.full(len(gram), key[0].as_py())), "gram": gram})
+
+    def score(rows: pa.Table, known: pa.Table) -> pa.Table:
+        gram = known.combine_chunks().to_batches()
+        t = Texts.of(gram[0].column(1)) if gram else Texts(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        key = t.hash.spans(t.offs[:-1], t.offs[1:])
+        order = np.argsort(key)
+        key, log_p = key[order], (gram[0].column(2).to_numpy() if gram else np.zeros(0))[order]
+        out = []
+        for part, t in chunks(iter(rows.combine_chunks().to_batches()), "_text", PART):
+            g = Grams(t)
+            at, seen = _find(key, g.hash)
+            if not seen.all():
+                raise ValueError("a text has grams that the model was not trained on")
+            logs, size = t.per_text(g.text, log_p[at] if len(at) else None), t.per_text(g.text)
+            _, _, text = t.words()
             white = (t.data == 0x20) | ((t.data >= 9) & (t.data <= 13))
-            size = np.diff(t.offs)
-            logs = t.sums(kn.log_probability(grams(t))) if len(t.data) else np.zeros(t.n)
-            cols = [t.per_text(text), t.sums(points & ~white), t.sums(_IS_SYMBOL[t.data]), duplicate_lines(t)[0], repeated_words(t)]
+            cols = [t.per_text(text), t.sums(((t.data & 0xC0) != 0x80) & ~white), t.sums(_IS_SYMBOL[t.data]), duplicate_lines(t)[0], repeated_words(t)]
             ppl = pa.array(-logs / np.maximum(size, 1), mask=size == 0)
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(c.astype(np.int64)) for c in cols), ppl], names=schema.names)
-
-    return docs.select("doc_id", "lang", F.col("text").alias("_text")).mapInArrow(run, schema)
+            out.append(pa.RecordBatch.from_arrays([part.column(1), part.column(2), *(pa.array(c.astype(np.int64)) for c in cols), ppl], names=schema.names))
+        return pa.Table.from_batches(out)
+
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-size // CHUNK) or 1)).alias("_chunk")
+    dealt = docs.select(key, "doc_id", "lang", F.col("text").alias("_text"))
+    asked = dealt.groupBy("_chunk").applyInArrow(wanted, "_chunk long, gram string")
+    known = asked.join(model, "gram").select("_chunk", "gram", "log_p")
+    return dealt.groupBy("_chunk").cogroup(known.groupBy("_chunk")).applyInArrow(score, schema)
 
 
 def bands(scored: DataFrame, below: float, above: float, least: int) -> DataFrame:

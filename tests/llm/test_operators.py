@@ -100,6 +100,52 @@ def test_kneser_ney_sums_to_one():
     model.log_probability(np.arange(0, 1 << 24, 4097))
 
 
+def brute_force_log_p(texts, depth):
+    """Modified Kneser-Ney over code points, by dictionaries; grams of only one text (copies are one) back off."""
+    where = collections.defaultdict(set)
+    for t in filter(None, texts):
+        p = "\0" * (depth - 1) + t
+        for i in range(len(t)):
+            for k in range(1, depth + 1):
+                where[p[i + depth - k : i + depth]].add(t)
+    counts = [collections.Counter(p[i : i + depth] for t in texts if t for p in ["\0" * (depth - 1) + t] for i in range(len(t)))]
+    for _ in range(depth - 1):
+        counts.insert(0, collections.Counter(g[1:] for g in counts[0]))
+    below = dict.fromkeys([""], 1 / len(counts[0]))
+    for count in counts:
+        d = perplexity.discounts([sum(n == i for n in count.values()) for i in range(1, 5)])
+        total, held = collections.Counter(), collections.Counter()
+        for g, n in count.items():
+            total[g[:-1]] += n
+            held[g[:-1]] += d[min(n, 3)]
+        about = collections.defaultdict(set)
+        for g in count:
+            about[g[:-1]] |= where[g]
+        left = {g: held[g[:-1]] * below[g[1:]] / total[g[:-1]] for g in count}
+        below = {g: left[g] + (n - d[min(n, 3)]) / total[g[:-1]] if len(where[g]) > 1 else left[g] if len(about[g[:-1]]) > 1 or len(g) == 1 else below[g[1:]] for g, n in count.items()}
+    return {g: np.log(p) for g, p in below.items()}
+
+
+def test_perplexity_model(docs, monkeypatch):
+    monkeypatch.setattr(perplexity, "CHUNK", 5000)
+    model = brute_force_log_p([t for _, t in TEXTS], perplexity.DEPTH)
+    got = {r["gram"]: r["log_p"] for r in perplexity.train(docs.select("text")).collect()}
+    assert got.keys() == model.keys() and all(abs(got[g] - x) < 1e-9 for g, x in model.items())
+    text = dict(TEXTS)
+    for r in perplexity.quality_rules(docs, least=1).collect():
+        p = "\0" * (perplexity.DEPTH - 1) + (text[r["doc_id"]] or "")
+        logs = [model[p[i : i + perplexity.DEPTH]] for i in range(len(text[r["doc_id"]] or ""))]
+        assert abs(r["perplexity"] - np.exp(-np.mean(logs))) < 1e-9 * r["perplexity"] if logs else r["perplexity"] is None
+
+
+def test_perplexity_tells_capitals_and_letters_apart(spark):
+    same = [(i, "AAAA" * (80 + i) + " 1111" * 20 + " дддд" * 20) for i in range(5)]
+    mixed = [(9, "".join(chr(65 + int(x)) for x in rng.integers(0, 26, 320)) + " " + "".join(chr(0x430 + int(x)) for x in rng.integers(0, 32, 200)))]
+    table = spark.createDataFrame([(i, t, "en") for i, t in same + mixed], "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r["perplexity"] for r in perplexity.quality_rules(table).collect()}
+    assert out[9] > 1.5 * out[0]
+
+
 def test_quality(spark, docs, empty):
     good = [(100 + i, prose(80 + i, i)) for i in range(40)]
     bad = [(200 + i, "### " + prose(60 + i, i).replace(" ", " $$$ ")) for i in range(40)]
