@@ -3,9 +3,10 @@
 Method.  Numbers, units after numbers and capitalised words inside sentences become typed placeholders that keep their value; all
 other words are lower-cased without punctuation.  Windows of ``width`` template tokens are hashed and joined with the hashed windows of the
 benchmark items, which are broadcast only while a count shows at most ``most`` of them.  Hits of a document and an item on one
-diagonal (same distance between places) must map each slot value of the item to one value of the document; the hits that
-do add up, and a document is contaminated by an item when they cover ``share`` of its windows.  Where mapped values
-differ, the question is re-parameterised.
+diagonal (same distance between places) should map each slot value of the item to one value of the document.  Where a value
+is mapped to two, the changed windows that hold it are left out; windows without slots, with unchanged values or with
+other values count all the same.  A document is contaminated by an item when the windows that count cover ``share`` of its
+windows.  Where mapped values differ, the question is re-parameterised.
 
 Edge cases.  Null and empty texts have no tokens and match nothing, and items without tokens are left out.  An item with fewer than ``width`` tokens
 is one window of its own length, and documents are cut into windows of that length too.  Repeated rows of an id
@@ -66,10 +67,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, share:
     hits = windows(docs.select("doc_id", F.col("text").alias("_text")), ["doc_id"], "_text", [width, *short]).join(side, "hash")
     pairs = F.filter(F.arrays_zip(F.col("islots").alias("a"), F.col("slots").alias("b")), lambda p: p["a"].startswith(MARK))
     hits = hits.select("doc_id", "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("diagonal"), F.coalesce(F.when(F.col("islots").isNotNull(), pairs), F.array().cast("array<struct<a:string,b:string>>")).alias("pairs"))
-    lines = hits.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set("ipos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("map"))  # at most an item's windows
+    lines = hits.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set(F.struct("ipos", "pairs")).alias("hits"))  # at most an item's windows
+    lines = lines.withColumn("map", F.array_distinct(F.flatten(F.transform("hits", lambda h: h["pairs"]))))
+    torn = F.filter("map", lambda p: F.exists("map", lambda q: (q["a"] == p["a"]) & (q["b"] != p["b"])))
     consistent = F.size("map") == F.size(F.array_distinct(F.transform("map", lambda p: p["a"])))
-    changed = F.exists("map", lambda p: p["a"] != p["b"])
-    found = lines.where(consistent).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("matched_windows"), F.max(changed).alias("reparameterised"))
+    lines = lines.withColumn("torn", F.when(consistent, F.array().cast("array<string>")).otherwise(F.transform(torn, lambda p: p["a"])))
+    differs = lambda h: F.exists(h["pairs"], lambda p: p["a"] != p["b"])
+    holds = lambda h: ~differs(h) | ~F.exists(h["pairs"], lambda p: F.array_contains("torn", p["a"]))
+    lines = lines.withColumn("hits", F.when(F.size("torn") == 0, F.col("hits")).otherwise(F.filter("hits", holds))).where(F.size("hits") > 0)
+    lines = lines.select("doc_id", "item_id", F.array_distinct(F.transform("hits", lambda h: h["ipos"])).alias("places"), F.exists("hits", differs).alias("changed"))
+    found = lines.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("matched_windows"), F.max("changed").alias("reparameterised"))
     out = found.join(total, "item_id").where(F.col("matched_windows") >= F.col("item_windows") * share)
     return out.select("doc_id", "item_id", "matched_windows", "item_windows", "reparameterised")
 

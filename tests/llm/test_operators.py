@@ -272,6 +272,14 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contamination(empty, bench).count() == 0 and decontaminate.contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_contradicted_value(spark):
+    item = "Plain words of a long question come first and are followed by many more plain words before 5 apples meet Alice and 5 pears."
+    rows = [(1, item.replace("5 apples", "9 apples")), (2, item.replace("5 apples", "9 apples").replace("Alice", "Carol")), (3, item.replace("5", "9"))]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    out = {r["doc_id"]: (r["matched_windows"], r["item_windows"], r["reparameterised"]) for r in decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert out == {1: (11, 19, False), 2: (10, 19, False), 3: (19, 19, True)}
+
+
 def test_licences(docs, empty):
     out = sorted(map(tuple, licences.scan(docs).collect()))
     assert out == [(14, 0, "MIT", 1.0), (14, 2, "MIT", 1.0)]
