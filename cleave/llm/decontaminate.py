@@ -6,7 +6,8 @@ benchmark items, which are broadcast only while a count shows at most ``most`` o
 diagonal (same distance between places) should map each slot value of the item to one value of the document.  Where a value
 is mapped to two, the changed windows that hold it are left out; windows without slots, with unchanged values or with
 other values count all the same.  A document is contaminated by an item when the windows that count cover ``share`` of its
-windows.  Where mapped values differ, the question is re-parameterised.
+windows, or when those of one diagonal cover ``run`` tokens in a row.  Where mapped values differ, the question is
+re-parameterised.
 
 Edge cases.  Null and empty texts have no tokens and match nothing, and items without tokens are left out.  An item with fewer than ``width`` tokens
 is one window of its own length, and documents are cut into windows of that length too.  Repeated rows of an id
@@ -52,7 +53,7 @@ def windows(rows: DataFrame, ids: list[str], text: str, lengths: list[int]) -> D
     return base.withColumn("_shapes", shapes).withColumn("_some", some).select(*ids, F.explode(cut).alias("w")).select(*ids, "w.pos", "w.hash", "w.slots")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: float = 0.4, most: int = 1_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: float = 0.4, most: int = 1_000_000, run: int = 13) -> DataFrame:
     """``doc_id, item_id, matched_windows, item_windows, reparameterised`` of every contaminated pair."""
     items = benchmark.select("item_id", F.col("text").alias("_text"))
     sizes = items.select("item_id", "_text", F.size(template_tokens(F.col("_text"))).alias("n")).where("n > 0")
@@ -75,9 +76,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, share:
     differs = lambda h: F.exists(h["pairs"], lambda p: p["a"] != p["b"])
     holds = lambda h: ~differs(h) | ~F.exists(h["pairs"], lambda p: F.array_contains("torn", p["a"]))
     lines = lines.withColumn("hits", F.when(F.size("torn") == 0, F.col("hits")).otherwise(F.filter("hits", holds))).where(F.size("hits") > 0)
-    lines = lines.select("doc_id", "item_id", F.array_distinct(F.transform("hits", lambda h: h["ipos"])).alias("places"), F.exists("hits", differs).alias("changed"))
-    found = lines.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("matched_windows"), F.max("changed").alias("reparameterised"))
-    out = found.join(total, "item_id").where(F.col("matched_windows") >= F.col("item_windows") * share)
+    lines = lines.select("doc_id", "item_id", F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["ipos"]))).alias("places"), F.exists("hits", differs).alias("changed"))
+    more = max(run - width, 0)  # an item with fewer windows reaches the share before
+    starts = F.when(F.size("places") > more, F.sequence(F.lit(0), F.size("places") - 1 - more)).otherwise(F.array().cast("array<int>"))
+    lines = lines.withColumn("passage", F.exists(starts, lambda i: F.get("places", i + more) - F.get("places", i) == more))
+    found = lines.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("matched_windows"), F.max("changed").alias("reparameterised"), F.max("passage").alias("passage"))
+    out = found.join(total, "item_id").where((F.col("matched_windows") >= F.col("item_windows") * share) | F.col("passage"))
     return out.select("doc_id", "item_id", "matched_windows", "item_windows", "reparameterised")
 
 

@@ -280,6 +280,16 @@ def test_decontamination_contradicted_value(spark):
     assert out == {1: (11, 19, False), 2: (10, 19, False), 3: (19, 19, True)}
 
 
+def test_decontamination_partial_passage(spark):
+    item = " ".join(VOCABULARY[:60])
+    part = lambda n: f"other {' '.join(VOCABULARY[20 : 20 + n])} things"
+    apart = " ".join(" ".join(VOCABULARY[i : i + 12]) + " gap" for i in (0, 15, 30))
+    rows = [(1, part(25)), (2, part(13)), (3, part(12)), (4, apart)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    out = {r["doc_id"]: (r["matched_windows"], r["item_windows"]) for r in decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert out == {1: (18, 53), 2: (6, 53)}
+
+
 def test_licences(docs, empty):
     out = sorted(map(tuple, licences.scan(docs).collect()))
     assert out == [(14, 0, "MIT", 1.0), (14, 2, "MIT", 1.0)]
