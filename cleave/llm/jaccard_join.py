@@ -1,17 +1,22 @@
 """N-gram Jaccard join: signature trees over groups of documents that can be similar at all.
 
 Method.  A document is its set of distinct k-word shingles (64-bit hashes).  Equal sets are one class.  For a threshold t two
-sets of sizes up to r that reach it differ in at most d = 2r(1-t)/(1+t) shingles; so if the shingle space is cut into
-d + 1 parts, at least one part is equal in both.  Each class emits the hash of every part, under the scheme of its size
-interval and of the next one (no linked pair spans more), and classes that share a part hash form coarse clusters:
-every link lies inside a cluster, whatever shingles are frequent.  Inside a cluster the classes stand in a signature tree:
+sets of sizes up to r that reach it differ in at most d = 2r(1-t)/(1+t) shingles; so if the shingle space is cut into m > d
+parts, at least m - d parts are equal in both.  Parts that are empty prove nothing: a set with e of them shares m - d - e filled
+parts with every partner, and where that is less than one it is cut anew by another hash (a pair of which either set is settled at a
+level meets there).  Each class emits the hash of every filled part, under the scheme of its size interval and of the next one (no
+linked pair spans more), and keeps its rarest ones, all but m - d - e - 1: two partners still meet under one of them, and what very
+many texts share is a key only of texts that have little else.  Classes that share a kept hash form coarse clusters: every link
+lies inside a cluster.  Inside a cluster the classes stand in a signature tree:
 a node holds the OR of its sets' token bitmaps and their size range; a traversal of node pairs drops those whose largest
 possible overlap is too small, and those already connected, and checks the rest on the exact sets.
 
 Clusters above ``block`` classes are dealt into blocks and every pair of blocks is a task of its own, so a task never holds more
 than two blocks.  Copies count once, hot parts are combined before the shuffle, and components are found by joins.
 
-Edge cases.  Null texts and texts without words have no shingles, are linked with nothing and are their own component.  A
+Edge cases.  An empty table gives an empty result; extra columns are not read.  A very long text is one set of 8 bytes a shingle in its task.
+Below 60 % or so most parts of small sets are empty, and such sets meet under the last level's one hash: right, but all are compared.
+Null texts and texts without words have no shingles, are linked with nothing and are their own component.  A
 text with fewer than k words is its whole sequence as one shingle.  Repeated rows are members of the same class; rows with one id
 and several texts are members of several.  Rows with a null doc_id belong to their class, and a class of such rows alone is linked with nothing.  Class keys are 64-bit hashes of whole sets.
 """
@@ -32,8 +37,12 @@ from cleave.session import materialise
 
 U64 = np.uint64
 FANOUT = 8
+#: Times that a set with too many empty parts is cut anew by another hash.
+LEVELS = 8
 #: Bits of the bitmap of repeated part hashes, as a power of two: 4 MB whatever the input.
 BITMAP_BITS = 25
+#: Classes that a task keeps in mind so as to emit each once; more are emitted again, which changes nothing.
+SEEN = 1 << 20
 
 
 def distinct_shingles(t: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,41 +73,58 @@ def _class_keys(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 class Sizes:
-    """Size intervals and, for each, into how many parts the shingle space is cut."""
+    """Size intervals and, for each, how many differences a pair may have and into how many parts the shingle space is cut."""
 
     def __init__(self, percent: int) -> None:
-        self.percent, self.low, self.parts = percent, [1], []
+        self.percent, self.low, self.differences = percent, [1], []
 
-    def upto(self, most: int) -> tuple[np.ndarray, np.ndarray]:
-        while self.low[-1] <= most:
+    def upto(self, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First size, differences and parts of the intervals up to the one after that of ``most``."""
+        while len(self.low) < 3 or self.low[-2] <= most:
             high = self.low[-1] * 100 // self.percent
-            self.parts.append(2 * high * (100 - self.percent) // (100 + self.percent) + 1)
+            self.differences.append(2 * high * (100 - self.percent) // (100 + self.percent))
             self.low.append(high + 1)
-        high = self.low[-1] * 100 // self.percent
-        return np.array(self.low), np.array([*self.parts, 2 * high * (100 - self.percent) // (100 + self.percent) + 1])
+        d = np.array(self.differences)
+        return np.array(self.low[:-1]), d, d + 2 + d // 4
 
 
-def part_hashes(h: np.ndarray, offs: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
-    """Part hashes of every non-empty set under both its schemes, and the set each belongs to."""
+def part_hashes(h: np.ndarray, offs: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the filled parts of every set under both its schemes: hash, set, scheme and level, and how many of
+    that scheme and level any partner shares at least (1 where nothing more is known)."""
     n = np.diff(offs)
-    out, owner = [], []
+    out: list[tuple[np.ndarray, ...]] = []
     if n.max(initial=0):
-        low, parts = sizes.upto(int(n.max()))
-        own = np.searchsorted(low, n, "right") - 1
+        low, differences, parts = sizes.upto(int(n.max()))
         text = np.repeat(np.arange(len(n)), n)
         for step in (0, 1):
-            scheme = np.maximum(own, 0) + step
-            p = np.where(n > 0, parts[scheme], 0)
-            start = np.cumsum(p) - p
-            bin_ = start[text] + ((mix(h) >> U64(20)) % p[text].astype(np.uint64)).astype(np.int64)
-            total = int(p.sum())
-            who = np.repeat(np.arange(len(n)), p)
-            sig = sums64(h, bin_, total)
-            with np.errstate(over="ignore"):
-                key = scheme[who].astype(np.uint64) * U64(1 << 32) + (np.arange(total) - start[who]).astype(np.uint64)
-                out.append(mix(sig + mix(key + U64(77))))
-            owner.append(who)
-    return (np.concatenate(out), np.concatenate(owner)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            scheme = np.maximum(np.searchsorted(low, n, "right") - 1, 0) + step
+            todo = np.flatnonzero((n > 0) & (differences[scheme] > 0))  # without differences only equal sets match, which are one class
+            for level in range(LEVELS):
+                p = np.zeros(len(n), np.int64)
+                p[todo] = parts[scheme[todo]]
+                total = int(p.sum())
+                if not total:
+                    break
+                start = np.cumsum(p) - p
+                mine = p[text] > 0
+                with np.errstate(over="ignore"):
+                    at = start[text[mine]] + ((mix(h[mine] + U64(level * 0x9E3779B9)) >> U64(20)) % p[text[mine]].astype(np.uint64)).astype(np.int64)
+                sig, who = sums64(h[mine], at, total), np.repeat(np.arange(len(n)), p)
+                filled = np.bincount(at, minlength=total) > 0
+                share = p - differences[scheme] - np.bincount(who[~filled], minlength=len(n))
+                key = scheme * 16 + level
+                with np.errstate(over="ignore"):
+                    place = key[who].astype(np.uint64) * U64(1 << 32) + (np.arange(total) - start[who]).astype(np.uint64)
+                    sig = mix(sig + mix(place + U64(77)))[filled]
+                who = who[filled]
+                out.append((sig, who, key[who], np.maximum(share, 1)[who]))
+                todo = todo[share[todo] < 1]
+            if len(todo):  # what no level could settle meets under one hash a scheme
+                out.append((mix(scheme[todo].astype(np.uint64) + U64(0xE11E << 40)), todo, scheme[todo] * 16 + LEVELS, np.ones(len(todo), np.int64)))
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none.view(np.uint64), none, none, none
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 class Tree:
@@ -214,7 +240,7 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _parts(docs: DataFrame, k: int, percent: int, bitmap: np.ndarray | None = None) -> DataFrame:
-    """``sig, cls`` of all texts; a task emits equal sets once.  With a bitmap, only what it may hold."""
+    """``sig, which`` of all texts (``which``: 32 bits of the class); a task emits equal sets once.  With a bitmap, ``sig, cls, key, share`` of what it may hold."""
     shared = None if bitmap is None else docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,26 +249,34 @@ def _parts(docs: DataFrame, k: int, percent: int, bitmap: np.ndarray | None = No
             h, offs = distinct_shingles(t, k)
             n, cls = np.diff(offs), _class_keys(h, offs)
             fresh = np.zeros(t.n, bool)
+            if len(seen) > SEEN:
+                seen.clear()
             for i, c in enumerate(cls.tolist()):
                 if n[i] and c not in seen:
                     seen.add(c)
                     fresh[i] = True
             n_kept = np.where(fresh, n, 0)
-            sig, owner = part_hashes(h[np.repeat(fresh, n)], np.concatenate([[0], np.cumsum(n_kept)]), sizes)
+            sig, owner, key, share = part_hashes(h[np.repeat(fresh, n)], np.concatenate([[0], np.cumsum(n_kept)]), sizes)
             if shared is not None:
-                at = sig & U64((1 << BITMAP_BITS) - 1)
+                bits = U64(64 * len(shared.value) - 1)
+                at = sig & bits
                 may = (shared.value[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
-                sig, owner = sig[may], owner[may]
+                sig, owner, key, share = sig[may], owner[may], key[may], share[may]
             for lo in range(0, len(sig), 1 << 18):
                 part = slice(lo, lo + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(to_signed(sig[part])), pa.array(to_signed(cls[owner[part]]))], names=["sig", "cls"])
+                cols = [pa.array(to_signed(sig[part]))]
+                if shared is None:
+                    cols.append(pa.array((cls[owner[part]] >> U64(32)).astype(np.uint32).view(np.int32)))
+                else:
+                    cols += [pa.array(to_signed(cls[owner[part]])), pa.array(key[part].astype(np.int32)), pa.array(share[part].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["sig", "which"] if shared is None else ["sig", "cls", "key", "share"])
 
-    return docs.select(F.col("text").alias("_text")).mapInArrow(run, "sig long, cls long")
+    return docs.select(F.col("text").alias("_text")).mapInArrow(run, "sig long, which int" if shared is None else "sig long, cls long, key int, share int")
 
 
 def _repeated(parts: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of the part hashes that occur twice or more: false positives only, so what it lets through stays exact."""
-    often = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """A bitmap of fixed size of the part hashes that two classes or more have: false positives only, so what it lets through stays exact."""
+    often = parts.groupBy("sig").agg(F.min("which").alias("a"), F.max("which").alias("b")).where("a <> b")
     at = F.col("sig").bitwiseAND((1 << BITMAP_BITS) - 1)
     words = often.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sig & 63 as int))")).alias("bits")).toArrow()  # at most 2**(BITMAP_BITS - 6) rows
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
@@ -250,11 +284,26 @@ def _repeated(parts: DataFrame) -> np.ndarray:
     return bitmap
 
 
+def candidates(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``sig, cls``: part hashes by which every class meets all its partners.
+
+    A class and its partner have ``share`` part hashes of a scheme in common, so the ``share - 1`` of them that most classes have can go: two
+    sets that keep all but so many of their rarest hashes still have one in common.  What many texts have in common, such as a passage, is
+    no key of a text that has enough of its own.
+    """
+    # part hashes are made twice: counted alone, then kept with their class only where repeated, which is a few in a hundred
+    rows = _parts(docs, k, percent, _repeated(_parts(docs, k, percent))).groupBy("sig", "cls").agg(F.first("key").alias("key"), F.first("share").alias("share"))
+    rows = materialise(rows, "jaccard-parts")
+    common = rows.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
+    own = W.partitionBy("cls", "key")
+    ranked = rows.join(common, "sig").withColumn("rank", F.row_number().over(own.orderBy("df", "sig"))).withColumn("all", F.count("*").over(own))
+    return ranked.where("rank <= all - share + 1").select("sig", "cls")
+
+
 def similar_classes(docs: DataFrame, k: int, percent: int, block: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Classes of all rows (``doc_id, n_shingles, cls``) and links (``a, b``) between classes that connect all similar ones."""
     classes = materialise(_classes(docs, k), "jaccard-classes")
-    # part hashes are made twice: counted alone, then kept with their class only where repeated, which is a few in a hundred
-    parts = materialise(_parts(docs, k, percent, _repeated(_parts(docs, k, percent).select("sig"))), "jaccard-parts")
+    parts = materialise(candidates(docs, k, percent), "jaccard-candidates")
     shared = parts.groupBy("sig").agg(F.min("cls").alias("low"), F.max("cls").alias("top")).where("low <> top").select("sig", "low")
     near = parts.join(shared, "sig").where("cls <> low").select("low", "cls").distinct()
     near = materialise(near.withColumn("least", F.min("low").over(W.partitionBy("cls"))), "jaccard-near")  # at most two rows a part of the class

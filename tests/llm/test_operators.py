@@ -353,3 +353,36 @@ def test_pipeline(spark, tmp_path):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.where(F.col("round_trip")).count() == out.count() > 100
+
+
+def test_unrelated_sets_share_no_part():
+    """Sets of 1 to 900 shingles without a common one meet under no key; sets at the threshold always do."""
+    r = np.random.default_rng(11)
+    sizes = [1, 2, 3, 5, 8, 13, 30, 31, 60, 150, 400, 900]
+    sets = [np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)) for n in sizes * 20]
+    offs = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    for percent in (80, 90, 50):
+        sig, owner, key, share = jaccard_join.part_hashes(np.concatenate(sets), offs, jaccard_join.Sizes(percent))
+        assert (share >= 1).all() and (percent == 50 or len(np.unique(sig)) == len(sig))  # at 50 % most small sets meet under the last level
+        for s in sets[:48]:
+            n = len(s)
+            for gone in range(n):  # as many taken out, and then as many changed, as the threshold allows
+                if 100 * (n - gone) < percent * n:
+                    break
+            for other in (s[: n - gone + 1] if gone else s, np.concatenate([s[: n - changed(n, percent)], r.integers(0, 1 << 63, changed(n, percent)).astype(np.uint64)])):
+                pair = [s, np.sort(other)]
+                if len(pair[0]) == len(pair[1]) and (pair[0] == pair[1]).all():
+                    continue
+                got = jaccard_join.part_hashes(np.concatenate(pair), np.array([0, n, n + len(other)]), jaccard_join.Sizes(percent))
+                both = set(got[0][got[1] == 0].tolist()) & set(got[0][got[1] == 1].tolist())
+                need = {(w, k): m for _, w, k, m in zip(*map(np.ndarray.tolist, got), strict=True)}
+                common = collections.Counter(k for x, w, k, _ in zip(*map(np.ndarray.tolist, got), strict=True) if w == 0 and x in both)
+                assert any(c >= max(need[0, k], need[1, k]) for k, c in common.items() if (0, k) in need and (1, k) in need), (n, len(other), percent)
+
+
+def changed(n, percent):
+    """The most shingles of n that can be replaced while the sets reach the threshold."""
+    c = 0
+    while 100 * (n - c - 1) >= percent * (n + c + 1):
+        c += 1
+    return c
