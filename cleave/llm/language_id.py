@@ -2,15 +2,19 @@
 
 Method.  Letter trigrams (three code points of lower-cased letters, in hashed bins) of all ``documents`` with a known language are
 summed by language into a multinomial text model.  Every page gets a log-likelihood for each language from its visible text,
-tempered because neighbouring trigrams depend on each other.  From text alone the pages' posteriors are summed by host, by site, by address suffix
+tempered because neighbouring trigrams depend on each other.  From text alone the pages' posteriors are summed by host, by registered name, by address suffix
 and in total; each level is smoothed by the one above (``strength`` pseudo-pages), which gives a hierarchical prior for each host.
 How often a declared language is right is estimated from the same posteriors as a smoothed confusion table.
-The final posterior of a page is prior x declaration x text.
+The final posterior of a page is prior x declaration x text; the page's own posterior is taken out of the sums that its prior and its
+declaration are weighed by, so no text counts twice.
 
 A host with a third of all pages is summed before the shuffle, and its prior joins its pages by a join that Spark may split.
 
-Edge cases.  A null html or a page without letters has no text evidence; a null or odd address has the total prior; an undeclared
-language is no evidence.  Repeated rows are identified each.  No labelled documents at all: an empty result column ``lang`` of nulls.
+Edge cases.  Every page row gives one row.  A null html or a page without letters has no text evidence; a null or odd address has the total
+prior; ports, user names and a closing dot are no part of a host; numeric addresses and single labels are registered names of their own; an undeclared
+language is no evidence.  Repeated rows are identified each, and are evidence for each other.  Ties go to the language that sorts first.  Empty ``pages`` give an
+empty result; no labelled documents at all: a column ``lang`` of nulls.  Texts of any length are read whole; extra columns are not read.
+More than MOST_LANGUAGES languages are refused with a ValueError.
 """
 
 from __future__ import annotations
@@ -28,6 +32,9 @@ from cleave.session import materialise
 
 #: Hashed trigram bins, and the most languages that the text model holds: together they bound what is broadcast.
 BINS, MOST_LANGUAGES = 1 << 15, 256
+#: Second-level labels under which countries register names.
+SECOND_LEVEL = "ac|co|com|edu|gob|gov|gouv|ne|net|nom|or|org"
+NUMERIC = r"^(?:[0-9.]+|\[.*)$"
 
 
 def bins(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -83,19 +90,28 @@ def visible(html: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
+    """The lower-case host without port and closing dot; null where the address has none."""
+    found = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)", 1))
+    return F.nullif(F.regexp_replace(found, r"\.+$", ""), F.lit(""))
+
+
+def site_of(host: Column) -> Column:
+    """The registered name: the last two labels, three below a second-level suffix such as co.uk; numeric addresses and single labels whole."""
+    last = F.regexp_extract(host, rf"([^.]+\.(?:(?:{SECOND_LEVEL})\.[a-z]{{2}}|[^.]+))$", 1)
+    return F.when(host.rlike(NUMERIC), host).otherwise(F.coalesce(F.nullif(last, F.lit("")), host))
+
+
+def suffix_of(host: Column) -> Column:
+    """The last label; empty for a numeric address."""
+    return F.when(host.rlike(NUMERIC), F.lit("")).otherwise(F.regexp_extract(host, r"([^.]+)$", 1))
 
 
 def text_scores(pages: DataFrame, names: list[str], log_p: np.ndarray, temper: float = 0.2) -> DataFrame:
-    """``page_id, host, site, suffix, declared, n_grams, loglik array`` of every page; html isn't kept."""
+    """``page_id, host, declared, n_grams, loglik array`` of every page; html isn't kept."""
     shared = pages.sparkSession.sparkContext.broadcast((log_p.T.copy(), len(names)))
-    host = host_of(F.col("url"))
     declared = F.lower(F.regexp_extract("html", r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))
-    cols = ["page_id", "host", "site", "suffix", "declared"]
-    rows = pages.select(
-        "page_id", host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("site"), F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"),
-        F.nullif(declared, F.lit("")).alias("declared"), visible(F.col("html")).alias("_text"),
-    )
+    cols = ["page_id", "host", "declared"]
+    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), F.nullif(declared, F.lit("")).alias("declared"), visible(F.col("html")).alias("_text"))
     schema = rows.select(*cols).schema.add("n_grams", "long").add("loglik", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,32 +139,39 @@ def identify(pages: DataFrame, docs: DataFrame, strength: float = 10.0) -> DataF
     if not names:
         return pages.select("page_id", host_of(F.col("url")).alias("host"), F.lit(None).cast("string").alias("declared"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_lang"), F.lit(0).cast("long").alias("n_grams"))
     k = len(names)
+    zero = F.array_repeat(F.lit(0.0), k)
     scored = materialise(text_scores(pages, names, log_p), "language-text").withColumn("p", _posterior(F.col("loglik")))
-    each = [F.sum(F.when(F.col("n_grams") > 0, F.col("p")[i]).otherwise(0.0)) for i in range(k)]
-    sums = lambda by: scored.groupBy(*by).agg(F.array(*each).alias("n"))
+    scored = scored.withColumn("own", F.when(F.col("n_grams") > 0, F.col("p")).otherwise(zero))  # what the page itself adds to every sum
+    sums = lambda rows, col, by: rows.groupBy(*by).agg(F.array(*(F.sum(F.col(col)[i]) for i in range(k))).alias("n"))
 
-    def smooth(own: Column, above: Column) -> Column:
-        total = F.aggregate(own, F.lit(0.0), lambda a, b: a + b)
-        return F.zip_with(own, above, lambda x, q: (x + strength * q) / (total + strength))
+    def smooth(n: Column, above: Column) -> Column:
+        """The shares of the counts ``n`` without the page's own, with ``strength`` pages of what lies above."""
+        rest = F.zip_with(n, F.col("own"), lambda x, o: F.greatest(x - o, F.lit(0.0)))
+        total = F.aggregate(rest, F.lit(0.0), lambda a, b: a + b)
+        return F.zip_with(rest, above, lambda x, q: (x + strength * q) / (total + strength))
 
-    whole = scored.agg(F.array(*each).alias("n"))
-    base = whole.select(smooth(F.col("n"), F.array_repeat(F.lit(1.0 / k), k)).alias("prior")).first()[0]  # one row of k numbers
-    total = F.array(*(F.lit(1.0 / k if x is None else float(x)) for x in base or [None] * k))
-    suffixes = sums(["suffix"]).select("suffix", smooth(F.col("n"), total).alias("of_suffix"))
-    sites = sums(["suffix", "site"]).join(suffixes, "suffix").select("site", smooth(F.col("n"), F.col("of_suffix")).alias("of_site"))
-    hosts = sums(["site", "host"]).where("host is not null").join(sites, "site").select("host", smooth(F.col("n"), F.col("of_site")).alias("prior"))
+    # each level is summed from the one below: site and suffix follow from the host
+    hosts = materialise(sums(scored.where("host is not null"), "own", ["host"]), "language-hosts").select("host", site_of(F.col("host")).alias("site"), "n")
+    sites = sums(hosts, "n", ["site"]).select("site", suffix_of(F.col("site")).alias("suffix"), F.col("n").alias("n_site"))
+    suffixes = sums(sites, "n_site", ["suffix"]).withColumnRenamed("n", "n_suffix")
+    tree = hosts.join(sites, "site").join(suffixes, "suffix").select(F.col("host").alias("_host"), "n", "n_site", "n_suffix")
 
     # P(declared | language), smoothed towards how common the declaration is
-    said = scored.where("declared is not null").groupBy("declared").agg(F.array(*each).alias("n"))
-    every = said.agg(F.array(*(F.sum(F.col("n")[i]) for i in range(k))).alias("n")).first()[0] or [0.0] * k
-    sizes = [float(x or 0.0) for x in every]
-    share = F.aggregate("n", F.lit(0.0), lambda a, b: a + b) / F.lit(max(sum(sizes), 1.0))
-    given = F.zip_with("n", F.array(*(F.lit(x) for x in sizes)), lambda x, t: F.log((x + strength * share + 1e-9) / (t + strength)))
-    said = said.select(F.col("declared").alias("_declared"), given.alias("says"))
-
-    out = scored.join(hosts.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left").join(said, F.col("declared") == F.col("_declared"), "left")
-    zero = F.array_repeat(F.lit(0.0), k)
-    logs = F.zip_with(F.zip_with(F.col("loglik"), F.transform(F.coalesce("prior", total), lambda x: F.log(x)), lambda a, b: a + b), F.coalesce("says", zero), lambda a, b: a + b)
+    said = sums(scored.where("declared is not null"), "own", ["declared"])
+    sizes = said.agg(F.array(*(F.sum(F.col("n")[i]) for i in range(k))).alias("n")).first()[0]  # one row of k numbers
+    sizes = [float(x or 0.0) for x in sizes or [0.0] * k]
+    share = F.aggregate("n_said", F.lit(0.0), lambda a, b: a + b) / F.lit(max(sum(sizes), 1.0))
+    left = F.zip_with(F.array(*(F.lit(x) for x in sizes)), "own", lambda t, o: F.greatest(t - o, F.lit(0.0)))
+    hits = F.zip_with("n_said", "own", lambda x, o: F.greatest(x - o, F.lit(0.0)))
+    says = F.zip_with(hits, left, lambda x, t: F.log((x + strength * share + 1e-9) / (t + strength)))
+    said = said.select(F.col("declared").alias("_declared"), F.col("n").alias("n_said"))
+
+    whole = scored.agg(F.array(*(F.sum(F.col("own")[i]) for i in range(k))).alias("n")).first()[0]  # one row of k numbers
+    total = F.array(*(F.lit(float(x or 0.0)) for x in whole or [0.0] * k))
+    out = scored.join(tree, F.col("host") == F.col("_host"), "left").join(said, F.col("declared") == F.col("_declared"), "left")
+    for name, n, above in (("q0", total, F.array_repeat(F.lit(1.0 / k), k)), ("q1", F.coalesce("n_suffix", "own"), F.col("q0")), ("q2", F.coalesce("n_site", "own"), F.col("q1")), ("prior", F.coalesce("n", "own"), F.col("q2"))):
+        out = out.withColumn(name, smooth(n, above))
+    logs = F.zip_with(F.zip_with(F.col("loglik"), F.transform("prior", lambda x: F.log(x)), lambda a, b: a + b), F.when(F.col("n_said").isNull(), zero).otherwise(says), lambda a, b: a + b)
     final = out.withColumn("q", _posterior(logs))
     label = lambda c: F.array(*map(F.lit, names))[(F.array_position(c, F.array_max(c)) - 1).cast("int")]
     return final.select("page_id", "host", "declared", label(F.col("q")).alias("lang"), F.array_max("q").alias("probability"), F.when(F.col("n_grams") > 0, label(F.col("p"))).alias("text_lang"), "n_grams")

@@ -320,6 +320,57 @@ def test_language(spark):
     assert {r["lang"] for r in language_id.identify(pages, docs.limit(0)).collect()} == {None}
 
 
+def expected_language(scored, names, strength=10.0):
+    """Posteriors by plain loops; a page is left out of its own prior and of its own declaration's weight."""
+    import urllib.parse
+
+    def levels(host):
+        if host is None:
+            return [None] * 3
+        if re.fullmatch(r"[0-9.]+|\[.*", host):
+            return [host, host, ""]
+        parts = host.split(".")
+        deep = 3 if len(parts) > 2 and parts[-2] in language_id.SECOND_LEVEL.split("|") and re.fullmatch("[a-z]{2}", parts[-1]) else 2
+        return [host, ".".join(parts[-deep:]), parts[-1]]
+
+    softmax = lambda x: np.exp(x - np.max(x)) / np.exp(x - np.max(x)).sum()
+    own = [softmax(np.array(r["loglik"])) if r["n_grams"] else np.zeros(len(names)) for r in scored]
+    out = []
+    for i, r in enumerate(scored):
+        q = np.full(len(names), 1 / len(names))
+        mine = levels(r["host"])
+        for depth in (None, 2, 1, 0):
+            if depth is not None and r["host"] is None:
+                break
+            n = sum((own[j] for j, x in enumerate(scored) if j != i and (depth is None or x["host"] is not None and levels(x["host"])[depth] == mine[depth])), np.zeros(len(names)))
+            q = (n + strength * q) / (n.sum() + strength)
+        logs = np.array(r["loglik"]) + np.log(q)
+        if r["declared"] is not None:
+            said = [j for j, x in enumerate(scored) if x["declared"] is not None]
+            of = [j for j in said if scored[j]["declared"] == r["declared"]]
+            share = sum(own[j].sum() for j in of) / max(sum(own[j].sum() for j in said), 1.0)
+            hits, all_ = (sum((own[j] for j in x if j != i), np.zeros(len(names))) for x in (of, said))
+            logs = logs + np.log((hits + strength * share + 1e-9) / (all_ + strength))
+        p = softmax(logs)
+        out.append((r["page_id"], names[int(np.argmax(p))], round(float(p.max()), 9)))
+    return sorted(out, key=str)
+
+
+def test_language_posteriors(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog in the house " * 5, "en"), (2, "der hund und die katze in dem haus " * 5, "de"), (3, "le chat et le chien dans la maison " * 5, "fr")], "doc_id long, text string, lang string")
+    urls = ["http://localhost/a", "http://intranet/b", "http://example.com./c", "http://x.com/", "http://Example.com:8080/d", "http://u:p@www.shop.co.uk/e", "http://other.co.uk/", "http://10.0.0.1/x", "http://10.0.0.2/x", "http://[::1]:80/", None, "odd", "http://www.x.com/z", "http://x.com/"]
+    bodies = ["der hund und die katze", "the dog and the cat", "le chien et le chat", "", None, "the house"]
+    rows = [(i, u, None if (b := bodies[i % 6]) is None else f'<html lang="{"de" if i % 3 else "en"}"><p>{b}</p>' if i % 4 else f"<p>{b}</p>", 1.0, "x") for i, u in enumerate(urls)]
+    rows.append(rows[0])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, p double, n string").repartition(3)
+    names, log_p = language_id.train(docs)
+    scored = language_id.text_scores(pages, names, log_p).collect()
+    got = sorted(((r["page_id"], r["lang"], round(r["probability"], 9)) for r in language_id.identify(pages, docs).collect()), key=str)
+    assert got == expected_language(scored, names)
+    hosts = {r["page_id"]: r["host"] for r in scored}
+    assert [hosts[i] for i in (2, 4, 5, 9, 10, 11)] == ["example.com", "example.com", "www.shop.co.uk", "[::1]", None, None]
+
+
 def test_pieces(docs, empty):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
     odd = ["", " ", "  a  b\n\tc ", "ﬁ é é", "a\x00b", "日本𐍈", "▁x", "x" * 300, "    ", "hello   world", "\n\n\n", " a", "aaaa" * 50, BASE, "😀" * 9]
