@@ -5,17 +5,22 @@ Method.
    places, so windows whose anchor is unique in the corpus are unique, and the corpus falls apart by anchor.  Windows in a row with
    one anchor are a context.  A task keeps the first of its equal contexts; the others repeat it, whole.
 2. Contexts meet by anchor (one shuffle of hashes, no texts).  The first of equal contexts stays, the others repeat it.  An anchor
-   with a single context is done; contexts of the others are contested.
-3. Contested contexts, with their bytes, meet by anchor.  A task cuts them into shards, makes each shard's
-   suffix array and Burrows-Wheeler transform, and merges the transforms by refining the interleave: one pass sorts the rows stably by
-   their transform symbol, which after h passes orders all suffixes by h symbols without sorting suffixes anew; where a pass first parts two
-   rows gives their common prefix.  Runs of rows with a common prefix of ``width`` are the repeated intervals; in each, all but the
-   first in (doc_id, start) repeat it.
-4. A document loses the bytes that its repeating windows cover.
+with a single context is done; contexts of the others are contested.
+3. Contested contexts get their bytes and are cut in three by where in a window the anchor stands; windows of one part have more in
+common than the anchor, by the hash of which they meet once more, as in 2.  What stays contested differs in a few bytes about a long
+common core.
+4. Those contexts meet by core.  A task cuts them into shards, makes each shard's
+suffix array and Burrows-Wheeler transform, and merges the transforms by refining the interleave: one pass sorts the rows stably by
+their transform symbol, which after h passes orders all suffixes by h symbols without sorting suffixes anew; where a pass first parts two
+rows gives their common prefix.  Runs of rows with a common prefix of ``width`` are the repeated intervals; in each, all but the
+first in (doc_id, text hash, start) repeat it.  Cores with more than HOT contexts (a passage that very many documents share, and what
+stands before and after it) would fill one task: their windows, 23 a context at most, are spread by their own hash and settled as in 2.
+5. A document loses the bytes that its repeating windows cover.
 
 Edge cases.  A null text is empty; texts below ``width`` bytes lose nothing.  A null doc_id orders before all others.  Rows that
-repeat a doc_id with the same text are one document and get the same result.  Extra columns are not read by :func:`repeated_spans`.
-An empty table gives an empty result.
+repeat a doc_id with the same text are one document and get the same result; rows of one doc_id (or of none) with different texts are documents of
+their own, in the order of the texts' 64-bit hashes.  Extra columns are not read by :func:`repeated_spans`.
+A text longer than a chunk is held whole by its task, with some 60 bytes of arrays a byte.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ U64 = np.uint64
 NO_ID = -(1 << 63)
 #: Bytes of contexts that a task merges at once, and shards they are cut into.
 MERGE_BYTES, SHARDS = 512 << 10, 2
+#: Parts of the places that an anchor can have in a window, and contexts under one key above which windows are told apart one by one.
+THIRDS, HOT = 3, 2048
 
 
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -71,50 +78,62 @@ def contexts(t: Texts, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _candidates(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """``anchor, context, id, lo, n, done``: the contexts of all texts; ``done`` (with a scattered anchor) where an equal one comes earlier in the task's chunk."""
+    """``anchor, context, id, own, lo, n, done``: the contexts of all texts; ``done`` (with a scattered anchor) where an equal one comes earlier in the task's chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, t in chunks(batches, "_text"):
             text, lo, n, anchor, context = contexts(t, width, k)
-            ids = rows.column(0).to_numpy(zero_copy_only=False)[text]
+            ids, own = (rows.column(i).to_numpy(zero_copy_only=False)[text] for i in (0, 1))
             lo = lo - t.offs[text]
             with np.errstate(over="ignore"):
                 key = mix(anchor + mix(context))
-            order = np.lexsort((lo, ids, key))
+            order = np.lexsort((lo, own, ids, key))
             same = np.zeros(len(key), bool)
             a, b = order[1:], order[:-1]
             same[1:] = key[a] == key[b]
             leader = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))  # the first of each run of equal contexts
             done = np.zeros(len(key), bool)
             lead = order[leader]
-            done[order] = same & ((ids[lead] != ids[order]) | (lo[lead] != lo[order]))
+            done[order] = same & ((ids[lead] != ids[order]) | (own[lead] != own[order]) | (lo[lead] != lo[order]))
             with np.errstate(over="ignore"):  # what is done needs no meeting; it goes anywhere
                 anchor = np.where(done, mix(ids.astype(np.uint64) + mix(lo.astype(np.uint64))), anchor)
-            yield pa.RecordBatch.from_arrays([pa.array(to_signed(anchor)), pa.array(to_signed(context)), pa.array(ids), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(done)], names=["anchor", "context", "id", "lo", "n", "done"])
+            yield pa.RecordBatch.from_arrays([pa.array(to_signed(anchor)), pa.array(to_signed(context)), pa.array(ids), pa.array(own), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(done)], names=["anchor", "context", "id", "own", "lo", "n", "done"])
 
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text").alias("_text")).mapInArrow(run, "anchor long, context long, id long, lo int, n int, done boolean")
+    return _keyed(docs).mapInArrow(run, "anchor long, context long, id long, own long, lo int, n int, done boolean")
+
+
+def _keyed(docs: DataFrame, *cols: F.Column) -> DataFrame:
+    """``_id, _own, _text``: a row's place in the order (null ids first; then the text's hash, which tells rows of one id apart) and its text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("_id"), F.xxhash64(text).alias("_own"), text.alias("_text"), *cols)
+
+
+FOUND = "id long, own long, lo int, n int, anchor long, bytes binary"
 
 
 def _resolve(candidates: DataFrame) -> DataFrame:
-    """``id, lo, n, anchor``: repeating windows (no anchor) and contested contexts (with theirs).
+    """FOUND: repeating windows (no anchor) and contested contexts (with theirs, and their bytes where ``candidates`` has them).
 
-    Each task reads its rows in the order of (anchor, context, id, lo), batch by batch, and keeps one row of state.
+    Each task reads its rows in the order of (anchor, context, id, own, lo), batch by batch, and keeps one row of state.
     """
-    rows = candidates.repartition("anchor").sortWithinPartitions("anchor", "context", "id", "lo")
-    names = ["id", "lo", "n", "anchor"]
+    if "bytes" not in candidates.columns:
+        candidates = candidates.withColumn("bytes", F.lit(None).cast("binary"))
+    rows = candidates.select("anchor", "context", "id", "own", "lo", "n", "done", "bytes").repartition("anchor").sortWithinPartitions("anchor", "context", "id", "own", "lo")
+    names = ["id", "own", "lo", "n", "anchor", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None  # the first context of the last anchor while it has no other
-        last: tuple[int, int, int, int] | None = None  # anchor, context, and id and lo of the first of the last class
+        held: pa.RecordBatch | None = None  # the first context of the last anchor while it has no other
+        last: tuple | None = None  # anchor, context, and the first row (id, own, lo) of the last class
         told = False  # whether the last anchor is contested
         for b in batches:
             if not b.num_rows:
                 continue
-            *cols, done = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            *cols, done = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
             if done.any():
-                _, _, ids, lo, n = (c[done] for c in cols)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lo), pa.array(n), pa.nulls(len(ids), pa.int64())], names=names)
-            anchor, context, ids, lo, n = (c[~done] for c in cols)
+                at = np.flatnonzero(done)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in cols[2:]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())], names=names)
+            open_ = np.flatnonzero(~done)
+            anchor, context, ids, own, lo, n = (c[open_] for c in cols)
             size = len(anchor)
             if not size:
                 continue
@@ -124,32 +143,35 @@ def _resolve(candidates: DataFrame) -> DataFrame:
             if last is not None and anchor[0] == last[0]:
                 fresh_anchor[0] = False
                 fresh[0] = context[0] != last[1]
-            # the id and lo of the first of each class
+            # the first row of each class
             lead = np.maximum.accumulate(np.where(fresh, np.arange(size), -1))
-            lead_id, lead_lo = ids[lead], lo[lead]
+            firsts = [x[lead] for x in (ids, own, lo)]
             if not fresh[0]:
                 carried = lead < 0
-                lead_id[carried], lead_lo[carried] = last[2], last[3]
-            repeat = ~fresh & ((lead_id != ids) | (lead_lo != lo))
+                for x, v in zip(firsts, last[2:], strict=True):
+                    x[carried] = v
+            repeat = ~fresh & ((firsts[0] != ids) | (firsts[1] != own) | (firsts[2] != lo))
             # classes of each anchor in this batch
             group = np.cumsum(fresh_anchor) - (1 if fresh_anchor[0] else 0)
             count = np.bincount(group, fresh, minlength=group[-1] + 1)
             if not fresh_anchor[0]:
                 count[0] += 1  # the class that was held
-            contested = fresh & (count[group] > 1)
-            out = [np.concatenate([ids[repeat], ids[contested]]), np.concatenate([lo[repeat], lo[contested]]), np.concatenate([n[repeat], n[contested]]), np.concatenate([anchor[repeat], anchor[contested]])]
-            mask = np.concatenate([np.ones(repeat.sum(), bool), np.zeros(contested.sum(), bool)])
+            contested = np.flatnonzero(fresh & (count[group] > 1))
+            at = np.flatnonzero(repeat)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in (ids, own, lo, n)), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())], names=names)
             if held is not None and not fresh_anchor[0] and not told and count[0] > 1:
-                out, mask = [np.append(x, y) for x, y in zip(out, held, strict=True)], np.append(mask, False)
+                yield held
                 told = True
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2]), pa.array(out[3], mask=mask)], names=names)
+            row = lambda at: pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in (ids, own, lo, n, anchor)), b.column(7).take(pa.array(open_[at]))], names=names)  # noqa: E731, B023
+            if len(contested):
+                yield row(contested)
             where = np.flatnonzero(fresh_anchor)
             if len(where):
-                f = where[-1]
-                held, told = [ids[f], lo[f], n[f], anchor[f]], bool(count[group[-1]] > 1)
-            last = (anchor[-1], context[-1], lead_id[-1], lead_lo[-1])
+                held, told = row(where[-1:]), bool(count[group[-1]] > 1)
+            last = (anchor[-1], context[-1], *(x[-1] for x in firsts))
 
-    return rows.mapInArrow(run, "id long, lo int, n int, anchor long")
+    return rows.mapInArrow(run, FOUND)
 
 
 def suffix_array(symbols: np.ndarray, string: np.ndarray, depth: int) -> np.ndarray:
@@ -254,29 +276,83 @@ def _spans_of(who: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return who[first], start[first], np.diff(np.append(first, len(who)))
 
 
-def _merge(contested: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``id, lo, n``: the repeating windows of contested contexts."""
-    wanted = contested.groupBy("id").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("at"))  # bounded by the text's length
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text").alias("_text"))
-    joined = wanted.join(texts, F.col("id") == F.col("_id")).select("id", "at", F.col("_text").cast("binary").alias("_text"))
+def _refined(contested: DataFrame, docs: DataFrame, width: int, k: int) -> DataFrame:
+    """The contested contexts as candidates again, with their bytes: windows in which the anchor stands in the same third of the
+    possible places share more than the anchor, and meet under the hash of all that such windows have in common around it."""
+    wanted = contested.groupBy("id", "own").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("at"))  # bounded by the text's length
+    joined = _keyed(docs).dropDuplicates(["_id", "_own"]).join(wanted, (F.col("id") == F.col("_id")) & (F.col("own") == F.col("_own"))).select("id", "own", "_text", "at")
+    places = width - k + 1
+    part = -(-places // THIRDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, t in chunks(batches, "_text"):
+            at = rows.column(3)
+            text = np.repeat(np.arange(t.n), at.value_lengths().to_numpy(zero_copy_only=False))
+            anchor, lo, n = (c.to_numpy(zero_copy_only=False) for c in at.flatten().flatten())
+            lo = lo + t.offs[text]
+            # the anchor's place: its first occurrence in the context's bytes
+            span = n + width - k
+            first = np.concatenate([[0], np.cumsum(span)])
+            spot = np.repeat(lo - first[:-1], span) + np.arange(first[-1])
+            is_anchor = t.hash.spans(spot, spot + k).view(np.int64) == np.repeat(anchor, span)
+            hit = np.flatnonzero(is_anchor)
+            place = spot[hit[np.searchsorted(hit, first[:-1])]]
+            out = []
+            for j in range(THIRDS):  # windows that start where the anchor's offset is in part j
+                low, high = j * part, min((j + 1) * part, places) - 1
+                a, b = np.maximum(lo, place - high), np.minimum(lo + n - 1, place - low)
+                some = np.flatnonzero(a <= b)
+                a, b, p = a[some], b[some], place[some]
+                core = t.hash.spans(p - low, p + width - high)
+                with np.errstate(over="ignore"):
+                    key = mix(core + mix(anchor[some].view(np.uint64) + U64(j)))
+                out.append((key, t.hash.spans(a, b + width), some, a, b + 1 - a))
+            key, context, some, a, m = (np.concatenate(x) for x in zip(*out, strict=True))
+            who = text[some]
+            size = m + width - 1
+            offs = np.concatenate([[0], np.cumsum(size)])
+            data = t.data[np.repeat(a - offs[:-1], size) + np.arange(offs[-1])]
+            raw = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(data)])
+            ids, own = (rows.column(i).to_numpy(zero_copy_only=False)[who] for i in (0, 1))
+            whole = pa.RecordBatch.from_arrays([pa.array(to_signed(key)), pa.array(to_signed(context)), pa.array(ids), pa.array(own), pa.array((a - t.offs[who]).astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(np.zeros(len(a), bool)), raw], names=["anchor", "context", "id", "own", "lo", "n", "done", "bytes"])
+            yield from (whole.slice(x, 1 << 15) for x in range(0, len(whole), 1 << 15))
+
+    return joined.mapInArrow(run, "anchor long, context long, id long, own long, lo int, n int, done boolean, bytes binary")
+
+
+def _single_windows(contested: DataFrame, width: int) -> DataFrame:
+    """Candidates again, of one window each, under the window's own hash."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for id_, at, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                for x in at:
-                    for c, v in zip(out, (x["anchor"], id_, x["lo"], x["n"], text[x["lo"] : x["lo"] + x["n"] + width - 1]), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], names=["anchor", "id", "lo", "n", "bytes"])
+            t = Texts.of(b.column(5))
+            ids, own, lo, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            row = np.repeat(np.arange(len(n)), n)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            at = t.offs[row] + step
+            h = t.hash.spans(at, at + width)
+            yield pa.RecordBatch.from_arrays([pa.array(to_signed(h)), pa.array(to_signed(mix(h))), pa.array(ids[row]), pa.array(own[row]), pa.array((lo[row] + step).astype(np.int32)), pa.array(np.ones(len(row), np.int32)), pa.array(np.zeros(len(row), bool))], names=["anchor", "context", "id", "own", "lo", "n", "done"])
+
+    return contested.select("id", "own", "lo", "n", "anchor", "bytes").mapInArrow(run, "anchor long, context long, id long, own long, lo int, n int, done boolean")
+
+
+def _merge(contested: DataFrame, width: int) -> DataFrame:
+    """``id, own, lo, n``: the repeating windows of contested contexts, which meet by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, anchor = 0, None
 
         def done() -> pa.RecordBatch:
-            ids, lo, n = (np.array(x) for x in list(zip(*held, strict=True))[:3])
-            who, start, many = _spans_of(*repeating_windows([x[3] for x in held], n, ids, lo, width))
-            return pa.RecordBatch.from_arrays([pa.array(who), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int32))], names=["id", "lo", "n"])
+            ids, own, lo, n = (np.array(x) for x in list(zip(*held, strict=True))[:4])
+            order = np.lexsort((own, ids))
+            new = np.ones(len(ids), bool)
+            new[1:] = (ids[order][1:] != ids[order][:-1]) | (own[order][1:] != own[order][:-1])
+            rank = np.empty(len(ids), np.int64)
+            rank[order] = np.cumsum(new) - 1
+            who, start, many = _spans_of(*repeating_windows([x[4] for x in held], n, rank, lo, width))
+            row = order[new][who]
+            return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(own[row]), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int32))], names=["id", "own", "lo", "n"])
 
         for b in batches:
             for a, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -285,20 +361,28 @@ def _merge(contested: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                     held, size = [], 0
                 anchor = a
                 held.append(tuple(row))
-                size += len(row[3])
+                size += len(row[4])
         if held:
             yield done()
 
-    pieces = joined.mapInArrow(cut, "anchor long, id long, lo int, n int, bytes binary")
-    return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "id long, lo int, n int")
+    pieces = contested.select("anchor", "id", "own", "lo", "n", "bytes")
+    return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "id long, own long, lo int, n int")
 
 
 def repeated_spans(docs: DataFrame, width: int = 100, k: int = 32) -> DataFrame:
-    """``id, at``: the repeating windows of each document (null id as NO_ID), as runs of starts."""
+    """``id, own, at``: the repeating windows of each document (null id as NO_ID; ``own``: the text's hash), as runs of starts."""
     found = materialise(_resolve(_candidates(docs, width, k)), "repeats-found")
-    merged = materialise(_merge(found.where("anchor is not null"), docs, width), "repeats-merged")
-    windows = found.where("anchor is null").select("id", "lo", "n").union(merged)
-    return windows.groupBy("id").agg(F.collect_list(F.struct("lo", "n")).alias("at"))
+    near = materialise(_resolve(_refined(found.where("anchor is not null"), docs, width, k)), "repeats-near")
+    contested = near.where("anchor is not null")
+    hot = contested.groupBy("anchor").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select("anchor")  # counts combine before the shuffle
+    hot = materialise(hot, "repeats-hot")
+    merged = materialise(_merge(contested.join(hot, "anchor", "left_anti"), width), "repeats-merged")
+    singles = _resolve(_single_windows(contested.join(hot, "anchor", "left_semi"), width)).where("anchor is null")
+    parts = [found.where("anchor is null"), near.where("anchor is null"), merged, singles]
+    windows = parts[0].select("id", "own", "lo", "n")
+    for x in parts[1:]:
+        windows = windows.union(x.select("id", "own", "lo", "n"))
+    return windows.groupBy("id", "own").agg(F.collect_list(F.struct("lo", "n")).alias("at"))
 
 
 def covered(size: int, at: list[dict] | None, width: int) -> np.ndarray:
@@ -314,8 +398,8 @@ def covered(size: int, at: list[dict] | None, width: int) -> np.ndarray:
 
 def _with_spans(docs: DataFrame, width: int, k: int, *cols: F.Column) -> DataFrame:
     spans = repeated_spans(docs, width, k)
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.coalesce("text", F.lit("")).cast("binary").alias("_text"), *cols)
-    return rows.join(spans, F.col("_id") == F.col("id"), "left")
+    rows = _keyed(docs, *cols).withColumn("_text", F.col("_text").cast("binary"))
+    return rows.join(spans, (F.col("_id") == F.col("id")) & (F.col("_own") == F.col("own")), "left")
 
 
 def removed(docs: DataFrame, width: int = 100, k: int = 32) -> DataFrame:
@@ -360,3 +444,32 @@ def _cut_texts(text, at, width):  # noqa: ANN001, ANN202
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Windows as hexadecimal text, which DuckDB can cut; 128-bit hashes stand for them.
+SQL = r"""
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents
+), w AS (
+  SELECT doc_id, unnest(range(0, n - 99)) AS p, x FROM t WHERE n >= 100
+), h AS (
+  SELECT doc_id, p, md5_number(substr(x, 2 * p + 1, 200)) AS h FROM w
+), f AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM h
+), s AS (
+  SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM f WHERE k > 1
+), r AS (
+  SELECT doc_id, p, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM s
+), g AS (
+  SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM r GROUP BY doc_id, run
+), c AS (
+  SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM g GROUP BY doc_id
+), k AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS u, a AS v FROM g
+  UNION ALL SELECT doc_id, max(b), (SELECT n FROM t WHERE t.doc_id = g.doc_id) FROM g GROUP BY doc_id
+), z AS (
+  SELECT k.doc_id, string_agg(substr(x, 2 * u + 1, 2 * (v - u)), '' ORDER BY u) AS kept FROM k JOIN t USING (doc_id) GROUP BY k.doc_id
+)
+SELECT t.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM t LEFT JOIN c USING (doc_id) LEFT JOIN z USING (doc_id)
+"""

@@ -209,33 +209,43 @@ def test_one_of_each(docs, empty):
 
 
 def without(texts, width):
-    """Brute force over (doc_id, start); a null id is the smallest; rows of one id are one document."""
+    """Brute force over (doc_id, text hash, start); a null id is the smallest; equal rows are one document."""
+    import xxhash
+
+    own = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t, seed=42)).view(np.int64))
     seen, gone = set(), {}
-    for i, t in sorted({(-(1 << 63) if i is None else i, t or "") for i, t in texts}):
+    for i, _, t in sorted({(-(1 << 63) if i is None else i, own((t or "").encode()), t or "") for i, t in texts}):
         b = t.encode()
-        gone[i] = np.zeros(len(b), bool)
+        gone[i, t] = np.zeros(len(b), bool)
         for p in range(len(b) - width + 1):
             if b[p : p + width] in seen:
-                gone[i][p : p + width] = True
+                gone[i, t][p : p + width] = True
             seen.add(b[p : p + width])
     return gone
 
 
-@pytest.mark.parametrize("merge_bytes", [2 << 20, 500])
-def test_repeats(spark, docs, empty, merge_bytes, monkeypatch):
+SHARED = [(20, prose(90, 30)), (27, prose(90, 30)), (27, prose(95, 31)), (None, prose(80, 32)), (None, prose(80, 32) + prose(80, 33)), (27, None), (28, None), (27, "")]
+PASSAGE = prose(40, 34)
+BETWEEN = [(40 + i, prose(5, 50 + i % 3) + PASSAGE + prose(6, 70 + i // 2) + ("ab" * 200 if i == 5 else "")) for i in range(12)]
+
+
+@pytest.mark.parametrize(("merge_bytes", "hot"), [(2 << 20, 2048), (500, 2048), (500, 3)])
+def test_repeats(spark, docs, empty, merge_bytes, hot, monkeypatch):
     monkeypatch.setattr(repeats, "MERGE_BYTES", merge_bytes)
-    gone = without(TEXTS, 100)
-    text = dict(TEXTS)
-    out = repeats.removed(docs).collect()
-    assert len(out) == len(TEXTS)
-    for r in out:
-        i = r["doc_id"]
-        g, b = gone[-(1 << 63) if i is None else i], np.frombuffer((text[i] or "").encode(), np.uint8)
-        assert (r["n_bytes"], r["n_removed"]) == (len(b), g.sum())
-        assert r["kept_sha256"] == hashlib.sha256(b[~g].tobytes()).hexdigest()
+    monkeypatch.setattr(repeats, "HOT", hot)
+    texts = TEXTS + SHARED + BETWEEN
+    table = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in texts], "doc_id long, text string, id string, own int, lo int").repartition(3)
+    gone = without(texts, 100)
+    want = collections.Counter()
+    for i, t in texts:
+        g, b = gone[-(1 << 63) if i is None else i, t or ""], np.frombuffer((t or "").encode(), np.uint8)
+        spans = int(np.count_nonzero(np.diff(np.concatenate([[0], g.astype(int)])) == 1))
+        want[i, len(b), int(g.sum()), spans, hashlib.sha256(b[~g].tobytes()).hexdigest()] += 1
+    assert collections.Counter(map(tuple, repeats.removed(table).collect())) == want
     cleaned = {r["doc_id"]: r for r in repeats.without_repeats(docs).collect()}
     assert cleaned[4]["text"] is None and cleaned[1]["text"] == BASE and cleaned[2]["text"] == ""
     assert repeats.without_repeats(docs).columns == docs.columns
+    assert repeats.without_repeats(table).columns == table.columns
     assert repeats.removed(empty).count() == 0
 
 
@@ -387,9 +397,9 @@ def test_pieces(docs, empty):
     assert sentencepiece_codec.encode_documents(empty).count() == 0
 
 
-@pytest.mark.parametrize("name", ["licences", "warc", "jaccard_join"])
+@pytest.mark.parametrize("name", ["licences", "warc", "jaccard_join", "repeats"])
 def test_sql(spark, name):
-    module = {"licences": (licences, licences.op2_licence_scan), "warc": (warc, warc.op6_warc_zstandard), "jaccard_join": (jaccard_join, jaccard_join.op8_jaccard_join)}[name]
+    module = {"repeats": (repeats, repeats.op7_suffix_dedup), "licences": (licences, licences.op2_licence_scan), "warc": (warc, warc.op6_warc_zstandard), "jaccard_join": (jaccard_join, jaccard_join.op8_jaccard_join)}[name]
     con = duckdb.connect()
     for t in ("documents", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
