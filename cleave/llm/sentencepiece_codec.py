@@ -8,9 +8,11 @@ that order: a merge-order (BPE) model has exactly one encoding of each prefix, a
 its piece and that prefix's last piece stay apart if encoded together.  Characters outside the vocabulary are edges of their own and become byte pieces.
 Decoding joins piece bytes by table.
 
-Edge cases.  A null text has null ids; an empty text has none.  The text's own U+2581 decodes to a space, as in the format.
+Units of which a batch has many are relaxed side by side as arrays; where only a few long ones (unbroken text) go on, edge by edge.
+
+Edge cases.  An empty table gives an empty result; extra columns are not read; encodings have no ties.  A null text has null ids; an empty text has none.  The text's own U+2581 decodes to a space, as in the format.
 Repeated rows are encoded each.  Only models without a normaliser, with a leading space mark, byte fallback and merge order are read;
-others raise ValueError.  Texts of any length are encoded whole.
+others raise ValueError.  Texts of any length are encoded whole, an unbroken one with some 150 bytes of arrays a code point.
 """
 
 from __future__ import annotations
@@ -31,7 +33,11 @@ SPACE = 0x2581
 OUTSIDE = 1 << 24
 #: Closes a unit in the joined text; beyond all code points.
 CLOSE = 0x110000
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
+#: Steps with fewer edges or units than this go through plain loops instead of arrays.
+FEW = 24
+#: Piece pairs that a process keeps in mind; beyond it starts anew.
+MOST_PAIRS = 300_000
 #: A process keeps the encodings of units it has met until they hold this many ids, then starts anew.
 MET_IDS = 2_000_000
 
@@ -58,15 +64,14 @@ class Codec:
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_end = np.cumsum([len(x) for x in raw])
         self.raw_size = np.array([len(x) for x in raw])
-        self.known = np.zeros(0, np.int64)  # piece pairs met so far, sorted, and whether they stay apart
-        self.apart = np.zeros(0, bool)
+        self.pairs: dict[int, bool] = {}  # piece pairs met so far, and whether they stay apart
         self._forget()
 
     @classmethod
-    def load(cls, model: str) -> Codec:
+    def load(cls, model: bytes) -> Codec:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         if sp.encode("ﬁ  a", out_type=str)[:2] != ["▁", "ﬁ"] or any("▁" in p.lstrip("▁") for p in pieces) or sum(map(sp.is_byte, range(len(pieces)))) != 256:
             raise ValueError("not a model of the kind that is read here")
@@ -90,27 +95,21 @@ class Codec:
         """Whether ``left`` and ``right``, encoded together, give just the two (-1: nothing on the left)."""
         out = (left >= OUTSIDE) | (right >= OUTSIDE)
         ask = np.flatnonzero(~out)
-        key = (left[ask].astype(np.int64) + 1) << 32 | right[ask]
-        keys, back = np.unique(key, return_inverse=True)
-        at = np.searchsorted(self.known, keys)
-        have = (self.known[np.minimum(at, len(self.known) - 1)] == keys) if len(self.known) else np.zeros(len(keys), bool)
-        new = keys[~have]
-        if len(new):
-            good = np.zeros(len(new), bool)
-            for x, k in enumerate(new.tolist()):
-                a, b = (k >> 32) - 1, k & 0xFFFFFFFF
-                if a < 0:
-                    good[x] = self.merged(list(self.pieces[b])) == [self.pieces[b]]
-                else:
-                    p, q = self.pieces[a], self.pieces[b]
-                    good[x] = self.merged([*p, *q]) == [p, q]
-            known = np.concatenate([self.known, new])
-            order = np.argsort(known)
-            self.known, self.apart = known[order], np.concatenate([self.apart, good])[order]
-            at = np.searchsorted(self.known, keys)
-        out[ask] = self.apart[at][back]
+        keys, back = np.unique((left[ask].astype(np.int64) + 1) << 32 | right[ask], return_inverse=True)
+        out[ask] = np.fromiter(map(self.pair, keys.tolist()), bool, len(keys))[back]
         return out
 
+    def pair(self, key: int) -> bool:
+        """Whether two pieces (left + 1 in the upper half, 0 for nothing; right in the lower) stay apart."""
+        good = self.pairs.get(key)
+        if good is None:
+            if len(self.pairs) >= MOST_PAIRS:
+                self.pairs.clear()
+            a, b = (key >> 32) - 1, key & 0xFFFFFFFF
+            q = self.pieces[b]
+            good = self.pairs[key] = self.merged([*q]) == [q] if a < 0 else self.merged([*self.pieces[a], *q]) == [self.pieces[a], q]
+        return good
+
     def occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place and piece id of every occurrence of a piece in ``text`` (code points)."""
         n, depth = len(text), self.longest
@@ -164,15 +163,25 @@ class Codec:
         place, piece, size, origin, reach = (x[order] for x in (place, piece, size, origin, reach))
         last = np.full(len(text) + 1, -2, np.int64)  # last piece of the prefix that ends before this place
         step = np.searchsorted(reach, np.arange(1, reach.max(initial=0) + 2))
-        for a, b in zip(step[:-1], step[1:], strict=True):
+        few = np.flatnonzero(np.diff(step) < FEW)
+        broad = int(few[0]) if len(few) else len(step) - 1  # from there on only a few units are left: edge by edge
+        for a, b in zip(step[:broad], step[1 : broad + 1], strict=True):
             p, t, o = place[a:b], piece[a:b], origin[a:b]
             before = np.where(p == o, -1, last[p])
             open_ = np.flatnonzero(before != -2)
             good = open_[self.stay_apart(before[open_], t[open_])]
             last[p[good] + size[a:b][good]] = t[good]
+        tail = slice(step[broad], None)
+        if len(place[tail]):
+            best, pair = last.tolist(), self.pair
+            for p, t, o, z in zip(place[tail].tolist(), piece[tail].tolist(), origin[tail].tolist(), size[tail].tolist(), strict=True):
+                before = -1 if p == o else best[p]
+                if before != -2 and (t >= OUTSIDE or before >= OUTSIDE or pair(before + 1 << 32 | t)):
+                    best[p + z] = t
+            last = np.array(best, np.int64)
         out_place, out_id = [], []
         cursor, at = unit_end.copy(), np.flatnonzero(unit_end > unit_start)
-        while len(at):  # back from the ends, all units at once
+        while len(at) >= FEW:  # back from the ends, all units at once
             t = last[cursor[at]]
             if (t < 0).any():
                 raise ValueError("a unit has no encoding")
@@ -180,6 +189,18 @@ class Codec:
             out_place.append(cursor[at].copy())
             out_id.append(t)
             at = at[cursor[at] > unit_start[at]]
+        if len(at):
+            best, length, places, ids = last.tolist(), self.length.tolist(), [], []
+            for c, o in zip(cursor[at].tolist(), unit_start[at].tolist(), strict=True):
+                while c > o:
+                    t = best[c]
+                    if t < 0:
+                        raise ValueError("a unit has no encoding")
+                    c -= length[t] if t < OUTSIDE else 1
+                    places.append(c)
+                    ids.append(t)
+            out_place.append(np.array(places, np.int64))
+            out_id.append(np.array(ids, np.int64))
         if not out_id:
             return np.zeros(0, np.int64), np.zeros(len(unit_end), np.int64)
         where, ids = np.concatenate(out_place), np.concatenate(out_id)
@@ -232,8 +253,7 @@ class Codec:
         starts[heads] = True
         start = np.flatnonzero(starts)
         end = np.append(start[1:], len(text))
-        spans = SpanHash(text.view(np.uint8))
-        key, first, kind = np.unique(spans.spans(start * 4, end * 4), return_index=True, return_inverse=True)
+        key, first, kind = np.unique(SpanHash(text).spans(start, end), return_index=True, return_inverse=True)
         at, met = self._met(key)
         begin, count = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
         begin[met], count[met] = self.met_begin[at[met]], self.met_count[at[met]]
@@ -265,14 +285,21 @@ class Codec:
         return Texts(np.delete(data, own), ends - np.cumsum(gone)[ends])
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[int, Codec] = {}
+
+
+def codec(model: bytes) -> Codec:
+    """The model's tables, built once in a process."""
+    key = hash(model)
+    if key not in _CODECS:
+        _CODECS[key] = Codec.load(model)
+    return _CODECS[key]
 
 
-def codec(model: str) -> Codec:
-    """The model's tables, loaded once in a process."""
-    if model not in _CODECS:
-        _CODECS[model] = Codec.load(model)
-    return _CODECS[model]
+def read_model(path: str) -> bytes:
+    """The model file, which the driver reads; executors get its bytes."""
+    with open(path, "rb") as f:
+        return f.read()
 
 
 def default_model() -> str:
@@ -282,11 +309,11 @@ def default_model() -> str:
 
 def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     """``doc_id, ids, n_tokens, round_trip`` of every row; ``round_trip``: decoding gives the text's bytes back."""
-    path = model or default_model()
+    shared = docs.sparkSession.sparkContext.broadcast(read_model(model or default_model()))  # a vocabulary file
     schema = docs.select("doc_id").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("round_trip", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = codec(path)
+        tables = codec(shared.value)
         for rows, t in chunks(batches, "_text", BATCH_BYTES):
             ids, offs = tables.encode(t)
             back = tables.decode(ids, offs)
@@ -304,11 +331,11 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """``doc_id, text`` from ``doc_id, ids``."""
-    path = model or default_model()
+    shared = encoded.sparkSession.sparkContext.broadcast(read_model(model or default_model()))  # a vocabulary file
     schema = encoded.select("doc_id").schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = codec(path)
+        tables = codec(shared.value)
         for b in batches:
             null = b.column(1).is_null().to_numpy(zero_copy_only=False)
             lists = b.column(1).fill_null([])

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; one longer text is handled whole, alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(0x5EED))
@@ -47,13 +47,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class SpanHash:
-    """64-bit hashes of any byte spans of one buffer, from one prefix sum."""
+    """64-bit hashes of any spans of one buffer of bytes or code points, from one prefix sum."""
 
     def __init__(self, data: np.ndarray) -> None:
         self.up, self.down = _POWERS.get(len(data) + 1)
         self.prefix = np.zeros(len(data) + 1, np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(_LUT[data] * self.up[: len(data)], out=self.prefix[1:])
+            symbol = _LUT[data] if data.dtype == np.uint8 else mix(data.astype(np.uint64) + U64(_BASE))
+            symbol *= self.up[: len(data)]
+            np.cumsum(symbol, out=self.prefix[1:])
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):

@@ -384,7 +384,7 @@ def test_language_posteriors(spark):
 def test_pieces(docs, empty):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
     odd = ["", " ", "  a  b\n\tc ", "ﬁ é é", "a\x00b", "日本𐍈", "▁x", "x" * 300, "    ", "hello   world", "\n\n\n", " a", "aaaa" * 50, BASE, "😀" * 9]
-    codec = sentencepiece_codec.codec(sentencepiece_codec.default_model())
+    codec = sentencepiece_codec.codec(sentencepiece_codec.read_model(sentencepiece_codec.default_model()))
     t = sentencepiece_codec.Texts.of(pa.array(odd))
     ids, offs = codec.encode(t)
     assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:], strict=False)] == sp.encode(odd)
@@ -397,6 +397,18 @@ def test_pieces(docs, empty):
     assert sentencepiece_codec.encode_documents(empty).count() == 0
 
 
+def test_pieces_of_unbroken_text(monkeypatch):
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    codec = sentencepiece_codec.Codec.load(sentencepiece_codec.read_model(sentencepiece_codec.default_model()))
+    r = np.random.default_rng(9)
+    letters = "".join(chr(int(x)) for x in r.integers(97, 123, 20_000))
+    texts = ["".join(VOCABULARY[i] for i in r.integers(0, 300, 6000)), letters, "ab" * 5000, "日本語😀" * 500, prose(3000, 8).replace(" ", ""), "thequickbrownfoxjumpsoverthelazydog" * 300]
+    monkeypatch.setattr(sentencepiece_codec, "MOST_PAIRS", 1000)
+    ids, offs = codec.encode(sentencepiece_codec.Texts.of(pa.array(texts)))
+    assert len(codec.pairs) <= 1000
+    assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:], strict=False)] == sp.encode(texts)
+
+
 @pytest.mark.parametrize("name", ["licences", "warc", "jaccard_join", "repeats"])
 def test_sql(spark, name):
     module = {"repeats": (repeats, repeats.op7_suffix_dedup), "licences": (licences, licences.op2_licence_scan), "warc": (warc, warc.op6_warc_zstandard), "jaccard_join": (jaccard_join, jaccard_join.op8_jaccard_join)}[name]
