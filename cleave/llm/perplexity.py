@@ -4,15 +4,17 @@ Method.  Texts are sequences of full code points; the model has every 5-gram of
 Tasks count the 5-grams of their texts, Spark sums the counts, lower orders count in how many different grams of one more
 code point they end, and the modified Kneser-Ney probabilities (three discounts an order) come from joins by context and by
 suffix, from order 1 up.  A text is not its own evidence: each gram has the smallest and the largest hash of the texts it is in, and one that
-is only in one text (exact copies are one text) counts as unseen there and backs off.  For scoring, documents are dealt by a hash into chunks of about ``CHUNK`` bytes; a chunk's different grams are joined
-with the model, and what comes back, sorted by hash, scores the chunk's texts.  No task holds more of the model than its chunk uses, and nothing of it is
-broadcast or sent to the driver.  A document's perplexity is
+is only in one text (exact copies are one text) counts as unseen there and backs off.  The model is a sorted array of gram hashes with their
+log-probabilities.  While a count shows at most ``MODEL_GRAMS`` of them, every task holds the array and finds a text's grams by their hash's
+leading bits; texts are read where they lie.  A larger model stays a table: documents are dealt by a hash into chunks of about ``CHUNK`` bytes, a chunk's different grams are
+joined with the model, and what comes back, sorted by hash, scores the chunk's texts.  Both ways give the same numbers.  A document's perplexity is
 the exponential of its mean negative log-probability a code point; each language has its own lower and upper band, from the quartiles
-of the log-perplexities of its documents, and documents outside are rejected.
+of the log-perplexities of its documents, and documents outside are rejected.  The quartiles of a language with n documents are drawn towards the
+corpus' as by ``least`` documents more, at every n.
 
 Edge cases.  A null or empty text has no words, so the base rules reject it; its perplexity is null.  What lies before a text
-counts as code points 0.  A null language is a language of its own.  Repeated rows are counted and returned as often as they occur.  Languages with fewer documents than
-``least`` take the bands of the whole corpus.  An empty table gives an empty result.  Within a chunk, grams are told apart by 64-bit hashes.
+counts as code points 0.  A null language is a language of its own.  Repeated rows are counted and returned as often as they occur.  Texts of any
+length are read whole, a long one with some 150 bytes of arrays a byte.  Extra columns are not read; ties have no part.  An empty table gives an empty result.  Grams are told apart by 64-bit hashes when texts are scored.
 """
 
 from __future__ import annotations
@@ -33,11 +35,13 @@ from cleave.session import materialise, small
 DEPTH = 5
 PAD = DEPTH - 1
 #: Bytes of text that are scored together, about.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Bytes of text that are cut into grams at once: about 100 bytes of arrays each.
 PART = 1 << 20
 #: Different grams that a counting task holds before it hands them on.
-HELD = 1 << 21
+HELD = 1 << 20
+#: Grams of a model that every task holds: 16 bytes each, and 4 to 8 of an index.
+MODEL_GRAMS = 4_000_000
 #: The model in memory (:func:`fit`), over grams of ORDER symbols of BITS bits.
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
@@ -92,7 +96,7 @@ def _merged(parts: list[Counted]) -> Counted:
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """``gram string, n long, lo int, hi int`` over all texts (one string column); lo and hi are the least and the largest hash of the texts with the gram."""
+    """``gram string, h long, n long, lo int, hi int`` over all texts (one string column); h is the gram's hash, lo and hi are the least and the largest hash of the texts with the gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -107,14 +111,14 @@ def count_grams(texts: DataFrame) -> DataFrame:
             yield from _rows(_merged(held))
 
     def _rows(x: Counted) -> Iterator[pa.RecordBatch]:
-        whole = pa.RecordBatch.from_arrays([x[4], pa.array(x[1].astype(np.int64)), *(pa.array(c.astype(np.int32)) for c in x[2:4])], names=["gram", "n", "lo", "hi"])
+        whole = pa.RecordBatch.from_arrays([x[4], pa.array(x[0].view(np.int64)), pa.array(x[1].astype(np.int64)), *(pa.array(c.astype(np.int32)) for c in x[2:4])], names=["gram", "h", "n", "lo", "hi"])
         yield from (whole.slice(lo, 1 << 17) for lo in range(0, len(whole), 1 << 17))
 
-    return texts.toDF("_text").mapInArrow(run, "gram string, n long, lo int, hi int").groupBy("gram").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return texts.toDF("_text").mapInArrow(run, "gram string, h long, n long, lo int, hi int").groupBy("gram").agg(F.first("h").alias("h"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def train(texts: DataFrame) -> DataFrame:
-    """``gram, log_p`` of every gram of the texts (one string column)."""
+    """``gram, h, log_p`` of every gram of the texts (one string column)."""
     levels = [materialise(count_grams(texts), "grams")]
     for k in range(DEPTH - 1, 0, -1):  # continuation counts: in how many different grams of one more code point
         levels.insert(0, materialise(levels[0].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "grams"))
@@ -134,7 +138,8 @@ def train(texts: DataFrame) -> DataFrame:
         left = F.col("held") * F.col("p_suffix")
         p = F.when(shared, (F.col("n") - F.col("taken") + left) / F.col("total")).when(F.col("context_shared"), left / F.col("total")).otherwise(F.col("p_suffix"))
         below = g.join(context, "context").join(under, "suffix").select("gram", p.alias("p"))
-    return below.select("gram", F.log(F.greatest("p", F.lit(1e-300))).alias("log_p"))
+    hashes = levels[-1].select("gram", "h")
+    return below.join(hashes, "gram").select("gram", "h", F.log(F.greatest("p", F.lit(1e-300))).alias("log_p"))
 
 
 @dataclass(frozen=True)
@@ -208,6 +213,43 @@ def fit(gram: np.ndarray, n: np.ndarray) -> KneserNey:
     return KneserNey(tuple(levels))
 
 
+class HashArray:
+    """Values by sorted 64-bit hashes, found through an index of the leading bits."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray) -> None:
+        order = np.argsort(key)
+        self.key, self.value = key[order], value[order]
+        bits = max(1, int(len(key)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(self.key, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.uint32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The values of hashes; ValueError for one that isn't there."""
+        if not len(h):
+            return np.zeros(0)
+        at = self.start[h >> self.shift].astype(np.int64)
+        last = len(self.key) - 1
+        left = np.flatnonzero(self.key[np.minimum(at, last)] < h) if last >= 0 else np.zeros(0, np.int64)
+        while len(left):
+            at[left] += 1
+            left = left[(at[left] <= last) & (self.key[np.minimum(at[left], last)] < h[left])]
+        if last < 0 or at.max() > last or (self.key[at] != h).any():
+            raise ValueError("a text has grams that the model was not trained on")
+        return self.value[at]
+
+
+def _scored(batches: Iterator[pa.RecordBatch], model: HashArray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Base counts and log-perplexity of rows ``doc_id, lang, _text``."""
+    for part, t in chunks(batches, "_text", PART):
+        g = Grams(t)
+        logs, size = t.per_text(g.text, model.find(g.hash) if len(g.hash) else None), t.per_text(g.text)
+        _, _, text = t.words()
+        white = (t.data == 0x20) | ((t.data >= 9) & (t.data <= 13))
+        cols = [t.per_text(text), t.sums(((t.data & 0xC0) != 0x80) & ~white), t.sums(_IS_SYMBOL[t.data]), duplicate_lines(t)[0], repeated_words(t)]
+        ppl = pa.array(-logs / np.maximum(size, 1), mask=size == 0)
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c.astype(np.int64)) for c in cols), ppl], names=names)
+
+
 def with_counts_and_perplexity(docs: DataFrame, model: DataFrame) -> DataFrame:
     """``doc_id, lang`` and the base counts of every document, with ``log_ppl`` (null for no code points); ``model`` as of :func:`train` on these texts."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -215,6 +257,12 @@ def with_counts_and_perplexity(docs: DataFrame, model: DataFrame) -> DataFrame:
     for c in names:
         schema = schema.add(c, "long")
     schema = schema.add("log_ppl", "double")
+    text = F.col("text").alias("_text")
+    model = materialise(model.select("gram", "h", "log_p"), "perplexity-model")
+    if model.count() <= MODEL_GRAMS:
+        held = model.select("h", "log_p").toArrow()  # at most MODEL_GRAMS rows
+        shared = docs.sparkSession.sparkContext.broadcast(HashArray(held["h"].to_numpy().view(np.uint64), held["log_p"].to_numpy()))
+        return docs.select("doc_id", "lang", text).mapInArrow(lambda batches: _scored(batches, shared.value, schema.names), schema)
 
     def wanted(key: tuple, rows: pa.Table) -> pa.Table:
         found: list = []
@@ -222,45 +270,29 @@ def with_counts_and_perplexity(docs: DataFrame, model: DataFrame) -> DataFrame:
             found.append(Grams(t).counted())
             if len(found) == 9:
                 found = [_merged(found)]
-        gram = _merged(found)[4]
-        return pa.table({"_chunk": pa.array(np.full(len(gram), key[0].as_py())), "gram": gram})
+        h = _merged(found)[0]
+        return pa.table({"_chunk": pa.array(np.full(len(h), key[0].as_py())), "h": pa.array(h.view(np.int64))})
 
     def score(rows: pa.Table, known: pa.Table) -> pa.Table:
-        gram = known.combine_chunks().to_batches()
-        t = Texts.of(gram[0].column(1)) if gram else Texts(np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        key = t.hash.spans(t.offs[:-1], t.offs[1:])
-        order = np.argsort(key)
-        key, log_p = key[order], (gram[0].column(2).to_numpy() if gram else np.zeros(0))[order]
-        out = []
-        for part, t in chunks(iter(rows.combine_chunks().to_batches()), "_text", PART):
-            g = Grams(t)
-            at, seen = _find(key, g.hash)
-            if not seen.all():
-                raise ValueError("a text has grams that the model was not trained on")
-            logs, size = t.per_text(g.text, log_p[at] if len(at) else None), t.per_text(g.text)
-            _, _, text = t.words()
-            white = (t.data == 0x20) | ((t.data >= 9) & (t.data <= 13))
-            cols = [t.per_text(text), t.sums(((t.data & 0xC0) != 0x80) & ~white), t.sums(_IS_SYMBOL[t.data]), duplicate_lines(t)[0], repeated_words(t)]
-            ppl = pa.array(-logs / np.maximum(size, 1), mask=size == 0)
-            out.append(pa.RecordBatch.from_arrays([part.column(1), part.column(2), *(pa.array(c.astype(np.int64)) for c in cols), ppl], names=schema.names))
-        return pa.Table.from_batches(out)
+        table = HashArray(known["h"].to_numpy().view(np.uint64), known["log_p"].to_numpy())
+        return pa.Table.from_batches(_scored(iter(rows.select(["doc_id", "lang", "_text"]).combine_chunks().to_batches()), table, schema.names))
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-size // CHUNK) or 1)).alias("_chunk")
-    dealt = docs.select(key, "doc_id", "lang", F.col("text").alias("_text"))
-    asked = dealt.groupBy("_chunk").applyInArrow(wanted, "_chunk long, gram string")
-    known = asked.join(model, "gram").select("_chunk", "gram", "log_p")
+    dealt = docs.select(key, "doc_id", "lang", text)
+    asked = dealt.groupBy("_chunk").applyInArrow(wanted, "_chunk long, h long")
+    known = asked.join(model, "h").select("_chunk", "h", "log_p")
     return dealt.groupBy("_chunk").cogroup(known.groupBy("_chunk")).applyInArrow(score, schema)
 
 
 def bands(scored: DataFrame, below: float, above: float, least: int) -> DataFrame:
-    """``lang, low, high``: the quartiles of the log-perplexity of the language's documents that pass the base rules, moved out by multiples of the quartile range."""
+    """``lang, low, high``: the quartiles of the log-perplexity of the language's documents that pass the base rules, drawn towards the corpus' as by ``least`` documents, moved out by multiples of the quartile range."""
     q = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.75)), 10_000)
     ok = scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull())
     edges = lambda c: (F.element_at(c, 1) - below * (F.element_at(c, 2) - F.element_at(c, 1)), F.element_at(c, 2) + above * (F.element_at(c, 2) - F.element_at(c, 1)))
     whole = ok.agg(q.alias("all"))
-    by = ok.groupBy("lang").agg(q.alias("own"), F.count("*").alias("n")).crossJoin(F.broadcast(whole))
-    low, high = edges(F.when(F.col("n") >= least, F.col("own")).otherwise(F.col("all")))
+    by = ok.groupBy("lang").agg(q.alias("own"), F.count("*").alias("n")).crossJoin(F.broadcast(whole))  # one row
+    low, high = edges(F.zip_with("own", "all", lambda x, y: (x * F.col("n") + y * least) / (F.col("n") + least)))
     return by.select(F.col("lang").alias("_lang"), low.alias("low"), high.alias("high"))
 
 

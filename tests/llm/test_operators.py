@@ -126,8 +126,10 @@ def brute_force_log_p(texts, depth):
     return {g: np.log(p) for g, p in below.items()}
 
 
-def test_perplexity_model(docs, monkeypatch):
+@pytest.mark.parametrize("held", [perplexity.MODEL_GRAMS, 10])
+def test_perplexity_model(docs, monkeypatch, held):
     monkeypatch.setattr(perplexity, "CHUNK", 5000)
+    monkeypatch.setattr(perplexity, "MODEL_GRAMS", held)
     model = brute_force_log_p([t for _, t in TEXTS], perplexity.DEPTH)
     got = {r["gram"]: r["log_p"] for r in perplexity.train(docs.select("text")).collect()}
     assert got.keys() == model.keys() and all(abs(got[g] - x) < 1e-9 for g, x in model.items())
@@ -138,6 +140,27 @@ def test_perplexity_model(docs, monkeypatch):
         assert abs(r["perplexity"] - np.exp(-np.mean(logs))) < 1e-9 * r["perplexity"] if logs else r["perplexity"] is None
 
 
+@pytest.mark.parametrize("least", [1, 50])
+def test_perplexity_bands_and_verdict(spark, least):
+    """The verdict from the perplexities that the operator gives, by plain loops over languages."""
+    rows = [(i, prose(60 + i, i) if i % 3 else VOCABULARY[i] + " " + "qzx " * 3 + " ".join(chr(0x4E00 + (i * 97 + j * 31) % 5000) for j in range(60)), ["en", "de", None][i % 4 % 3]) for i in range(60)]
+    out = perplexity.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), least=least).collect()
+    lang = {i: x for i, _, x in rows}
+    logs = {r["doc_id"]: np.log(r["perplexity"]) for r in out if not r["base_failed"]}
+
+    def quartiles(x):  # the value at place ceil(q * n) of the ascending order
+        x = sorted(x)
+        return np.array([x[max(int(np.ceil(q * len(x))) - 1, 0)] for q in (0.25, 0.75)])
+
+    whole = quartiles(logs.values())
+    for r in out:
+        own = [x for i, x in logs.items() if lang[i] == lang[r["doc_id"]]]
+        q = (quartiles(own) * len(own) + whole * least) / (len(own) + least)
+        low, high = q[0] - 2.5 * (q[1] - q[0]), q[1] + 2.5 * (q[1] - q[0])
+        assert abs(np.log(r["low"]) - low) < 1e-9 and abs(np.log(r["high"]) - high) < 1e-9
+        assert r["kept"] == (not r["base_failed"] and low <= logs[r["doc_id"]] <= high)
+
+
 def test_perplexity_tells_capitals_and_letters_apart(spark):
     same = [(i, "AAAA" * (80 + i) + " 1111" * 20 + " дддд" * 20) for i in range(5)]
     mixed = [(9, "".join(chr(65 + int(x)) for x in rng.integers(0, 26, 320)) + " " + "".join(chr(0x430 + int(x)) for x in rng.integers(0, 32, 200)))]
