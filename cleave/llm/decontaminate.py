@@ -10,8 +10,9 @@ windows, or when those of one diagonal cover ``run`` tokens in a row.  Where map
 re-parameterised.
 
 Edge cases.  Null and empty texts have no tokens and match nothing, and items without tokens are left out.  An item with fewer than ``width`` tokens
-is one window of its own length, and documents are cut into windows of that length too.  Repeated rows of an id
-count their hits once.  Empty tables give an empty result.  Extra columns are not read by :func:`contamination`.
+is one window of its own length, and documents are cut into windows of that length too; one with fewer than FEW matches only documents of
+as many tokens.  A window of placeholders alone matches the same values only.  Repeated rows of an id
+count their hits once; equal items are found each.  Texts of any length are cut whole, as one array of tokens.  Empty tables give an empty result.  Extra columns are not read by :func:`contamination`.
 """
 
 from __future__ import annotations
@@ -20,26 +21,40 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "\x01"
+#: Items with fewer tokens match only documents that have no others.
+FEW = 3
+#: Hashes of the placeholders' types (E: no unit); all other tokens hash above them.
+TYPES = {kind: -(1 << 63) + i for i, kind in enumerate("NUAE")}
 #: Units that are slots after a number.
 UNITS = "km|cm|mm|m|kg|mg|g|lbs?|oz|ft|in|mi|miles?|meters?|metres?|l|ml|liters?|litres?|hours?|hrs?|h|minutes?|min|seconds?|secs?|s|days?|weeks?|months?|years?|percent|usd|eur|dollars?|euros?|cents?|mph|kmh|kg|%|°[CF]"
 
 
 def template_tokens(text: Column) -> Column:
-    """The words of a text in order; typed placeholders are MARK, N (number), U (unit) or A (name), and the value."""
+    """The words of a text in order; typed placeholders are MARK, N (number), U (unit, empty after a number without one) or A (name), and the value."""
     number = rf"(?<![\p{{L}}\p{{N}}])([0-9]+(?:[.,:/][0-9]+)*)(?:[ \t]?({UNITS})(?![\p{{L}}\p{{N}}]))?"
     marked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, number, f" {MARK}N$1 {MARK}U$2 ")).otherwise(text)
     named = F.regexp_replace(marked, r"(?<=[\p{L}\p{N},;][ \t\n])(\p{Lu}[\p{Ll}'-]+)(?![\p{L}])", f"{MARK}A$1")
-    return F.regexp_extract_all(named, F.lit(rf"{MARK}[NUA][^\s{MARK}]+|[\p{{L}}\p{{N}}]+"), 0)
+    return F.regexp_extract_all(named, F.lit(rf"{MARK}[NUA][^\s{MARK}]*|[\p{{L}}\p{{N}}]+"), 0)
 
 
 def _windows(tokens: Column, lengths: list[int]) -> tuple[Column, Column, Column]:
     """Token hashes, whether there are placeholders, and ``pos, hash, slots`` of every window; ``slots`` are the window's tokens where the text has placeholders."""
-    shapes = F.transform(tokens, lambda x: F.xxhash64(F.when(x.startswith(MARK), F.substring(x, 1, 2)).otherwise(F.lower(x))))
+    last = max(TYPES.values())
+    kinds = lambda x: F.when(F.substring(x, 2, 1) == "N", TYPES["N"]).when(x == f"{MARK}U", TYPES["E"]).when(F.substring(x, 2, 1) == "U", TYPES["U"]).otherwise(TYPES["A"]).cast("long")
+    shapes = F.transform(tokens, lambda x: F.when(x.startswith(MARK), kinds(x)).otherwise(F.greatest(F.xxhash64(F.lower(x)), F.lit(last + 1))))
     some = F.exists(tokens, lambda x: x.startswith(MARK))
 
     def cut(n: int) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
-        hashed = lambda i: F.xxhash64(F.lit(n), *(F.get("_shapes", i + k) for k in range(n)))
+        fits = F.size(tokens) >= n if n >= FEW else F.size(tokens) == n
+        starts = F.when(fits, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
+
+        def hashed(i: Column) -> Column:
+            bare = F.col("_some")
+            for k in range(n):
+                bare = bare & (F.get("_shapes", i + k) <= last)
+            # no word in it: such a window stands for its values, else every table of numbers would match every other
+            return F.when(bare, F.xxhash64(F.lit(-n), F.slice("_tokens", i + 1, n))).otherwise(F.xxhash64(F.lit(n), *(F.get("_shapes", i + k) for k in range(n))))
+
         return F.transform(starts, lambda i: F.struct(i.alias("pos"), hashed(i).alias("hash"), F.when(F.col("_some"), F.slice("_tokens", i + 1, n)).alias("slots")))
 
     parts = [cut(n) for n in lengths]
@@ -87,8 +102,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, share:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item contaminates; rows with one id, or with none, go together."""
-    found = contamination(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    name = "_leaked"
+    while name in docs.columns:
+        name = f"_{name}"
+    found = contamination(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,13 @@ Method.  Every document becomes a short vector of statistics (symbol, case, digi
 windows, lengths, vocabulary), moved to log-odds or logarithms so that class clouds are nearly Gaussian.  For each class Spark sums
 counts, vectors and outer products of the labelled training rows; these moments (two classes, a few hundred numbers) reach
 the driver, which shrinks each class covariance towards the pooled covariance and its own diagonal and caches the inverse
-Cholesky factors.  A score is the logistic of the difference of the two Mahalanobis log-densities plus the log prior ratio.
+Cholesky factors.  A score is the logistic of the difference of the two Mahalanobis log-densities, times words / (words + 20) because
+few words are little evidence, plus the log prior ratio.
 
 Edge cases.  Null and empty texts have the statistics of an empty text and are scored like any other.  Rows of ``labels``
-with a null id or quality, or with no document, train nothing; repeated label rows count as often as they occur.
-With fewer than two classes labelled, every score is the smoothed share of label 1.  Extra columns are kept as they are.
+with a null id or quality, or with no document, train nothing; repeated label rows count as often as they occur, and a document labelled both
+ways trains both classes.  With fewer than two rows of a class, every score is the smoothed share of label 1.  :func:`quality_scores` returns no extra
+columns, :func:`keep_good` all.  Texts of any length are read whole, a long one with some 150 bytes of arrays a byte.
 An empty table gives an empty result.
 """
 

@@ -11,7 +11,8 @@ Equal payloads are found by SHA-256 with a grouped minimum of the page ids; only
 Edge cases.  A null html is an empty payload.  Equal payloads below ``least`` bytes stay responses.  A null page_id never
 is what others refer to, unless all equal records have none; then all are responses.  Rows that repeat the smallest page_id
 are all responses.  An archive without a dictionary frame, or with a compressed dictionary, can be read.  An empty table
-gives an empty result.  Extra columns are not read.
+gives an empty result.  Extra columns are not read.  A page of any length is one record, held whole by its task.  A cut frame, a missing header, a
+wrong length or digest, and a revisit that refers to nothing are ValueErrors.
 """
 
 from __future__ import annotations
@@ -124,6 +125,8 @@ def parse(raw: bytes) -> tuple:
     digest = head.get("WARC-Payload-Digest", "").removeprefix("sha256:")
     kind = head["WARC-Type"]
     if kind == "revisit":
+        if "WARC-Refers-To" not in head:
+            raise ValueError("WARC-Refers-To is missing")
         return _id(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), None, full, digest, kind, _id(head["WARC-Refers-To"])
     found = hashlib.sha256(payload).hexdigest()
     if digest and found != digest or full != len(payload):

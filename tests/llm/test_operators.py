@@ -29,7 +29,7 @@ TEXTS = [
     (9, prose(60, 2) + "\n" + BASE[100:420]), (10, "É" * 300 + "日本 " * 40), (11, prose(4000, 3)), (12, "### $$$ %%% | < > & * " * 30), (None, prose(70, 4)),
     (13, "a b c " * 60), (14, "Released under the MIT License.\nx y z\nRELEASED under  the MIT license"), (11, prose(4000, 3)),
 ]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, score double, id long, _text string, cls long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, score double, id long, _text string, _leaked long"
 
 
 @pytest.fixture(scope="module")
@@ -323,6 +323,112 @@ def test_decontamination_partial_passage(spark):
     assert out == {1: (18, 53), 2: (6, 53)}
 
 
+def expected_contamination(docs, items, width=8, share=0.4, run=13):
+    """Pairs by plain loops, for texts of single-space words without punctuation, whose only placeholders are whole numbers."""
+    tokens = lambda t: [x for w in t.split() for x in ([("N", w), ("E", "")] if w.isdigit() else [(None, w.lower())])]
+    out = {}
+    for d, text in docs:
+        x = tokens(text)
+        for i, item in items:
+            y = tokens(item)
+            n = min(width, len(y))
+            if not y or n < decontaminate.FEW and len(x) != n:
+                continue
+            shape = lambda w: tuple(w) if all(k for k, _ in w) else tuple((k, None if k else v) for k, v in w)
+            by_line = collections.defaultdict(set)
+            for a in range(len(x) - n + 1):
+                for b in range(len(y) - n + 1):
+                    if shape(x[a : a + n]) == shape(y[b : b + n]):
+                        by_line[a - b].add(b)
+            places, passage, changed = set(), False, False
+            for line, bs in by_line.items():
+                pairs = {b: {(y[b + k][1], x[line + b + k][1]) for k in range(n) if y[b + k][0]} for b in bs}
+                values = collections.defaultdict(set)
+                for p in pairs.values():
+                    for v, w in p:
+                        values[v].add(w)
+                torn = {v for v, w in values.items() if len(w) > 1}
+                ok = sorted(b for b in bs if all(v == w for v, w in pairs[b]) or not any(v in torn for v, _ in pairs[b]))
+                places |= set(ok)
+                more = max(run - width, 0)
+                passage |= any(ok[j + more] - ok[j] == more for j in range(len(ok) - more))
+                changed |= any(v != w for b in ok for v, w in pairs[b])
+            if places and (passage or len(places) >= share * max(len(y) - width + 1, 1)):
+                out[d, i] = (len(places), max(len(y) - width + 1, 1), changed)
+    return out
+
+
+def test_decontamination_brute_force(spark):
+    r = np.random.default_rng(13)
+    word = lambda: str(r.integers(1, 4)) if r.random() < 0.3 else VOCABULARY[int(r.integers(0, 3))]
+    items = [(i, " ".join(word() for _ in range(int(r.integers(1, 30))))) for i in range(25)] + [(90, "1 2 3 4 5 6 7 8 9"), (91, "paris"), (92, "two words")]
+    docs = []
+    for d in range(60):
+        x = items[int(r.integers(0, 25))][1].split()
+        x = [str(int(w) + 1) if w.isdigit() and d % 3 == 0 else w if r.random() < 0.97 else word() for w in x]
+        docs.append((d, " ".join([word() for _ in range(int(r.integers(0, 6)))] + x + [word() for _ in range(int(r.integers(0, 6)))])))
+    docs += [(70, "1 2 3 4 5 6 7 8 9"), (71, "9 8 7 6 5 4 3 2 1 " * 9), (72, "paris"), (73, "i love paris in spring"), (74, "two words"), (75, "two words more")]
+    got = {(x["doc_id"], x["item_id"]): (x["matched_windows"], x["item_windows"], x["reparameterised"]) for x in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = expected_contamination(docs, items)
+    assert got == want and {(70, 90), (72, 91), (74, 92)} <= set(want) and not {(71, 90), (73, 91), (75, 92)} & set(want)
+
+
+def test_quality_densities():
+    """Scores against the plain formula with inverse and determinant."""
+    r = np.random.default_rng(17)
+    d = len(quality.STATS)
+    mean, root = r.normal(size=(2, d)), r.normal(size=(2, d, d))
+    cov = root @ root.transpose(0, 2, 1) + np.eye(d)
+    chol = np.linalg.cholesky(cov)
+    model = quality.Discriminant(0.3, mean, np.linalg.inv(chol), 2 * np.log(np.diagonal(chol, axis1=1, axis2=2)).sum(1))
+    x = r.normal(size=(50, d))
+    x[:, 0] = np.abs(x[:, 0]) * 3
+    logs = [-0.5 * np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m) - 0.5 * np.linalg.slogdet(c)[1] for m, c in zip(mean, cov, strict=True)]
+    words = np.expm1(x[:, 0])
+    want = 1 / (1 + np.exp(-np.clip(words / (words + 20) * (logs[1] - logs[0]) + 0.3, -500, 500)))
+    assert np.allclose(model.scores(x), want)
+
+
+def test_quality_fit_is_shrunken_moments(spark):
+    r = np.random.default_rng(19)
+    d = len(quality.STATS)
+    rows = [(int(q), r.normal(size=d) * (1 + q) + q) for q in r.integers(0, 2, 400)]
+    table = spark.createDataFrame([(q, x.tolist()) for q, x in rows] + [(None, [0.0] * d), (7, [0.0] * d)], "quality int, stats array<double>").repartition(5)
+    model = quality.fit(table, 0.2, 0.3, 0.01)
+    by = [np.array([x for q, x in rows if q == c]) for c in (0, 1)]
+    both = sum(np.cov(x.T, bias=True) * len(x) for x in by) / len(rows)
+    for c, x in enumerate(by):
+        own = np.cov(x.T, bias=True)
+        s = 0.5 * own + 0.2 * both + 0.3 * np.diag(np.diag(own)) + 0.01 * np.eye(d)
+        assert np.allclose(model.mean[c], x.mean(0)) and np.allclose(np.linalg.inv(model.whiten[c].T @ model.whiten[c]), s) and np.isclose(model.log_det[c], np.linalg.slogdet(s)[1])
+    assert np.isclose(model.log_prior, np.log((len(by[1]) + 1) / (len(by[0]) + 1)))
+
+
+def test_warc_archives():
+    """Archives without a dictionary, with a plain and a compressed one, and broken ones."""
+    import struct
+
+    import zstandard
+
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    bodies = [(b"<p>page %d</p>" % i) * 20 for i in range(30)]
+    raws = [warc.record(i, f"http://h/{i}", b, digest(b), len(b), None, False, "2024-01-01T00:00:00Z") for i, b in enumerate(bodies)]
+    dictionary = warc.train(raws)
+    plain = b"".join(zstandard.ZstdCompressor().compress(x) for x in raws)
+    frames = b"".join(zstandard.ZstdCompressor(dict_data=dictionary).compress(x) for x in raws)
+    leading = lambda raw: struct.pack("<II", warc.SKIPPABLE, len(raw)) + raw
+    small = zstandard.ZstdCompressor().compress(dictionary.as_bytes())
+    for data in (plain, leading(dictionary.as_bytes()) + frames, leading(small) + frames, leading(dictionary.as_bytes()) + frames + struct.pack("<II", 0x184D2A50, 3) + b"abc"):
+        assert [(r[0], r[2]) for r in warc.read_archive(data)] == list(enumerate(bodies))
+    for data in (plain[:-1], plain[:-6], frames, b"abcd" + plain, leading(dictionary.as_bytes())[:-1], struct.pack("<II", warc.SKIPPABLE, 1 << 20)):
+        with pytest.raises((ValueError, zstandard.ZstdError, struct.error)):
+            list(warc.read_archive(data))
+    revisit = warc.record(9, "u", b"", digest(b"x"), 1, 3, True, "2024-01-01T00:00:00Z")
+    assert warc.parse(revisit)[5:] == ("revisit", 3)
+    with pytest.raises(ValueError):
+        warc.parse(revisit.replace(b"WARC-Refers-To: <urn:x-page:3>\r\n", b""))
+
+
 def test_licences(docs, empty):
     out = sorted(map(tuple, licences.scan(docs).collect()))
     assert out == [(14, 0, "MIT", 1.0), (14, 2, "MIT", 1.0)]
