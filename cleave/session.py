@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (single-machine tests) a local folder is created and set.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and the master is
+    local (single-machine tests) a local folder is created and set; elsewhere that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cleave-"))
         current = sc.getCheckpointDir()
     return current.rstrip("/")
@@ -42,6 +45,29 @@ def materialise(df: DataFrame, name: str, options: dict[str, str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`materialise` wrote, once nothing reads it any more."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/cleave-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, rather than when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Hand rows to Python in Arrow batches of at most ``most`` bytes, in this session from now on: a worker's memory then does not depend on how wide rows are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (spark.conf.get(key, None) or "").rstrip("bB")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(key, str(most))
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete every table that this application wrote through :func:`materialise`."""
     jvm = spark.sparkContext._jvm
