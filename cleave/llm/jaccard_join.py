@@ -33,14 +33,15 @@ from pyspark.sql import functions as F
 
 from cleave.llm.textbytes import Texts, chunks, lower_ascii, mix, to_signed
 from cleave.operators.components import connected_components
-from cleave.session import materialise
+from cleave.session import bounded_batches, materialise, release
 
 U64 = np.uint64
 FANOUT = 8
 #: Times that a set with too many empty parts is cut anew by another hash.
 LEVELS = 8
-#: Bits of the bitmap of repeated part hashes, as a power of two: 4 MB whatever the input.
-BITMAP_BITS = 25
+#: Bits of the bitmap of repeated part hashes, as a power of two: 4 MB whatever the input; and bits that tell classes apart beside the other
+#: 30 of a part hash where repeats are looked for (hashed anew with every part hash, so that no two classes agree in them throughout).
+BITMAP_BITS, CLASS_BITS = 25, 34
 #: Classes that a task keeps in mind so as to emit each once; more are emitted again, which changes nothing.
 SEEN = 1 << 20
 
@@ -73,19 +74,26 @@ def _class_keys(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 class Sizes:
-    """Size intervals and, for each, how many differences a pair may have and into how many parts the shingle space is cut."""
+    """Size intervals and, for each, how many differences a pair may have and into how many parts the shingle space is cut.
+
+    An interval ends where the sizes have grown by 1/t twice: sets in the lower half of it have no partner in the next one.
+    """
 
     def __init__(self, percent: int) -> None:
         self.percent, self.low, self.differences = percent, [1], []
 
     def upto(self, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First size, differences and parts of the intervals up to the one after that of ``most``."""
+        """First and last size and number of parts of the intervals up to the one after that of ``most``."""
         while len(self.low) < 3 or self.low[-2] <= most:
-            high = self.low[-1] * 100 // self.percent
-            self.differences.append(2 * high * (100 - self.percent) // (100 + self.percent))
+            high = self.low[-1] * 10_000 // self.percent**2
+            self.differences.append(self.most(2 * high))
             self.low.append(high + 1)
         d = np.array(self.differences)
-        return np.array(self.low[:-1]), d, d + 2 + d // 4
+        return np.array(self.low[:-1]), np.array(self.low[1:]) - 1, np.where(d > 0, d + 2 + d // 4, 0)
+
+    def most(self, together: int) -> int:
+        """The most differences of two similar sets that have so many shingles together."""
+        return together * (100 - self.percent) // (100 + self.percent)
 
 
 def part_hashes(h: np.ndarray, offs: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -94,11 +102,14 @@ def part_hashes(h: np.ndarray, offs: np.ndarray, sizes: Sizes) -> tuple[np.ndarr
     n = np.diff(offs)
     out: list[tuple[np.ndarray, ...]] = []
     if n.max(initial=0):
-        low, differences, parts = sizes.upto(int(n.max()))
+        low, high, parts = sizes.upto(int(n.max()))
         text = np.repeat(np.arange(len(n)), n)
         for step in (0, 1):
             scheme = np.maximum(np.searchsorted(low, n, "right") - 1, 0) + step
-            todo = np.flatnonzero((n > 0) & (differences[scheme] > 0))  # without differences only equal sets match, which are one class
+            largest = np.minimum(n * 100 // sizes.percent, high[scheme])  # what a partner in that interval has at most
+            differences = sizes.most(n + largest)
+            # without differences only equal sets match, which are one class; with the next interval's parts, sets that reach into it
+            todo = np.flatnonzero((n > 0) & (parts[scheme] > 0) & (largest >= low[scheme]))
             for level in range(LEVELS):
                 p = np.zeros(len(n), np.int64)
                 p[todo] = parts[scheme[todo]]
@@ -111,7 +122,7 @@ def part_hashes(h: np.ndarray, offs: np.ndarray, sizes: Sizes) -> tuple[np.ndarr
                     at = start[text[mine]] + ((mix(h[mine] + U64(level * 0x9E3779B9)) >> U64(20)) % p[text[mine]].astype(np.uint64)).astype(np.int64)
                 sig, who = sums64(h[mine], at, total), np.repeat(np.arange(len(n)), p)
                 filled = np.bincount(at, minlength=total) > 0
-                share = p - differences[scheme] - np.bincount(who[~filled], minlength=len(n))
+                share = p - differences - np.bincount(who[~filled], minlength=len(n))
                 key = scheme * 16 + level
                 with np.errstate(over="ignore"):
                     place = key[who].astype(np.uint64) * U64(1 << 32) + (np.arange(total) - start[who]).astype(np.uint64)
@@ -240,8 +251,12 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _parts(docs: DataFrame, k: int, percent: int, bitmap: np.ndarray | None = None) -> DataFrame:
-    """``sig, which`` of all texts (``which``: 32 bits of the class); a task emits equal sets once.  With a bitmap, ``sig, cls, key, share`` of what it may hold."""
+    """``mark`` of all texts: the part hash but for its last bits, and a hash of it with the class in their place; a task emits equal sets once.
+
+    With a bitmap, ``sig, cls, key, share`` of the part hashes that it may hold.
+    """
     shared = None if bitmap is None else docs.sparkSession.sparkContext.broadcast(bitmap)
+    tail = U64((1 << CLASS_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, seen = Sizes(percent), set()
@@ -257,30 +272,33 @@ def _parts(docs: DataFrame, k: int, percent: int, bitmap: np.ndarray | None = No
                     fresh[i] = True
             n_kept = np.where(fresh, n, 0)
             sig, owner, key, share = part_hashes(h[np.repeat(fresh, n)], np.concatenate([[0], np.cumsum(n_kept)]), sizes)
-            if shared is not None:
-                bits = U64(64 * len(shared.value) - 1)
-                at = sig & bits
+            if shared is None:
+                with np.errstate(over="ignore"):
+                    mark = np.sort(sig & ~tail | mix(cls[owner] + sig) & tail)
+                new = np.ones(len(mark) + 1, bool)
+                new[1:-1] = mark[1:] >> U64(CLASS_BITS) != mark[:-1] >> U64(CLASS_BITS)
+                cols, names = [mark[new[:-1] | new[1:]]], ["mark"]  # the first and the last class of a hash tell as much as all of them
+            else:
+                at = sig >> U64(64 - BITMAP_BITS)
                 may = (shared.value[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
-                sig, owner, key, share = sig[may], owner[may], key[may], share[may]
-            for lo in range(0, len(sig), 1 << 18):
-                part = slice(lo, lo + (1 << 18))
-                cols = [pa.array(to_signed(sig[part]))]
-                if shared is None:
-                    cols.append(pa.array((cls[owner[part]] >> U64(32)).astype(np.uint32).view(np.int32)))
-                else:
-                    cols += [pa.array(to_signed(cls[owner[part]])), pa.array(key[part].astype(np.int32)), pa.array(share[part].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["sig", "which"] if shared is None else ["sig", "cls", "key", "share"])
+                owner = owner[may]
+                cols, names = [sig[may], cls[owner], key[may].astype(np.int32), share[may].astype(np.int32)], ["sig", "cls", "key", "share"]
+            for lo in range(0, len(cols[0]), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(to_signed(c[lo : lo + (1 << 18)]) if c.dtype == np.uint64 else c[lo : lo + (1 << 18)]) for c in cols], names=names)
 
-    return docs.select(F.col("text").alias("_text")).mapInArrow(run, "sig long, which int" if shared is None else "sig long, cls long, key int, share int")
+    return docs.select(F.col("text").alias("_text")).mapInArrow(run, "mark long" if shared is None else "sig long, cls long, key int, share int")
 
 
-def _repeated(parts: DataFrame) -> np.ndarray:
+def _repeated(marks: DataFrame) -> np.ndarray:
     """A bitmap of fixed size of the part hashes that two classes or more have: false positives only, so what it lets through stays exact."""
-    often = parts.groupBy("sig").agg(F.min("which").alias("a"), F.max("which").alias("b")).where("a <> b")
-    at = F.col("sig").bitwiseAND((1 << BITMAP_BITS) - 1)
-    words = often.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sig & 63 as int))")).alias("bits")).toArrow()  # at most 2**(BITMAP_BITS - 6) rows
+    sig = F.shiftright("mark", CLASS_BITS)
+    often = marks.repartition(sig).groupBy(sig.alias("sig")).agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a <> b")
+    at = F.shiftrightunsigned("a", 64 - BITMAP_BITS)
+    one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(a, {64 - BITMAP_BITS}) & 63 as int))")
+    words = often.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()  # at most 2**(BITMAP_BITS - 6) rows
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
     bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    release(marks.sparkSession)
     return bitmap
 
 
@@ -302,6 +320,7 @@ def candidates(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 def similar_classes(docs: DataFrame, k: int, percent: int, block: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Classes of all rows (``doc_id, n_shingles, cls``) and links (``a, b``) between classes that connect all similar ones."""
+    bounded_batches(docs.sparkSession)
     classes = materialise(_classes(docs, k), "jaccard-classes")
     parts = materialise(candidates(docs, k, percent), "jaccard-candidates")
     shared = parts.groupBy("sig").agg(F.min("cls").alias("low"), F.max("cls").alias("top")).where("low <> top").select("sig", "low")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cleave.llm.textbytes import Texts, chunks, mix
-from cleave.session import materialise
+from cleave.session import bounded_batches, materialise
 
 #: Hashed trigram bins, and the most languages that the text model holds: together they bound what is broadcast.
 BINS, MOST_LANGUAGES = 1 << 15, 256
@@ -135,6 +135,7 @@ def _posterior(logs: Column) -> Column:
 
 def identify(pages: DataFrame, docs: DataFrame, strength: float = 10.0) -> DataFrame:
     """``page_id, host, declared, lang, probability, text_lang, n_grams`` of every page."""
+    bounded_batches(pages.sparkSession)
     names, log_p = train(docs)
     if not names:
         return pages.select("page_id", host_of(F.col("url")).alias("host"), F.lit(None).cast("string").alias("declared"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_lang"), F.lit(0).cast("long").alias("n_grams"))

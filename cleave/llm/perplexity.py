@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from cleave.llm.quality import duplicate_lines, repeated_words
 from cleave.llm.textbytes import SpanHash, Texts, chunks
-from cleave.session import materialise, small
+from cleave.session import bounded_batches, materialise, small
 
 #: Code points of a gram, and of the start that lies before a text.
 DEPTH = 5
@@ -298,6 +298,7 @@ def bands(scored: DataFrame, below: float, above: float, least: int) -> DataFram
 
 def quality_rules(docs: DataFrame, below: float = 2.5, above: float = 2.5, least: int = 50) -> DataFrame:
     """Base counts, ``base_failed``, ``perplexity``, the language's band and the verdict ``kept`` of every document."""
+    bounded_batches(docs.sparkSession)
     model = train(docs.select("text"))
     counted = materialise(with_counts_and_perplexity(docs, model), "perplexity")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cleave.llm.textbytes import Texts, chunks, mix
-from cleave.session import materialise
+from cleave.session import bounded_batches, materialise
 
 U64 = np.uint64
 STATS = ("log_words", "log_word_bytes", "symbols", "upper", "digits", "marks", "stops", "wide", "dup_lines", "dup_windows", "vocabulary", "log_line_words", "long_words")
@@ -124,6 +124,7 @@ def statistics(t: Texts) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``keep`` and ``stats array<double>`` of every row, whole texts."""
+    bounded_batches(docs.sparkSession)
     schema = docs.select(*keep).schema.add("stats", T.ArrayType(T.DoubleType()))
     names = list(schema.names)
 

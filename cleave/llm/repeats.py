@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleave.llm.textbytes import Texts, chunks, mix, to_signed
-from cleave.session import materialise
+from cleave.session import bounded_batches, materialise
 
 U64 = np.uint64
 NO_ID = -(1 << 63)
@@ -371,6 +371,7 @@ def _merge(contested: DataFrame, width: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, width: int = 100, k: int = 32) -> DataFrame:
     """``id, own, at``: the repeating windows of each document (null id as NO_ID; ``own``: the text's hash), as runs of starts."""
+    bounded_batches(docs.sparkSession)
     found = materialise(_resolve(_candidates(docs, width, k)), "repeats-found")
     near = materialise(_resolve(_refined(found.where("anchor is not null"), docs, width, k)), "repeats-near")
     contested = near.where("anchor is not null")

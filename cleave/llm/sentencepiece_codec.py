@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cleave.llm.textbytes import SpanHash, Texts, chunks
+from cleave.session import bounded_batches
 
 SPACE = 0x2581
 #: Ids of characters outside the vocabulary inside a lattice: this plus the code point.
@@ -37,9 +38,9 @@ BATCH_BYTES = 1 << 20
 #: Steps with fewer edges or units than this go through plain loops instead of arrays.
 FEW = 24
 #: Piece pairs that a process keeps in mind; beyond it starts anew.
-MOST_PAIRS = 300_000
+MOST_PAIRS = 150_000
 #: A process keeps the encodings of units it has met until they hold this many ids, then starts anew.
-MET_IDS = 2_000_000
+MET_IDS = 1_000_000
 
 
 class Codec:
@@ -218,8 +219,13 @@ class Codec:
             flat[np.repeat(np.isin(np.arange(len(ids)), outside), many)] = self.byte_ids[raw]
         return flat, count
 
+    def forget(self) -> None:
+        """Let go of the units and pairs met; what stays is the model."""
+        self.pairs.clear()
+        self._forget()
+
     def _forget(self) -> None:
-        self.met_key, self.met_begin, self.met_count, self.met_ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.met_key, self.met_begin, self.met_count, self.met_ids = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _met(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each unit stands among those of earlier batches, and whether it does."""
@@ -310,6 +316,7 @@ def default_model() -> str:
 def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     """``doc_id, ids, n_tokens, round_trip`` of every row; ``round_trip``: decoding gives the text's bytes back."""
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model or default_model()))  # a vocabulary file
+    bounded_batches(docs.sparkSession)
     schema = docs.select("doc_id").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("round_trip", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,6 +332,7 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
                 same = np.array([x and np.array_equal(back.data[back.offs[i] : back.offs[i + 1]], t.data[t.offs[i] : t.offs[i + 1]]) for i, x in enumerate(same)])
             lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32), mask=np.append(null, False)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([rows.column(0), lists, pa.array(np.diff(offs), mask=null), pa.array(same, mask=null)], names=schema.names)
+        tables.forget()  # the process may go on to tasks of other kinds
 
     return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(run, schema)
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleave.session import materialise, scratch_path
+from cleave.session import bounded_batches, materialise, scratch_path
 
 #: Fixed values of the Zstandard format: frame magic, magic of the skippable frame with the dictionary, dictionary magic.
 FRAME, SKIPPABLE, DICTIONARY = 0xFD2FB528, 0x184D2A5D, 0xEC30A437
@@ -160,6 +160,7 @@ def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str, least: int = 100, level: int = 3, roll_bytes: int = 32 << 20, date: str = "2024-01-01T00:00:00Z") -> int:
     """Write ``page_id, url, html`` rows as archives under ``folder``; the number of records."""
+    bounded_batches(pages.sparkSession)
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", html.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
     again = materialise(revisits(rows, least), "warc-revisits").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "first", F.lit(True).alias("again"))
