@@ -301,7 +301,23 @@ def all_min_cuts(g: Adj, value: int | None = None) -> tuple[int | None, list[fro
         value = noi(g)[0]
     if value == 0:
         return 0, []
+    whole, members_of = set(g), {v: [v] for v in g}
     h, root = _copy(g), min(g)
+    while True:  # what is connected by more than the value is parted by none of the cuts
+        home: dict[int, int] = {}
+        for x, y in scan(h, value + 1, root):
+            while x in home:
+                x = home[x]
+            while y in home:
+                y = home[y]
+            if x != y:
+                keep, gone = min(x, y), max(x, y)
+                merge(h, keep, gone)
+                members_of[keep] += members_of.pop(gone)
+                home[gone] = keep
+        if not home:
+            break
+    g = _copy(h)
     cuts: list[frozenset[int]] = []
     for v in sorted(g)[1:]:
         f = Flow(h, root, {v}, value + 1)
@@ -332,7 +348,8 @@ def all_min_cuts(g: Adj, value: int | None = None) -> tuple[int | None, list[fro
                     side = {u for c in chosen for u in members[c]}
                     cuts.append(frozenset(x for x in g if x not in side and _home(h, x, root) not in side))
         merge(h, root, v)
-    return value, sorted(set(cuts), key=lambda c: (len(c), sorted(c)))
+    cuts = [frozenset(x for v in c for x in members_of[v]) for c in set(cuts)]
+    return value, sorted((c for c in cuts if len(c) < len(whole)), key=lambda c: (len(c), sorted(c)))
 
 
 def _home(h: Adj, x: int, root: int) -> int:
@@ -453,74 +470,119 @@ def isolating(g: Adj, terminals: list[int]) -> dict[int, tuple[int, set[int]]]:
     return {t: max_flow(g, [t, *(x for x in terminals if x != t)]) for t in terminals}
 
 
-def multiterminal(g: Adj, terminals: list[int], most_nodes: int = 200_000) -> tuple[int, dict[int, int], bool]:
-    """Value, block (terminal) of every vertex, and whether it is proved optimal.
+def multiterminal(g: Adj, terminals: list[int], **options: object) -> tuple[int, dict[int, int], bool]:
+    """Value, block (terminal) of every vertex, and whether it is proved optimal."""
+    from cleave.functions.multicut import multiterminal as solve
+
+    return solve(g, terminals, **options)
+
 
-    Branch and bound: isolating sides join their terminals, edges between terminals are paid, the heaviest neighbour of a
-    terminal goes to each terminal in turn.
+def unit_flow(g: Adj, excess: dict[int, int], sinks: dict[int, int], height: int) -> tuple[dict[int, int], dict[int, int]]:
+    """Push ``excess`` along edges (as much as each weighs) into vertices that take in up to ``sinks``, from labels below ``height``.
+
+    Returns what every vertex has taken in and what is left over; together they are the excess.
     """
-    best: list = [None, {}]
-    count = 0
+    rest = {u: dict(n) for u, n in g.items()}
+    label, left, taken = dict.fromkeys(g, 0), dict.fromkeys(g, 0), dict.fromkeys(g, 0)
 
-    def solve(h: Adj, names: dict[int, list[int]], paid: int) -> None:
-        nonlocal count
-        count += 1
-        if count > most_nodes:
-            return
-        while True:
-            for i, a in enumerate(terminals):
-                for b in terminals[i + 1 :]:
-                    if b in h[a]:
-                        paid += h[a].pop(b)
-                        h[b].pop(a)
-            flows = isolating(h, terminals)
-            moved = False
-            for t in terminals:
-                for v in sorted(flows[t][1] - {t}):
-                    if v in h and v not in terminals and all(v not in flows[s][1] for s in terminals if s < t):
-                        merge(h, t, v)
-                        names[t] = names[t] + names.pop(v)
-                        moved = True
-            if not moved:
-                break
-        total, top = sum(f for f, _ in flows.values()), max(f for f, _ in flows.values())
-        free = [v for v in h if v not in terminals]
-        worst = max(terminals, key=lambda t: flows[t][0])
-        if best[0] is None or paid + total - top < best[0]:  # every terminal but the costliest keeps its isolating side
-            block = {x: t for t in terminals for x in names[t]}
-            block |= {x: worst for v in free for x in names[v]}
-            cost = sum(w for u in g for v, w in g[u].items() if u < v and block[u] != block[v])
-            if best[0] is None or cost < best[0]:
-                best[0], best[1] = cost, block
-        if not free or paid + (total + 1) // 2 >= best[0]:
-            return
-        v = max(sorted(free), key=lambda v: (max((h[v].get(t, 0) for t in terminals)), sum(h[v].values())))
-        for t in sorted(terminals, key=lambda t: -h[v].get(t, 0)):
-            k, own = _copy(h), dict(names)
-            merge(k, t, v)
-            own[t] = own[t] + own.pop(v)
-            solve(k, own, paid)
-
-    solve(_copy(g), {v: [v] for v in g}, 0)
-    return best[0], best[1], count <= most_nodes
-
-
-def local_search(g: Adj, block: dict[int, int], terminals: list[int]) -> dict[int, int]:
-    """Move single vertices to their heaviest block while that lowers the cut."""
-    block, fixed = dict(block), set(terminals)
-    moved = True
-    while moved:
-        moved = False
-        for v in sorted(g):
-            if v in fixed:
-                continue
-            pull: dict[int, int] = {}
-            for u, w in g[v].items():
-                pull[block[u]] = pull.get(block[u], 0) + w
-            to = max(sorted(pull), key=lambda b: pull[b], default=block[v])
-            if pull.get(to, 0) > pull.get(block[v], 0):
-                block[v], moved = to, True
-    return block
+    def put(v: int, x: int) -> None:
+        room = min(x, sinks.get(v, 0) - taken[v])
+        taken[v] += room
+        left[v] += x - room
+
+    for v, x in excess.items():
+        put(v, x)
+    todo = deque(v for v in g if left[v])
+    while todo:
+        u = todo.popleft()
+        while left[u] and label[u] < height:
+            for v, c in rest[u].items():
+                if c > 0 and label[v] == label[u] - 1 and left[u]:
+                    x = min(c, left[u])
+                    rest[u][v] -= x
+                    rest[v][u] += x
+                    left[u] -= x
+                    before = left[v]
+                    put(v, x)
+                    if left[v] and not before:
+                        todo.append(v)
+            if left[u]:
+                label[u] += 1
+    return {v: x for v, x in taken.items() if x}, {v: x for v, x in left.items() if x}
+
+
+def scaled_flow(g: Adj, excess: dict[int, int], sinks: dict[int, int], height: int | None = None) -> tuple[dict[int, int], dict[int, int]]:
+    """:func:`unit_flow` in rounds of doubling label height, up to twice the vertices, until nothing is left over."""
+    most = 2 * len(g) if height is None else height
+    h = 2
+    while True:
+        taken, left = unit_flow(g, excess, sinks, min(h, most))
+        if not left or h >= most:
+            return taken, left
+        h *= 2
+
+
+def to_arrays(g: Adj) -> tuple[list[int], list[int], list[int], list[int]]:
+    """The graph as arrays: ids in order, where each one's arcs begin (one more at the end), arc ends as places, arc weights."""
+    ids = sorted(g)
+    place = {v: i for i, v in enumerate(ids)}
+    start, ends, weights = [0], [], []
+    for v in ids:
+        for u in sorted(g[v]):
+            ends.append(place[u])
+            weights.append(g[v][u])
+        start.append(len(ends))
+    return ids, start, ends, weights
+
+
+def from_arrays(ids: list[int], start: list[int], ends: list[int], weights: list[int]) -> Adj:
+    """The graph of :func:`to_arrays`."""
+    return {v: {ids[ends[k]]: weights[k] for k in range(start[i], start[i + 1])} for i, v in enumerate(ids)}
+
+
+def cactus_path(nodes: int, edges: list[tuple[int, int, int]], value: int, u: int, v: int) -> list[int]:
+    """The cactus nodes that an edge between nodes ``u`` and ``v`` merges into one: the ends of the tree edges on the way, and where it enters and leaves a cycle."""
+    near: dict[int, list[tuple[int, int]]] = {i: [] for i in range(nodes)}
+    for k, (a, b, _) in enumerate(edges):
+        near[a].append((b, k))
+        near[b].append((a, k))
+    cycle: dict[int, int] = {}  # of every cycle edge, its cycle: the edges of one block of the graph
+    depth, up, order = {0: 0}, {0: (0, -1)}, [0]
+    for x in order:
+        for y, k in near[x]:
+            if y not in depth:
+                depth[y], up[y] = depth[x] + 1, (x, k)
+                order.append(y)
+    parent = {k: k for k in range(len(edges))}
+
+    def find(k: int) -> int:
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    tree = {k for _, k in up.values()}
+    for k, (a, b, _) in enumerate(edges):
+        if k not in tree:  # the way between its ends in the tree makes the cycle
+            while a != b:
+                if depth[a] < depth[b]:
+                    a, b = b, a
+                parent[find(up[a][1])] = find(k)
+                a = up[a][0]
+    cycle = {k: find(k) for k, (_, _, w) in enumerate(edges) if w < value}
+    way, seen = deque([[(u, -1)]]), {u}
+    while way:
+        path = way.popleft()
+        if path[-1][0] == v:
+            kept = [u]
+            for (x, k), (y, j) in zip(path[1:], [*path[2:], (v, -2)], strict=True):
+                if x == v or k not in cycle or cycle.get(j) != cycle[k]:
+                    kept.append(x)
+            return kept
+        for y, k in near[path[-1][0]]:
+            if y not in seen:
+                seen.add(y)
+                way.append([*path, (y, k)])
+    return []
 
 
 class DynamicCut:

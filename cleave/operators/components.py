@@ -5,31 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleave.session import materialise
+from cleave.session import drop, materialise
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``id, component``: the smallest vertex reachable, for every endpoint of ``edges``.
 
     Each round takes the smallest label among the neighbours (one join, one aggregation that combines before the shuffle)
-    and then the label of that label, so long paths halve.  Every round is written to the shared folder; rounds end when a
-    count of changed labels is zero.
+    and then the label of that label, so long paths halve.  Every round is written to the shared folder, in place of the one before; rounds
+    end when a count of changed labels is zero.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     both = materialise(pairs.union(pairs.select("v", "u")).where("u <> v").distinct(), "cc-arcs")
     loops = pairs.where("u = v").select(F.col("u").alias("id"), F.col("u").alias("component"))
     labels = materialise(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("component")).union(loops).groupBy("id").agg(F.min("component").alias("component")), "cc-labels")
-    for _ in range(max_rounds):
+    while True:
         seen = both.join(labels.select(F.col("id").alias("v"), "component"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
         hooked = labels.join(seen, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
         # a label's own label: the component that its root now has
         roots = hooked.select(F.col("id").alias("component"), F.col("component").alias("root"))
         new = materialise(hooked.join(roots, "component", "left").select("id", "old", F.least("component", F.coalesce("root", "component")).alias("component")), "cc-labels")
         changed = new.where("old <> component").limit(1).count()
+        drop(labels)
         labels = new.select("id", "component")
         if not changed:
+            drop(both)
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def all_components(g) -> DataFrame:  # noqa: ANN001
@@ -64,13 +65,13 @@ def bfs(g, sources: DataFrame, max_depth: int | None = None) -> DataFrame:  # no
     return seen
 
 
-def core_numbers(g, max_rounds: int = 200) -> DataFrame:  # noqa: ANN001
+def core_numbers(g) -> DataFrame:  # noqa: ANN001
     """``id, core``: each vertex takes the h-index of its neighbours' values, starting from degrees, until nothing changes."""
     from cleave.operators.relational import degrees
 
     arcs = materialise(g.arcs().select("src", "dst"), "core-arcs")
     core = materialise(degrees(g).select("id", F.col("degree").alias("core")), "core")
-    for _ in range(max_rounds):
+    while True:
         near = arcs.join(core.select(F.col("id").alias("dst"), F.col("core").alias("c")), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.count("*").alias("k"))
         from pyspark.sql import Window as W
 
@@ -78,7 +79,8 @@ def core_numbers(g, max_rounds: int = 200) -> DataFrame:  # noqa: ANN001
         h = upto.groupBy("id").agg(F.max("h").alias("h"))
         new = materialise(core.join(h, "id", "left").select("id", F.col("core").alias("old"), F.least("core", F.coalesce("h", F.lit(0))).alias("core")), "core")
         changed = new.where("old <> core").limit(1).count()
+        drop(core)
         core = new.select("id", "core")
         if not changed:
+            drop(arcs)
             return core
-    raise RuntimeError(f"cores did not settle in {max_rounds} rounds")

@@ -114,8 +114,10 @@ def contract(g: Graph, mapping: DataFrame) -> Graph:
 
 def dense_ids(mapping: DataFrame) -> DataFrame:
     """Blocks numbered 0, 1, ... by their smallest member; ranks come from range-sorted partitions and their offsets."""
+    from cleave.session import materialise
+
     low = mapping.groupBy("block").agg(F.min("id").alias("low"))
-    parts = low.repartitionByRange("low").withColumn("_p", F.spark_partition_id())
+    parts = materialise(low.repartitionByRange("low").withColumn("_p", F.spark_partition_id()), "dense-parts")  # written: ranges are drawn from a sample, anew each time
     counts = parts.groupBy("_p").agg(F.count("*").alias("c"))
     start = counts.select("_p", F.coalesce(F.sum("c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     rank = parts.withColumn("r", F.row_number().over(W.partitionBy("_p").orderBy("low")) - 1).join(F.broadcast(start), "_p")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from itertools import count
 
 import pandas as pd
@@ -10,39 +10,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleave.functions import kernels as K
+from cleave.functions import multicut as M
 from cleave.graph import Graph
 from cleave.operators import reduce as R
 from cleave.operators.components import all_components, connected_components
+from cleave.operators.terminals import by_ids, reduced
 from cleave.operators.relational import compose, contract, degrees, edge_cut, induced, without_heavy
 from cleave.session import materialise
+from cleave.streaming.cut import stream_cut  # noqa: F401
 
 #: Vertices of a reduced graph that one group solves; larger ones are shrunk further or refused.
 KERNEL_VERTICES = 5_000
 ALGORITHMS = ("noi", "exact", "ks", "matula", "pr", "vc", "inexact", "stoer_wagner")
 
 
-def in_one_group(g: Graph, solve: Callable[[K.Adj], list[tuple]], schema: str, most: int = KERNEL_VERTICES) -> DataFrame:
-    """The rows that ``solve`` makes of the whole graph, in one task; the size is checked first."""
+def in_one_group(g: Graph, solve: Callable[..., list[tuple]], schema: str, most: int = KERNEL_VERTICES, runs: int | None = None) -> DataFrame:
+    """The rows that ``solve`` makes of the whole graph, in one task; the size is checked first.
+
+    With ``runs``, a task of its own for each of as many runs, whose number ``solve`` gets as well.
+    """
     n = g.vertices.limit(most + 1).count()
     if n > most:
         raise ValueError(f"the graph has more than {most} vertices after reduction; it can't be solved in one group")
     names = [c.split()[0] for c in schema.split(", ")]
     ends = F.lit(None).cast("long")
     rows = g.edges.select("src", "dst", "weight").union(g.vertices.select("id", ends, ends))
+    rows = rows.withColumn("_g", F.lit(0) if runs is None else F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         alone = pdf[pdf["dst"].isna()]["src"].astype("int64").tolist()
-        e = pdf[pdf["dst"].notna()].astype("int64")
-        return pd.DataFrame(solve(K.adjacency(e.itertuples(index=False, name=None), alone)), columns=names)
+        e = pdf[pdf["dst"].notna()][["src", "dst", "weight"]].astype("int64")
+        a = K.adjacency(e.itertuples(index=False, name=None), alone)
+        return pd.DataFrame(solve(a) if runs is None else solve(a, int(key[0])), columns=names)
+
+    return rows.groupBy("_g").applyInPandas(run, schema)
 
-    return rows.groupBy(F.lit(1).alias("_g")).applyInPandas(run, schema)
+
+def components_checked(g: Graph, most: int = KERNEL_VERTICES) -> DataFrame:
+    """``id, component`` of every vertex, written; ValueError for a component that one task can't hold."""
+    comp = materialise(all_components(g), "checked-components")
+    large = comp.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most).limit(1).collect()
+    if large:
+        raise ValueError(f"a component has {large[0]['n']} vertices, more than {most}; it can't be solved in one group")
+    return comp
 
 
 def identity(g: Graph) -> DataFrame:
     return g.vertices.select("id", F.col("id").alias("block"))
 
 
-def shrink(g: Graph, most: int, triangles: bool = True, rounds: int | None = 20, matched: bool = False) -> tuple[Graph, DataFrame, tuple[int, DataFrame] | None]:
+def shrink(g: Graph, most: int, triangles: bool = True, rounds: int | None = None, matched: bool = False) -> tuple[Graph, DataFrame, tuple[int, DataFrame] | None]:
     """Contract what no cut below the best vertex cut parts, until ``most`` vertices are left or nothing moves.
 
     Without ``rounds`` only that ends it.  ``matched``: where the tests that may be applied all at once move nothing, the
@@ -77,6 +94,45 @@ def shrink(g: Graph, most: int, triangles: bool = True, rounds: int | None = 20,
     return g, mapping, best
 
 
+def trivial_cut(g: Graph, labels: DataFrame, below: int) -> tuple[int, DataFrame] | None:
+    """The lightest cut that takes one vertex out of a cluster (``id, block``) of fewer than log2(n) vertices, if it is below ``below``: value and ``id`` of what stays."""
+    n = g.vertices.count()
+    gain = materialise(R.cluster_cut_gain(g, labels), "trivial-gain")
+    small = gain.groupBy("block").agg(F.count("*").alias("size"), F.sum("outside").alias("cut")).where(F.col("size").between(2, max(n.bit_length() - 1, 2)))
+    best = gain.join(small, "block").select((F.col("cut") - F.col("outside") + F.col("inside")).alias("value"), "id", "block").orderBy("value", "id").limit(1).collect()
+    if not best or best[0]["value"] >= below:
+        return None
+    return best[0]["value"], labels.where((F.col("block") == best[0]["block"]) & (F.col("id") != best[0]["id"])).select("id")
+
+
+def multilevel(g: Graph, until: int) -> tuple[Graph, DataFrame, tuple[int, DataFrame] | None]:
+    """As :func:`shrink`, but by clusters: while more than ``until`` vertices are left, labels are propagated, single vertices tried outside
+    small clusters, the clusters contracted and the safe tests run once.  Heuristic: a minimum cut may be contracted away."""
+    mapping, best = identity(g), None
+    while True:
+        n = g.vertices.count()
+        if n <= until:
+            break
+        labels = materialise(R.label_propagation(g).select("id", F.col("label").alias("block")), "labels")
+        low = degrees(g).agg(F.min(F.struct("weighted", "id"))).first()[0]
+        found = [(low[0], g.vertices.where(F.col("id") == low[1]).select("id"))]
+        found += [x for x in [trivial_cut(g, labels, low[0])] if x]
+        for value, ids in found:
+            if best is None or value < best[0]:
+                best = (value, materialise(mapping.join(ids.select(F.col("id").alias("block")), "block", "left_semi").select("id"), "cut-side"))
+        if best[0] == 0:
+            break
+        mapping = materialise(compose(mapping, labels), "level-mapping")
+        h = contract(g, labels)
+        g, step, more = shrink(Graph(materialise(h.edges, "level-edges"), materialise(h.vertices, "level-vertices")), until, rounds=1)
+        if more is not None and more[0] < best[0]:
+            best = (more[0], materialise(mapping.join(more[1].select(F.col("id").alias("block")), "block", "left_semi").select("id"), "cut-side"))
+        mapping = materialise(compose(mapping, step), "level-mapping")
+        if g.vertices.count() in (n, 1):
+            break
+    return g, mapping, best
+
+
 def min_cut(g: Graph, algorithm: str = "exact", seed: int = 0, kernel: int = 2_000, repetitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``(cut_value, n, m)`` as one row, and ``id, side`` of every vertex (the smallest id on side 0); NULL under two vertices."""
     if algorithm not in ALGORITHMS:
@@ -85,21 +141,20 @@ def min_cut(g: Graph, algorithm: str = "exact", seed: int = 0, kernel: int = 2_0
     sizes = g.edges.agg(F.count("*").alias("m")).select(F.lit(n).cast("long").alias("n"), "m")
     if n < 2:
         return sizes.select(F.lit(None).cast("long").alias("cut_value"), "n", "m"), g.vertices.select("id", F.lit(0).alias("side"))
-    start, labels = g, None
-    if algorithm in ("vc", "inexact") and n > kernel:  # heuristic: clusters by label propagation, then as exact
-        labels = materialise(R.label_propagation(g).select("id", F.col("label").alias("block")), "labels")
-        start = contract(g, labels)
     pr = algorithm == "pr"  # no kernel: the tests alone, and the best vertex cut that they meet
-    small, mapping, best = shrink(start, 2, rounds=None, matched=True) if pr else shrink(start, kernel)
-    if labels is not None:
-        mapping = compose(labels, mapping)
+    if pr:
+        small, mapping, best = shrink(g, 2, rounds=None, matched=True)
+    elif algorithm in ("vc", "inexact"):
+        small, mapping, best = multilevel(g, kernel)
+    else:
+        small, mapping, best = shrink(g, kernel, rounds=None)
+    if algorithm == "ks":
+        runs = repetitions or max(1, (n - 1).bit_length())
+        tried = in_one_group(small, lambda a, i: [(v, value, i) for value, side in [K.karger_stein(a, seed + i)] for v in side], "block long, cut_value long, run long", runs=runs) if small.vertices.limit(2).count() > 1 else None
 
     def solve(a: K.Adj) -> list[tuple]:
         if algorithm == "matula":
             value, side = K.noi(a, approximate=True)
-        elif algorithm == "ks":
-            runs = repetitions or max(1, len(a).bit_length())
-            value, side = min((K.karger_stein(a, seed + i) for i in range(runs)), key=lambda x: (x[0] is None, x[0]))
         elif algorithm == "stoer_wagner":
             value, side = K.stoer_wagner(a)
         else:
@@ -108,12 +163,17 @@ def min_cut(g: Graph, algorithm: str = "exact", seed: int = 0, kernel: int = 2_0
 
     if pr and best is not None:
         found = None
+    elif algorithm == "ks":
+        found = tried
+        if tried is not None:
+            tried = materialise(tried, "cut-runs")
+            found = tried.join(F.broadcast(tried.agg(F.min(F.struct("cut_value", "run")).alias("b")).select("b.cut_value", "b.run")), ["cut_value", "run"])
     else:
         found = materialise(in_one_group(small, solve, "block long, cut_value long"), "cut-kernel") if small.vertices.limit(2).count() > 1 else None
     value = found.agg(F.first("cut_value")).first()[0] if found is not None else None
     if best is not None and (value is None or best[0] < value):
         value = best[0]
-        inside = best[1] if labels is None else labels.join(best[1].withColumnRenamed("id", "block"), "block", "left_semi").select("id")
+        inside = best[1]
     else:
         inside = mapping.join(found.select("block"), "block", "left_semi").select("id")
     inside = materialise(inside.distinct(), "cut-inside")
@@ -147,10 +207,10 @@ def heavy_vertices_cut(g: Graph, p: float) -> DataFrame:
     return edge_cut(g, all_sides)
 
 
-def safe_for_all(g: Graph, most: int, rounds: int = 20) -> tuple[Graph, DataFrame]:
+def safe_for_all(g: Graph, most: int) -> tuple[Graph, DataFrame]:
     """Contract what no minimum cut parts: certificates above the least vertex cut, and strict tests with both degrees above it."""
     mapping = identity(g)
-    for _ in range(rounds):
+    while True:
         n = g.vertices.count()
         low = degrees(g).agg(F.min("weighted")).first()[0]
         if n <= most or not low:
@@ -244,10 +304,11 @@ def st_cut(g: Graph, vertices: list[int], source: int = 0, limit: int | None = N
 
 
 def isolating_cuts(g: Graph, terminals: list[int]) -> DataFrame:
-    """``terminal, flow, side_size`` for every terminal against the others; one group a terminal."""
+    """``terminal, flow, side_size`` for every terminal against the others; one group a terminal, after a check of the graph's size."""
+    components_checked(g)
     rows = g.edges.select("src", "dst", "weight")
     each = rows.sparkSession.createDataFrame([(t,) for t in terminals], "terminal long")
-    per = each.crossJoin(rows)  # one copy of the reduced graph for each terminal
+    per = each.crossJoin(rows)  # one copy of a graph of bounded components for each terminal
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a = K.adjacency(pdf[["src", "dst", "weight"]].itertuples(index=False, name=None), terminals)
@@ -262,38 +323,51 @@ def multiterminal_bounds(g: Graph, terminals: list[int]) -> DataFrame:
     return isolating_cuts(g, terminals).agg(F.ceil(F.sum("flow") / 2).cast("long").alias("lower"), (F.sum("flow") - F.max("flow")).cast("long").alias("upper"))
 
 
-def multiterminal_cut(g: Graph, terminals: list[int]) -> DataFrame:
-    """``component, cut_value, is_optimal, id, block``: components with two terminals or more are solved, one group each.
+def multiterminal_cut(g: Graph, terminals: list[int], kernel: int = 500, **options: object) -> DataFrame:
+    """``component, cut_value, is_optimal, id, block``: where every vertex goes, and what the cut of its component weighs.
 
-    A component with one terminal is its block; without any it is block of the first terminal.
+    A graph above ``kernel`` vertices is first reduced by joins; then components with two terminals or more are solved, one group each.
+    A component with one terminal is its block; without any it is block of the first terminal.  ``options`` are those of the solver:
+    ``rule``, ``order``, ``inexact``, ``seed``, ``seconds``.
     """
-    comp = materialise(all_components(g), "multi-components")
-    e = g.edges.join(comp.select(F.col("id").alias("src"), "component"), "src").select("component", "src", "dst", "weight")
+    small, mapping = g, identity(g)
+    if g.vertices.limit(kernel + 1).count() > kernel:
+        small, mapping, _ = reduced(g, by_ids(g, terminals))
+    comp = components_checked(small)
+    e = small.edges.join(comp.select(F.col("id").alias("src"), "component"), "src").select("component", "src", "dst", "weight")
     none = F.lit(None).cast("long")
     rows = e.union(comp.select("component", "id", none, none))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf[pdf["dst"].isna()]["src"].astype("int64").tolist()
-        mine = [t for t in terminals if t in set(ids)]
+        have = set(ids)
+        mine = [t for t in terminals if t in have]
         if len(mine) < 2:
-            out = [(key[0], 0, True, v, mine[0] if mine else terminals[0]) for v in ids]
+            out = [(v, mine[0] if mine else terminals[0], True) for v in ids]
         else:
             a = K.adjacency(pdf[pdf["dst"].notna()][["src", "dst", "weight"]].astype("int64").itertuples(index=False, name=None), ids)
-            value, block, sure = K.multiterminal(a, mine)
-            out = [(key[0], value, sure, v, block[v]) for v in sorted(block)]
-        return pd.DataFrame(out, columns=["component", "cut_value", "is_optimal", "id", "block"])
-
-    return rows.groupBy("component").applyInPandas(run, "component long, cut_value long, is_optimal boolean, id long, block long")
-
-
-def multiterminal_value(g: Graph, terminals: list[int]) -> DataFrame:
-    each = multiterminal_cut(g, terminals).groupBy("component").agg(F.first("cut_value").alias("v"), F.first("is_optimal").alias("o"))
+            _, block, sure = M.multiterminal(a, mine, **options)
+            out = [(v, block[v], sure) for v in sorted(block)]
+        return pd.DataFrame(out, columns=["place", "block", "sure"])
+
+    solved = rows.groupBy("component").applyInPandas(run, "place long, block long, sure boolean")
+    placed = mapping.withColumnRenamed("block", "place").join(solved, "place").select("id", "block", "sure")
+    placed = materialise(placed.join(all_components(g), "id"), "multi-placed")
+    ends = [placed.select(F.col("id").alias(c), F.col("block").alias(f"b_{c}"), *(["component"] if c == "src" else [])) for c in ("src", "dst")]
+    cut = g.edges.join(ends[0], "src").join(ends[1], "dst").where("b_src <> b_dst").groupBy("component").agg(F.sum("weight").alias("w"))
+    sure = placed.groupBy("component").agg(F.min("sure").alias("is_optimal"))
+    return placed.select("id", "block", "component").join(sure, "component").join(cut, "component", "left").select("component", F.coalesce("w", F.lit(0)).alias("cut_value"), "is_optimal", "id", "block")
+
+
+def multiterminal_value(g: Graph, terminals: list[int], **options: object) -> DataFrame:
+    """``cut_value, is_optimal`` over all components."""
+    each = multiterminal_cut(g, terminals, **options).groupBy("component").agg(F.first("cut_value").alias("v"), F.first("is_optimal").alias("o"))
     return each.agg(F.sum("v").alias("cut_value"), F.min("o").alias("is_optimal"))
 
 
 def structure(g: Graph) -> DataFrame:
-    """``kind, u, v``: articulation points (v null) and bridges, one group a component."""
-    comp = all_components(g)
+    """``kind, u, v``: articulation points (v null) and bridges, one group a component, whose size is checked."""
+    comp = components_checked(g)
     e = g.edges.join(comp.select(F.col("id").alias("src"), "component"), "src").select("component", "src", "dst", "weight")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -339,19 +413,30 @@ def replay(updates: DataFrame, edges: DataFrame | None = None, one_by_one: bool
     return rows.groupBy("graph").applyInPandas(run, f"graph long, ts {ts}, seq long, cut_value long, changes long")
 
 
-def stream_cut(updates: DataFrame) -> DataFrame:
-    """As :func:`replay`, over a stream: the state of each ``graph`` is its edges; a row for each batch of updates that reaches it."""
-    import json
-
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+def replay_totals(updates: DataFrame, edges: DataFrame | None = None, seconds: float = 3600.0) -> DataFrame:
+    """``graph, inserts, deletes, changes, solves, cut_value, timed_out``: one row a stream; what is left after ``seconds`` is not applied."""
+    import time
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else []
-        d = K.DynamicCut([tuple(x) for x in held])
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        for r in rows.itertuples(index=False):
-            d.insert(r.src, r.dst, r.delta) if r.delta > 0 else d.delete(r.src, r.dst)
-        state.update((json.dumps([(u, v, w) for (u, v), ws in d.lists.items() for w in ws]),))
-        yield pd.DataFrame([(key[0], int(rows["seq"].max()), d.value)], columns=["graph", "seq", "cut_value"])
+    rows = updates if "graph" in updates.columns else updates.withColumn("graph", F.lit(0).cast("long"))
+    most = KERNEL_VERTICES * 20
+    start = [] if edges is None else [tuple(r) for r in edges.select("src", "dst", "weight").limit(most + 1).collect()]
+    if len(start) > most:
+        raise ValueError(f"the start graph has more than {most} edges; it can't be replayed in one group")
 
-    return updates.groupBy("graph").applyInPandasWithState(run, "graph long, seq long, cut_value long", "edges string", "update", GroupStateTimeout.NoTimeout)
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        stop, d = time.monotonic() + seconds, K.DynamicCut(start)
+        inserts = deletes = changes = 0
+        before, late = d.value, False
+        for r in pdf.sort_values(["ts", "seq"]).itertuples(index=False):
+            if time.monotonic() > stop:
+                late = True
+                break
+            if r.delta > 0:
+                now, inserts = d.insert(r.src, r.dst, r.delta), inserts + 1
+            else:
+                now, deletes = d.delete(r.src, r.dst), deletes + 1
+            changes += now != before
+            before = now
+        return pd.DataFrame([(key[0], inserts, deletes, changes, d.solves, d.value, late)], columns=["graph", "inserts", "deletes", "changes", "solves", "cut_value", "timed_out"])
+
+    return rows.select("graph", "ts", "seq", "src", "dst", "delta").groupBy("graph").applyInPandas(run, "graph long, inserts long, deletes long, changes long, solves long, cut_value long, timed_out boolean")

@@ -30,6 +30,14 @@ def random_weights(g: Graph, low: int, high: int, seed: int = 0) -> Graph:
     return Graph(g.edges.withColumn("weight", (draw(high - low + 1, F.col("src"), F.col("dst"), seed) + low).cast("long")), g.vertices)
 
 
+def random_edges(g: Graph, each: int, seed: int = 0) -> Graph:
+    """The graph with ``each`` edges more a vertex, each to an edge's end drawn at random: a neighbour is hit by weight of one, so its edge weighs one more."""
+    near = g.arcs().select("src", "dst", F.explode(F.sequence(F.lit(1), F.lit(each))).alias("k"))
+    key = F.struct(F.xxhash64("src", "dst", "k", F.lit(seed)).alias("key"), "dst")
+    chosen = near.groupBy("src", "k").agg(F.min(key).alias("x")).select("src", F.col("x.dst").alias("dst"), F.lit(1).cast("long").alias("weight"))
+    return Graph.of(g.edges.unionByName(chosen), g.vertices)
+
+
 def update_stream(g: Graph, inserted: float, removed: float, batch: int, seed: int = 0) -> tuple[Graph, DataFrame]:
     """The graph without a share of its edges, and updates that insert those and delete another share, in a random order in batches."""
     u = (draw(1 << 30, F.col("src"), F.col("dst"), seed) / F.lit(float(1 << 30))).alias("u")

@@ -69,6 +69,29 @@ def customer_nation(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.of(table(spark, sf_dir, "customer").select((2 * F.col("c_custkey") + 1).alias("src"), (2 * F.col("c_nationkey")).alias("dst"), F.lit(1).alias("weight")))
 
 
+def customer_region(spark: SparkSession, sf_dir: str) -> Graph:
+    """Customers hang on their nation, nations on their region, and the regions (in the order of keys) stand in a ring."""
+    read = lambda n: table(spark, sf_dir, n)
+    hang = customer_nation(spark, sf_dir).edges.select("src", "dst")
+    up = read("nation").select((2 * F.col("n_nationkey")).cast("long").alias("src"), (-1 - F.col("n_regionkey")).cast("long").alias("dst"))
+    key = F.col("r_regionkey").cast("long")
+    ring = read("region").select((-1 - key).alias("src"), (-1 - F.coalesce(F.lead(key).over(W.orderBy(key)), F.first(key).over(W.orderBy(key)))).alias("dst"))  # a handful of regions
+    return Graph.of(hang.union(up).union(ring).withColumn("weight", F.lit(1)))
+
+
+def customer_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``seq, src, dst, delta, ts``: every customer is linked to its nation, in the order of keys."""
+    key = F.col("c_custkey").cast("long")
+    return table(spark, sf_dir, "customer").select(key.alias("seq"), (2 * key + 1).alias("src"), (2 * F.col("c_nationkey")).cast("long").alias("dst"), F.lit(1).cast("long").alias("delta"), key.alias("ts"))
+
+
+def broken(spark: SparkSession, sf_dir: str) -> Graph:
+    """No valid graph: nations beside their regions as they come, and every region but the largest twice."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("id"))
+    e = n.select(F.col("n_nationkey").cast("long").alias("src"), F.col("n_regionkey").cast("long").alias("dst"), (F.col("n_nationkey") % 3).cast("long").alias("weight"))
+    return Graph(e.union(e.where("src > 20")), r.union(r.where("id < 4")))
+
+
 def event_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``seq, src, dst, delta, ts``: links between event types and hours of the day; errors delete, all else inserts."""
     e = table(spark, sf_dir, "events")

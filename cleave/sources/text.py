@@ -67,8 +67,17 @@ def write_dimacs(g: Graph, path: str) -> None:
 
 
 def read_temporal(spark: SparkSession, path: str) -> DataFrame:
-    """``seq, src, dst, delta, ts`` from lines ``s t ts`` or ``s t w ts`` (1-based, signed w); comments are skipped."""
-    rows = numbered_lines(spark, path).where(~F.col("value").rlike("^[ \t]*%") & (F.trim("value") != ""))
+    """``seq, src, dst, delta, ts`` from lines ``s t ts`` or ``s t w ts`` (1-based, signed w); comments are skipped.
+
+    A file with a line ``p ...`` is an edge list: every edge is inserted once, at the time of its line.
+    """
+    lines = numbered_lines(spark, path)
+    if lines.where(F.col("value").startswith("p ")).limit(1).count():
+        x = F.regexp_extract
+        e = lines.select("line", *(x("value", r"^[ae]\s+(\d+)\s+(\d+)", i).alias(c) for i, c in ((1, "s"), (2, "t")))).where("s <> ''")
+        e = e.select(F.col("line").alias("seq"), (F.col("s").cast("long") - 1).alias("src"), (F.col("t").cast("long") - 1).alias("dst"), F.lit(1).cast("long").alias("delta"), F.col("line").alias("ts"))
+        return e.where("src < dst")
+    rows = lines.where(~F.col("value").rlike("^[ \t]*%") & (F.trim("value") != ""))
     t = rows.select("line", F.split(F.trim("value"), r"\s+").alias("t"))
     get = lambda i: F.get("t", F.lit(i)).cast("long")
     four = F.size("t") > 3
@@ -86,6 +95,37 @@ def read_vector(spark: SparkSession, path: str) -> DataFrame:
     return rows.select((F.row_number().over(W.orderBy("line")) - 1).cast("long").alias("id"), F.trim("value").cast("double").alias("value"))
 
 
+def write_vector(rows: DataFrame, path: str) -> None:
+    """``id, value``: one value a line in the order of ids, as one file."""
+    rows.repartitionByRange(1, "id").sortWithinPartitions("id").select(F.col("value").cast("string").alias("value")).write.text(path)
+
+
+def write_solution(blocks: DataFrame, path: str) -> None:
+    """``id, block``: one block a line in the order of ids."""
+    write_vector(blocks.select("id", F.col("block").alias("value")), path)
+
+
+def read_order(spark: SparkSession, path: str) -> DataFrame:
+    """``id, place`` of a file of places, one a line: vertex i stands at that place."""
+    return read_vector(spark, path).select("id", F.col("value").cast("long").alias("place"))
+
+
+def read_ordered_partition(spark: SparkSession, path: str, order: str, k: int) -> DataFrame:
+    """``id, terminal`` of a partition file whose lines stand in the order of a file of places."""
+    part = read_partition(spark, path, k).withColumnRenamed("id", "place")
+    return read_order(spark, order).join(part, "place").select("id", "terminal")
+
+
+def write_problem(g: Graph, terminals: DataFrame, path: str) -> None:
+    """A reduced problem: the graph under ``path``/graph (vertices renumbered 0 .. n-1 by id) and ``path``/terminals with a line ``vertex place`` each."""
+    from cleave.operators.relational import dense_ids, contract
+
+    dense = dense_ids(g.vertices.select("id", F.col("id").alias("block")))
+    write_metis(contract(g, dense), f"{path}/graph")
+    named = terminals.select("id", "place").join(dense, "id").select(F.col("block").alias("id"), F.concat_ws(" ", F.col("block").cast("string"), F.col("place").cast("string")).alias("value"))
+    write_vector(named, f"{path}/terminals")
+
+
 def read_partition(spark: SparkSession, path: str, k: int) -> DataFrame:
     """``id, terminal``: one block a line; the value ``k`` is no terminal (null)."""
     return read_vector(spark, path).select("id", F.when(F.col("value") < k, F.col("value").cast("long")).alias("terminal"))

@@ -1 +1 @@
-"""Part of cleave."""
+"""Structured Streaming operators."""
