@@ -238,5 +238,9 @@ def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     """The documents whose score is at least ``threshold``, with their own columns."""
     stats = with_statistics(documents.where(~held_out()), ["doc_id"])
     model = fit(stats.join(_training_rows(labels), F.col("doc_id") == F.col("_id")))
-    rows = documents.select(F.struct(*documents.columns).alias("row"), "text")
-    return score(with_statistics(rows, ["row"]), model).where(F.col("score") >= threshold).select("row.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, t in chunks(batches, "text"):
+            yield rows.filter(pa.array(model.scores(statistics(t)) >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -398,14 +398,15 @@ def covered(size: int, at: list[dict] | None, width: int) -> np.ndarray:
 
 
 def _with_spans(docs: DataFrame, width: int, k: int, *cols: F.Column) -> DataFrame:
+    """``cols`` of every row, and ``at`` (null where nothing repeats)."""
     spans = repeated_spans(docs, width, k)
-    rows = _keyed(docs, *cols).withColumn("_text", F.col("_text").cast("binary"))
+    rows = _keyed(docs, *cols).drop("_text")
     return rows.join(spans, (F.col("_id") == F.col("id")) & (F.col("_own") == F.col("own")), "left")
 
 
 def removed(docs: DataFrame, width: int = 100, k: int = 32) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
-    rows = _with_spans(docs, width, k, F.col("doc_id").alias("_doc")).select("_doc", "_text", "at")
+    rows = _with_spans(docs, width, k, F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).cast("binary").alias("_bytes")).select("_doc", "_bytes", "at")
     schema = docs.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,7 +427,8 @@ def without_repeats(docs: DataFrame, width: int = 100, k: int = 32) -> DataFrame
     """``docs`` with the repeating bytes taken out of ``text`` (a character cut in part goes whole) and ``n_chars`` counted anew."""
     rows = _with_spans(docs, width, k, F.struct(*docs.columns).alias("row"))
     kept = F.pandas_udf(lambda text, at: _cut_texts(text, at, width), "string")
-    text = F.when(F.col("at").isNull(), F.col("row.text")).otherwise(kept("_text", F.coalesce("at", F.array().cast("array<struct<lo:int,n:int>>"))))
+    some = F.col("at").isNotNull()
+    text = F.when(some, kept(F.when(some, F.col("row.text").cast("binary")), F.coalesce("at", F.array().cast("array<struct<lo:int,n:int>>")))).otherwise(F.col("row.text"))
     out = rows.withColumn("_new", text)
     cols = [F.col("_new").alias(c) if c == "text" else F.char_length("_new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
     return out.select(*cols)
@@ -437,6 +439,9 @@ def _cut_texts(text, at, width):  # noqa: ANN001, ANN202
 
     out = []
     for raw, spans in zip(text, at, strict=True):
+        if raw is None:  # nothing repeats in it
+            out.append(None)
+            continue
         x = np.frombuffer(raw, np.uint8)
         gone = covered(len(x), list(spans) if spans is not None else None, width)
         out.append(x[~gone].tobytes().decode("utf-8", "ignore") if gone.any() else raw.decode("utf-8", "ignore"))
