@@ -429,10 +429,46 @@ def test_warc_archives():
         warc.parse(revisit.replace(b"WARC-Refers-To: <urn:x-page:3>\r\n", b""))
 
 
-def test_licences(docs, empty):
+def expected_licences(texts, templates, least=0.8):
+    """Spans by plain loops."""
+    words = lambda t: re.sub(r"[\W_]+", " ", t.lower()).split()
+    pairs = lambda t: list(zip(words(t), words(t)[1:], strict=False))
+    out = []
+    for doc, text in {(i, t) for i, t in texts if t}:
+        x, found = pairs(text), {}
+        for name, bodies in templates.items():
+            for body in bodies:
+                y = set(pairs(body))
+                hits = [i for i, g in enumerate(x) if g in y]
+                for i in hits:
+                    for j in hits:
+                        n = j - i + 1
+                        if j >= i and len(y) * least / (2 - least) <= n + 1e-9 and n <= len(y) * (2 - least) / least + 1e-9:
+                            dice = 2 * len(y & set(x[i : j + 1])) / (n + len(y))
+                            if dice >= least:
+                                found[name, i] = max(found.get((name, i), (0, 0)), (dice, n))
+        spans = [(d, name, i, n) for (name, i), (d, n) in found.items()]
+        for d, name, i, n in spans:
+            if not any((e > d or e == d and (other, k) < (name, i)) and k <= i + n and i <= k + m for e, other, k, m in spans):
+                out.append((doc, i, n + 1, name, round(d, 9)))
+    return sorted(out, key=str)
+
+
+def test_licences(spark, docs, empty):
     out = sorted(map(tuple, licences.scan(docs).collect()))
-    assert out == [(14, 0, "MIT", 1.0), (14, 2, "MIT", 1.0)]
+    assert out == [(14, 0, 5, "MIT", 1.0), (14, 8, 5, "MIT", 1.0)]
     assert licences.scan(empty).count() == 0
+    bsd, mit = licences.TEMPLATES["BSD-3-Clause"], licences.TEMPLATES["MIT"]
+    gpl = licences.TEMPLATES["GPL-3.0"][0]
+    texts = [
+        (1, "This project is released under the MIT License. Copyright 2020 Jane Doe"), (2, bsd[0].replace(" ", "\n* ", 5).upper()), (3, prose(9, 1) + gpl + prose(9, 2)), (4, mit[1] + "\n" + mit[2]),
+        (5, mit[1].replace("free of charge", "without any charge").replace("merge, publish,", "")), (6, " ".join(mit[1].split()[:30])), (7, (bsd[1] + " ") * 4), (8, "under the MIT"),
+        (9, "released under the gnu license of the mit"), (None, gpl), (1, gpl), (1, gpl), (10, None), (11, "released"),
+    ]
+    table = spark.createDataFrame([(i, t, 1, 2) for i, t in texts], "doc_id long, text string, start int, licence int").repartition(3)
+    got = sorted((tuple(r)[:4] + (round(r["dice"], 9),) for r in licences.scan(table).collect()), key=str)
+    assert got == expected_licences(texts, licences.TEMPLATES)
+    assert {r[0] for r in got} == {1, 2, 3, 4, 5, 7, None} and sum(r[0] == 7 for r in got) == 4
 
 
 def test_warc(spark):
