@@ -45,7 +45,7 @@ STAGES = [
     ("tokens", token_stage),
 ]
 
-#: Not expressible in SQL (fitted scores, merge-order encoding); tests compare the stages with brute force.
+#: Not expressible in SQL (fitted scores, merge-order encoding); tests/llm compares the stages, one after the other, with brute force.
 ORACLE_SQL = None
 
 
