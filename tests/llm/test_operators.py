@@ -593,6 +593,43 @@ def test_pipeline(spark, tmp_path):
     assert out.where(F.col("round_trip")).count() == out.count() > 100
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage by plain loops on its own input; the discriminant's verdicts are tested on their own."""
+    import corpus_pipeline
+
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    plain = lambda n, seed: prose(n, seed).replace(".", "")
+    question = plain(30, 900) + " 7 and 12 " + plain(10, 901)
+    texts = [(i, plain(90 + i, 200 + i)) for i in range(40)]
+    texts += [(50 + i, texts[i][1]) for i in range(4)] + [(60 + i, " ".join(["zz", *texts[10 + i][1].split()[:-1]])) for i in range(4)]
+    texts += [(70 + i, plain(60, 400 + i) + " " + plain(40, 500) + " " + plain(60, 600 + i)) for i in range(5)]
+    texts += [(80, plain(50, 700) + " " + question + " " + plain(50, 701)), (81, plain(50, 702) + " " + question.replace("7", "8").replace("12", "13")), (82, plain(50, 703) + " " + " ".join(question.split()[:14]) + " " + plain(40, 704))]
+    texts += [(100 + i, ("### $$$ " * (20 + i)) + plain(30, 800 + i).upper()) for i in range(25)] + [(90, None), (91, ""), (None, plain(99, 999))]
+    labels = [(i, int(i < 100), 0) for i, _ in texts if i is not None and i not in (90, 91)]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, question)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    read = lambda n: spark.read.parquet(f"{tmp_path}/{n}.parquet")
+    good = {(r["doc_id"]) for r in quality.quality_scores(read("documents"), read("labels")).collect() if r["predicted"] == 1}
+    left = [(i, t) for i, t in texts if i in good]
+    assert not {100 + i for i in range(25)} & good and {i for i, _ in texts[:40]} <= good
+    components = {i: c for i, _, c in expected_components(left, 5, 80)}
+    left = [(i, t) for i, t in left if i is None or components[i] == i]
+    assert not {50, 51, 52, 53, 60, 61, 62, 63} & {i for i, _ in left}
+    gone = without(left, 100)
+    cut = []
+    for i, t in left:
+        b = np.frombuffer((t or "").encode(), np.uint8)
+        cut.append((i, None if t is None else b[~gone[-(1 << 63) if i is None else i, t]].tobytes().decode("utf-8", "ignore")))
+    assert sum(len(x or "") < len(y or "") for (_, x), (_, y) in zip(cut, left, strict=True)) == 5  # four of the five that share a passage, and one that shares over 100 bytes of the question
+    leaked = {d for d, _ in expected_contamination([(i, t or "") for i, t in cut], [(1, question)])}
+    assert 80 in leaked
+    want = sorted(((i, None if t is None else sp.encode(t)) for i, t in cut if i not in leaked), key=str)
+    got = sorted(((r["doc_id"], r["ids"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str)
+    assert got == want
+
+
 def test_unrelated_sets_share_no_part():
     """Sets of 1 to 900 shingles without a common one meet under no key; sets at the threshold always do."""
     r = np.random.default_rng(11)
@@ -624,3 +661,25 @@ def changed(n, percent):
     while 100 * (n - c - 1) >= percent * (n + c + 1):
         c += 1
     return c
+
+
+def test_very_long_texts(spark):
+    """Texts of 1.8 MB, above a chunk: whole, and with the right results."""
+    long = prose(300_000, 77)
+    texts = [(1, long), (2, long[:-7]), (3, "x"), (4, None)]
+    table = spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(table, 3, 90).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    cut = {r["doc_id"]: r for r in repeats.removed(table).collect()}
+    assert cut[2]["n_removed"] == len(long) - 7 == cut[2]["n_bytes"] and cut[3]["n_removed"] == 0
+    counts = {r["doc_id"]: r for r in perplexity.quality_rules(table).collect()}
+    assert counts[1]["n_words"] == 300_000 and counts[1]["perplexity"] > 1
+    assert quality.quality_scores(table, spark.createDataFrame([], "doc_id long, quality int")).count() == 4
+    assert {r["doc_id"]: r["size"] for r in sharding.shard_documents(table, shards=2).collect()} == {1: len(long) + 8, 2: len(long) + 1, 3: 9, 4: 8}
+    bench = spark.createDataFrame([(1, " ".join(long.split()[200_000:200_040])), (2, prose(40, 78))], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contamination(table, bench).collect()) == [(1, 1), (2, 1)]
+    marked = table.withColumn("text", F.concat("text", F.lit(" released under the MIT license")))
+    assert sorted((r["doc_id"], r["start"]) for r in licences.scan(marked).collect()) == [(1, 300_000), (2, 299_999), (3, 1)]
+    assert all(r["round_trip"] in (True, None) for r in sentencepiece_codec.encode_documents(table).collect())
+    pages = spark.createDataFrame([(1, "http://a.com", f"<p>{long}</p>"), (2, "http://a.com", f"<p>{long}</p>")], "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["record_type"], r["payload_bytes"]) for r in warc.round_trip(pages).collect()) == [(1, "response", len(long) + 7), (2, "revisit", len(long) + 7)]
+    assert language_id.identify(pages, table).where("lang = 'en'").count() == 2
