@@ -112,6 +112,24 @@ def contract(g: Graph, mapping: DataFrame) -> Graph:
     return Graph(canonical(e), mapping.select(F.col("block").alias("id")).distinct())
 
 
+def contract_set(g: Graph, ids: DataFrame) -> Graph:
+    """Merge the vertices ``ids(id)`` into one, which has the smallest of them as its id."""
+    low = ids.agg(F.min("id").alias("low"))  # one row
+    inside = g.vertices.join(ids.select("id").distinct().withColumn("in", F.lit(1)), "id", "left").crossJoin(F.broadcast(low))
+    return contract(g, inside.select("id", F.when(F.col("in") == 1, F.col("low")).otherwise(F.col("id")).alias("block")))
+
+
+def checked_solution(g: Graph, blocks: DataFrame, terminals: DataFrame) -> DataFrame:
+    """``block, size, terminals, cut_weight, sound`` of a multiterminal solution: a sound block has members and exactly one terminal; a block for every terminal's place is listed, empty ones too."""
+    cut = with_blocks(g, blocks).where("b1 <> b2")
+    each = cut.select(F.explode(F.array("b1", "b2")).alias("block"), "weight").groupBy("block").agg(F.sum("weight").alias("cut_weight"))
+    own = blocks.join(terminals.select("id", F.lit(1).alias("t")), "id", "left").groupBy("block").agg(F.count("*").alias("size"), F.count("t").alias("terminals"))
+    every = own.select("block").union(terminals.select(F.col("block"))).distinct() if "block" in terminals.columns else own.select("block")
+    out = every.join(own, "block", "left").join(each, "block", "left")
+    size, held = F.coalesce("size", F.lit(0)), F.coalesce("terminals", F.lit(0))
+    return out.select("block", size.alias("size"), held.alias("terminals"), F.coalesce("cut_weight", F.lit(0)).alias("cut_weight"), ((size > 0) & (held == 1)).alias("sound"))
+
+
 def dense_ids(mapping: DataFrame) -> DataFrame:
     """Blocks numbered 0, 1, ... by their smallest member; ranks come from range-sorted partitions and their offsets."""
     from cleave.session import materialise

@@ -209,3 +209,35 @@ query("augmenting_stream")(lambda s, d: A.augmenting_stream(_kept(T.market(s, d)
 query("core_cuts")(lambda s, d: A.core_cuts(_kept(T.nation_trade(s, d), "nations"), [5, 10, 20]))
 query("random_edges")(lambda s, d: G.random_edges(_kept(T.nation_trade(s, d), "nations"), 2, 5).edges)
 query("torus")(lambda s, d: G.torus(s, 3, 20, 2, 1).edges)
+
+# the same by other ways
+_simple("min_cut_all_distributed", lambda s, d: _kept(T.market(s, d), "market"), lambda g: P.cut_list(g, 2), SQL["min_cut_all"])
+
+
+def _after_certificates(g: Graph) -> DataFrame:
+    """The minimum cut of the graph after pairs that are connected by the least degree or more inside their block have been merged."""
+    low = L.degrees(g).agg(F.min("weighted")).first()[0]
+    merged = C.connected_components(P.local_certificates(g, g.vertices.select("id", (F.col("id") % 2).alias("block")), low))
+    step = g.vertices.join(merged, "id", "left").select("id", F.coalesce("component", "id").alias("block"))
+    value = P.min_cut_value(L.contract(g, materialise(step, "certificates")), "noi")
+    return value.select(F.least(F.coalesce("cut_value", F.lit(low)), F.lit(low)).alias("cut_value"))
+
+
+_simple("min_cut_after_certificates", lambda s, d: _kept(T.market(s, d), "market"), _after_certificates, f"WITH {MARKET}, {MASKS} SELECT value AS cut_value FROM best")
+query("contract_region_set", f"WITH {NATION}, {BL}, m AS (SELECT id, CASE WHEN block = 1 THEN (SELECT min(id) FROM bl WHERE block = 1) ELSE id END AS to_id FROM bl), x AS (SELECT a.to_id AS p, b.to_id AS q, weight FROM e JOIN m a ON src = a.id JOIN m b ON dst = b.id) SELECT least(p, q) AS src, greatest(p, q) AS dst, CAST(sum(weight) AS BIGINT) AS weight FROM x WHERE p <> q GROUP BY 1, 2")(lambda s, d: L.contract_set(T.nation_trade(s, d), _blocks(s, d).where("block = 1")).edges)
+query("checked_solution", f"WITH {NATION}, {BL}, t AS (SELECT id, block FROM bl WHERE id IN (0, 1, 2, 3)), c AS (SELECT block, sum(weight) AS w FROM (SELECT b1 AS block, weight FROM eb WHERE b1 <> b2 UNION ALL SELECT b2, weight FROM eb WHERE b1 <> b2) GROUP BY block) SELECT bl.block, count(*) AS size, count(t.id) AS terminals, CAST(max(coalesce(w, 0)) AS BIGINT) AS cut_weight, count(t.id) = 1 AS sound FROM bl LEFT JOIN t ON t.id = bl.id LEFT JOIN c ON c.block = bl.block GROUP BY bl.block")(lambda s, d: L.checked_solution(T.nation_trade(s, d), _blocks(s, d), _blocks(s, d).where("id in (0, 1, 2, 3)")))
+query("stream_from_graph", f"WITH {NATION} SELECT count(*) AS edges, true AS removed_are_there FROM e")(lambda s, d: _stream_totals(_kept(T.nation_trade(s, d), "nations")))
+query("dynamic_market_cut", f"""WITH sg AS (SELECT c_mktsegment, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS i FROM (SELECT DISTINCT c_mktsegment FROM customer)),
+pr AS (SELECT o_orderpriority, dense_rank() OVER (ORDER BY o_orderpriority) - 1 + (SELECT count(*) FROM sg) AS i FROM (SELECT DISTINCT o_orderpriority FROM orders)),
+w AS (SELECT sg.i AS a, pr.i AS b, year(o_orderdate) AS y, count(*) AS w FROM orders JOIN customer ON o_custkey = c_custkey JOIN sg USING (c_mktsegment) JOIN pr USING (o_orderpriority) GROUP BY 1, 2, 3),
+ys AS (SELECT DISTINCT y FROM w), k AS (SELECT (SELECT count(*) FROM sg) + (SELECT count(*) FROM pr) AS n), m AS (SELECT unnest(range(1, CAST(power(2, n - 1) AS BIGINT))) AS mask FROM k),
+v AS (SELECT ys.y, mask, sum(CASE WHEN ((2 * mask) >> a) & 1 <> ((2 * mask) >> b) & 1 THEN w ELSE 0 END) AS value FROM ys JOIN w ON w.y BETWEEN ys.y - 1 AND ys.y, m GROUP BY 1, 2)
+SELECT CAST(y AS BIGINT) AS ts, CAST(min(value) AS BIGINT) AS cut_value FROM v GROUP BY y""")(lambda s, d: P.replay(T.market_updates(s, d)).select("ts", "cut_value"))
+
+
+def _stream_totals(g: Graph) -> DataFrame:
+    """Edges at the start and inserted, together; whether what is removed has been there."""
+    start, updates = G.update_stream(g, 0.3, 0.2, 4, 1)
+    inserted = updates.where("delta > 0").agg(F.count("*").alias("i"))
+    strange = updates.where("delta < 0").join(start.edges.select("src", "dst"), ["src", "dst"], "left_anti").agg(F.count("*").alias("x"))
+    return start.edges.agg(F.count("*").alias("s")).crossJoin(inserted).crossJoin(strange).select((F.col("s") + F.col("i")).alias("edges"), (F.col("x") == 0).alias("removed_are_there"))  # one row each

@@ -243,9 +243,26 @@ def all_min_cuts(g: Graph, kernel: int = 500) -> DataFrame:
     return cuts.crossJoin(g.vertices).join(members.select("cut", "id", F.lit(1).alias("one")), ["cut", "id"], "left").select("cut", "cut_value", "id", F.coalesce("one", F.lit(0)).alias("side"))
 
 
-def cut_list(g: Graph) -> DataFrame:
+def local_certificates(g: Graph, blocks: DataFrame, bound: int, most: int = KERNEL_VERTICES) -> DataFrame:
+    """``src, dst``: pairs inside a block ``(id, block)`` that are connected by ``bound`` or more there, and so in the whole graph.
+
+    One scan a block, side by side; blocks above ``most`` vertices are left out, which loses pairs but no correctness.  All may be merged at once.
+    """
+    few = blocks.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).select("block")
+    part = blocks.join(few, "block")
+    ends = [part.select(F.col("id").alias(c), F.col("block").alias(f"b_{c}")) for c in ("src", "dst")]
+    inside = g.edges.join(ends[0], "src").join(ends[1], "dst").where("b_src = b_dst").select(F.col("b_src").alias("block"), "src", "dst", "weight")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = K.adjacency(pdf[["src", "dst", "weight"]].astype("int64").itertuples(index=False, name=None))
+        return pd.DataFrame(K.scan(a, bound, min(a)), columns=["src", "dst"])
+
+    return inside.groupBy("block").applyInPandas(run, "src long, dst long")
+
+
+def cut_list(g: Graph, kernel: int = 500) -> DataFrame:
     """``cut_value, members``: the sorted vertices of the side without the smallest, one row a minimum cut."""
-    rows = all_min_cuts(g).where("side = 1")
+    rows = all_min_cuts(g, kernel).where("side = 1")
     low = g.vertices.agg(F.min("id")).first()[0]
     out = rows.groupBy("cut", "cut_value").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     return out.where(~F.array_contains("ids", F.lit(low))).select("cut_value", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("members"))

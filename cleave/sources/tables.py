@@ -85,6 +85,19 @@ def customer_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(key.alias("seq"), (2 * key + 1).alias("src"), (2 * F.col("c_nationkey")).cast("long").alias("dst"), F.lit(1).cast("long").alias("delta"), key.alias("ts"))
 
 
+def market_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``seq, src, dst, delta, ts``: every year inserts an edge between each segment and order priority that weighs its orders, and deletes the one of two years before."""
+    read = lambda n: table(spark, sf_dir, n)
+    c, o = read("customer"), read("orders")
+    rank = lambda df, col, base: df.select(col).distinct().select(col, (F.dense_rank().over(W.orderBy(col)) - 1 + base).cast("long").alias(f"{col}_id"))  # noqa: E731  a handful of names
+    rows = o.join(c.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment", "o_orderpriority", F.year("o_orderdate").cast("long").alias("ts")).agg(F.count("*").alias("delta"))
+    rows = rows.join(rank(c, "c_mktsegment", 0), "c_mktsegment").join(rank(o, "o_orderpriority", 100), "o_orderpriority").select(F.col("c_mktsegment_id").alias("src"), F.col("o_orderpriority_id").alias("dst"), "delta", "ts")
+    last = rows.agg(F.max("ts")).first()[0]
+    gone = rows.where(F.col("ts") + 2 <= F.lit(last)).select("src", "dst", F.lit(-1).cast("long").alias("delta"), (F.col("ts") + 2).alias("ts"))
+    place = F.col("src") * 1000 + F.col("dst")
+    return rows.select(place.alias("seq"), "src", "dst", "delta", "ts").union(gone.select((place + 1_000_000).alias("seq"), "src", "dst", "delta", "ts"))
+
+
 def broken(spark: SparkSession, sf_dir: str) -> Graph:
     """No valid graph: nations beside their regions as they come, and every region but the largest twice."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("id"))
