@@ -67,6 +67,8 @@ def shrink(g: Graph, most: int, triangles: bool = True, rounds: int | None = Non
     Returns the graph, ``mapping(id, block)``, and the value and original vertices ``(id)`` of the best vertex cut met.
     """
     mapping, best = identity(g), None
+    if g.vertices.limit(max(most, 2) + 1).count() <= max(most, 2) and not matched:
+        return g, mapping, best  # nothing to shrink: the kernel's own bound starts from the vertex cuts
     for _ in count() if rounds is None else range(rounds):
         low = degrees(g).agg(F.min(F.struct("weighted", "id"))).first()[0]
         if low is None:
@@ -148,10 +150,6 @@ def min_cut(g: Graph, algorithm: str = "exact", seed: int = 0, kernel: int = 2_0
         small, mapping, best = multilevel(g, kernel)
     else:
         small, mapping, best = shrink(g, kernel, rounds=None)
-    if algorithm == "ks":
-        runs = repetitions or max(1, (n - 1).bit_length())
-        tried = in_one_group(small, lambda a, i: [(v, value, i) for value, side in [K.karger_stein(a, seed + i)] for v in side], "block long, cut_value long, run long", runs=runs) if small.vertices.limit(2).count() > 1 else None
-
     def solve(a: K.Adj) -> list[tuple]:
         if algorithm == "matula":
             value, side = K.noi(a, approximate=True)
@@ -161,21 +159,23 @@ def min_cut(g: Graph, algorithm: str = "exact", seed: int = 0, kernel: int = 2_0
             value, side = K.noi(a, seed=seed)
         return [(v, value) for v in side]
 
-    if pr and best is not None:
-        found = None
-    elif algorithm == "ks":
-        found = tried
-        if tried is not None:
-            tried = materialise(tried, "cut-runs")
-            found = tried.join(F.broadcast(tried.agg(F.min(F.struct("cut_value", "run")).alias("b")).select("b.cut_value", "b.run")), ["cut_value", "run"])
-    else:
-        found = materialise(in_one_group(small, solve, "block long, cut_value long"), "cut-kernel") if small.vertices.limit(2).count() > 1 else None
-    value = found.agg(F.first("cut_value")).first()[0] if found is not None else None
+    found: list[tuple] = []  # blocks of one side and the value: at most KERNEL_VERTICES rows a run
+    if not (pr and best is not None) and small.vertices.limit(2).count() > 1:
+        if algorithm == "ks":
+            runs = repetitions or max(1, (n - 1).bit_length())
+            tried = in_one_group(small, lambda a, i: [(v, value, i) for value, side in [K.karger_stein(a, seed + i)] for v in side], "block long, cut_value long, run long", runs=runs)
+            least = materialise(tried, "cut-runs")
+            first = least.agg(F.min(F.struct("cut_value", "run"))).first()[0]
+            found = [tuple(r)[:2] for r in least.where(F.col("run") == first["run"]).collect()]
+        else:
+            found = [tuple(r) for r in in_one_group(small, solve, "block long, cut_value long").collect()]
+    value = found[0][1] if found else None
     if best is not None and (value is None or best[0] < value):
         value = best[0]
         inside = best[1]
     else:
-        inside = mapping.join(found.select("block"), "block", "left_semi").select("id")
+        blocks = g.edges.sparkSession.createDataFrame([(b,) for b, _ in found], "block long")
+        inside = mapping.join(F.broadcast(blocks), "block", "left_semi").select("id")
     inside = materialise(inside.distinct(), "cut-inside")
     flip = inside.join(g.vertices.agg(F.min("id").alias("id")), "id").limit(1).count() > 0
     side = F.col("in").isNull() if flip else F.col("in").isNotNull()
