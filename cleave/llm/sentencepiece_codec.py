@@ -38,9 +38,9 @@ BATCH_BYTES = 1 << 20
 #: Steps with fewer edges or units than this go through plain loops instead of arrays.
 FEW = 24
 #: Piece pairs that a process keeps in mind; beyond it starts anew.
-MOST_PAIRS = 150_000
+MOST_PAIRS = 300_000
 #: A process keeps the encodings of units it has met until they hold this many ids, then starts anew.
-MET_IDS = 1_000_000
+MET_IDS = 4_000_000
 
 
 class Codec:
