@@ -280,7 +280,7 @@ def _refined(contested: DataFrame, docs: DataFrame, width: int, k: int) -> DataF
     """The contested contexts as candidates again, with their bytes: windows in which the anchor stands in the same third of the
     possible places share more than the anchor, and meet under the hash of all that such windows have in common around it."""
     wanted = contested.groupBy("id", "own").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("at"))  # bounded by the text's length
-    joined = _keyed(docs).dropDuplicates(["_id", "_own"]).join(wanted, (F.col("id") == F.col("_id")) & (F.col("own") == F.col("_own"))).select("id", "own", "_text", "at")
+    joined = _keyed(docs).join(wanted, (F.col("id") == F.col("_id")) & (F.col("own") == F.col("_own"))).select("id", "own", "_text", "at")
     places = width - k + 1
     part = -(-places // THIRDS)
 
