@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cleave.llm.textbytes import Texts, chunks, lower_ascii, mix, to_signed
 from cleave.operators.components import connected_components
-from cleave.session import bounded_batches, materialise, release
+from cleave.session import bounded_batches, drop, materialise, release
 
 U64 = np.uint64
 FANOUT = 8
@@ -315,20 +315,26 @@ def candidates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     common = rows.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
     own = W.partitionBy("cls", "key")
     ranked = rows.join(common, "sig").withColumn("rank", F.row_number().over(own.orderBy("df", "sig"))).withColumn("all", F.count("*").over(own))
-    return ranked.where("rank <= all - share + 1").select("sig", "cls")
+    found = materialise(ranked.where("rank <= all - share + 1").select("sig", "cls"), "jaccard-candidates")
+    drop(rows)
+    return found
 
 
 def similar_classes(docs: DataFrame, k: int, percent: int, block: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Classes of all rows (``doc_id, n_shingles, cls``) and links (``a, b``) between classes that connect all similar ones."""
     bounded_batches(docs.sparkSession)
     classes = materialise(_classes(docs, k), "jaccard-classes")
-    parts = materialise(candidates(docs, k, percent), "jaccard-candidates")
+    parts = candidates(docs, k, percent)
+    release(docs.sparkSession)
     shared = parts.groupBy("sig").agg(F.min("cls").alias("low"), F.max("cls").alias("top")).where("low <> top").select("sig", "low")
     near = parts.join(shared, "sig").where("cls <> low").select("low", "cls").distinct()
     near = materialise(near.withColumn("least", F.min("low").over(W.partitionBy("cls"))), "jaccard-near")  # at most two rows a part of the class
+    drop(parts)
     # one edge from each class to its least partner, and from its other partners to that: as connected, and many classes agree on the latter
     edges = near.select("cls", "least").union(near.where("low <> least").select("low", "least")).distinct()
     clusters = materialise(connected_components(edges, "cls", "least").toDF("cls", "cluster"), "jaccard-clusters")
+    drop(near)
+    release(docs.sparkSession)
 
     large = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
     first = classes.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
@@ -368,7 +374,9 @@ def similar_classes(docs: DataFrame, k: int, percent: int, block: int = 1000) ->
         if group:
             yield done()
 
-    return classes, materialise(tasks.mapInArrow(run, "a long, b long"), "jaccard-links")
+    links = materialise(tasks.mapInArrow(run, "a long, b long"), "jaccard-links")
+    drop(clusters)
+    return classes, links
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
