@@ -21,6 +21,8 @@ from math import floor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cleave.session import materialise
+
 # Licence names, and the notices and texts that are looked for.
 TEMPLATES = {
     "Apache-2.0": (
@@ -103,6 +105,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, lea
     spans = found.select("doc_id", "which", "licence", "high", F.explode(F.transform(starts, lambda h: F.struct(h["pos"].alias("start"), best(h).alias("best")))).alias("s"))
     spans = spans.select("doc_id", "which", "licence", F.col("s.start").alias("start"), F.col("s.best.len").alias("len"), F.col("s.best.dice").alias("dice")).where(F.col("dice") >= least)
     spans = spans.groupBy("doc_id", "which", "licence", "start").agg(F.max(F.struct("dice", "len")).alias("x")).select("doc_id", "which", "licence", "start", F.col("x.len").alias("len"), F.col("x.dice").alias("dice"))
+    spans = materialise(spans, "licence-spans")  # few; each is compared with others below
     # of spans that overlap the better one stays; both stand in every tile that they touch
     tile = max(1, max((floor((2 - least) / least * len(body.split())) for _, _, body in rows), default=1))
     tiled = spans.withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("start") + F.col("len")) / tile))))
