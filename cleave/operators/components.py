@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleave.session import drop, materialise
+from cleave.session import drop, materialise, scratch_path
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -84,3 +84,49 @@ def core_numbers(g) -> DataFrame:  # noqa: ANN001
         if not changed:
             drop(arcs)
             return core
+
+
+def tree_blocks(g, roots: DataFrame) -> DataFrame:  # noqa: ANN001
+    """``id, parent, block, bridge`` of every vertex but the ``roots(id)``, one a component: its edge to the parent in a breadth-first tree, the biconnected block of that edge, and whether it is a bridge.
+
+    An edge outside the tree joins two vertices of one level or of neighbouring ones, and puts all tree edges on the way to where their
+    ancestors meet into one block.  So pairs of vertices of one level climb together, from the deepest level up: a pair's edges are of one block, and
+    the pair of the parents follows unless they are the same.  Rounds are as many as levels that have pairs; every pair is met once.
+    """
+    spark = g.edges.sparkSession
+    tree = materialise(bfs(g, roots), "blocks-tree")
+    up = lambda v, p, d: tree.select(F.col("id").alias(v), F.col("parent").alias(p), F.col("distance").alias(d))
+    e = g.edges.select("src", "dst").join(up("src", "p", "d"), "src").join(up("dst", "q", "k"), "dst").where("not p <=> dst and not q <=> src")
+    low = F.col("d") > F.col("k")  # the end that is a level deeper comes first
+    x, px, y = (F.when(low, F.col(a)).otherwise(F.col(b)) for a, b in (("src", "dst"), ("p", "q"), ("dst", "src")))
+    off = materialise(e.select(x.alias("x"), px.alias("px"), y.alias("y"), F.least("d", "k").alias("level"), (F.col("d") != F.col("k")).alias("uneven")), "blocks-off")
+    links = scratch_path(spark, "blocks-links")
+    off.where("uneven").select(F.col("x").alias("a"), F.col("px").alias("b")).distinct().write.parquet(links)
+    first = off.select(F.when(F.col("uneven"), F.col("px")).otherwise(F.col("x")).alias("x"), "y", "level").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "level").distinct()
+    first = materialise(first, "blocks-pairs")
+    drop(off)
+    todo = sorted(r[0] for r in first.select("level").distinct().collect())
+    pairs = None
+    level = todo[-1] if todo else 0
+    while todo or pairs is not None:
+        mine = first.where(F.col("level") == level).select("x", "y")
+        both = mine if pairs is None else mine.union(pairs).distinct() if todo and todo[-1] == level else pairs
+        if todo and todo[-1] == level:
+            todo.pop()
+        lifted = both.join(up("x", "px", "d").drop("d"), "x").join(up("y", "py", "d").drop("d"), "y")
+        lifted = materialise(lifted, "blocks-lifted")
+        apart = lifted.where("px <> py")
+        ways = F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("x").alias("a"), F.col("px").alias("b")), F.struct(F.col("y").alias("a"), F.col("py").alias("b")))
+        lifted.select(F.explode(F.when(F.col("px") == F.col("py"), F.slice(ways, 1, 1)).otherwise(ways)).alias("w")).select("w.a", "w.b").distinct().write.mode("append").parquet(links)
+        over = None
+        if apart.limit(1).count():
+            over = materialise(apart.select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y")).distinct(), "blocks-pairs")
+        drop(lifted)
+        if pairs is not None:
+            drop(pairs)
+        pairs = over
+        level = level - 1 if pairs is not None else todo[-1] if todo else 0
+    linked = spark.read.schema("a long, b long").parquet(links)
+    covered = connected_components(linked, "a", "b")
+    found = tree.where("parent is not null").join(covered, "id", "left")
+    return found.select("id", "parent", F.coalesce("component", "id").alias("block"), F.col("component").isNull().alias("bridge"))

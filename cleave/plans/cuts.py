@@ -13,7 +13,7 @@ from cleave.functions import kernels as K
 from cleave.functions import multicut as M
 from cleave.graph import Graph
 from cleave.operators import reduce as R
-from cleave.operators.components import all_components, connected_components
+from cleave.operators.components import all_components, connected_components, tree_blocks
 from cleave.operators.terminals import by_ids, reduced
 from cleave.operators.relational import compose, contract, degrees, edge_cut, induced, without_heavy
 from cleave.session import materialise
@@ -382,16 +382,27 @@ def multiterminal_value(g: Graph, terminals: list[int], **options: object) -> Da
     return each.agg(F.sum("v").alias("cut_value"), F.min("o").alias("is_optimal"))
 
 
-def structure(g: Graph) -> DataFrame:
-    """``kind, u, v``: articulation points (v null) and bridges, one group a component, whose size is checked."""
-    comp = components_checked(g)
-    e = g.edges.join(comp.select(F.col("id").alias("src"), "component"), "src").select("component", "src", "dst", "weight")
+def structure(g: Graph, most: int = KERNEL_VERTICES) -> DataFrame:
+    """``kind, u, v``: articulation points (v null) and bridges, one group a component; components above ``most`` vertices by joins, of all together."""
+    comp = materialise(all_components(g), "structure-components")
+    sizes = comp.groupBy("component").agg(F.count("*").alias("n"))
+    e = materialise(g.edges.join(comp.select(F.col("id").alias("src"), "component"), "src").join(sizes, "component").select("component", "n", "src", "dst", "weight"), "structure-edges")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         points, bridges = K.articulation_points(K.adjacency(pdf[["src", "dst", "weight"]].itertuples(index=False, name=None)))
         return pd.DataFrame([("point", u, None) for u in sorted(points)] + [("bridge", u, v) for u, v in sorted(bridges)], columns=["kind", "u", "v"])
 
-    return e.groupBy("component").applyInPandas(run, "kind string, u long, v long")
+    few = e.where(F.col("n") <= most).drop("n").groupBy("component").applyInPandas(run, "kind string, u long, v long")
+    large = e.where(F.col("n") > most)
+    if not large.limit(1).count():
+        return few
+    roots = large.select(F.col("component").alias("id")).distinct()
+    tree = materialise(tree_blocks(Graph.of(large.select("src", "dst", "weight")), roots), "structure-blocks")
+    around = tree.select(F.explode(F.array("id", "parent")).alias("u"), "block").groupBy("u").agg(F.min("block").alias("one"), F.max("block").alias("other"))
+    none = F.lit(None).cast("long")
+    points = around.where("one <> other").select(F.lit("point").alias("kind"), "u", none.alias("v"))
+    bridges = tree.where("bridge").select(F.lit("bridge").alias("kind"), F.least("id", "parent").alias("u"), F.greatest("id", "parent").alias("v"))
+    return few.union(points).union(bridges)
 
 
 def cliques(g: Graph) -> DataFrame:

@@ -1,11 +1,13 @@
 """Operators and formats on the fixtures, and the queries against their SQL."""
 
 import math
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from cleave.functions import kernels as K
 from cleave.graph import Graph
 from cleave.operators import components as C
 from cleave.operators import reduce as R
@@ -118,3 +120,19 @@ def test_queries_match_sql(spark, name):
     want = con.sql(f"SELECT {', '.join(cols)} FROM ({catalogue.SQL[name]})").fetchall()
     key = lambda r: tuple(str(round(x, 9) if isinstance(x, float) and not math.isnan(x) else x) for x in r)
     assert sorted(map(key, got.select(*cols).collect())) == sorted(map(key, want))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_articulation_by_joins(spark, seed):
+    rng = random.Random(seed)
+    edges = {(u, rng.randrange(max(0, u - 8) // 12 * 12, u)) for u in range(1, 24) if u != 12} | {tuple(rng.sample(range(12 * i, 12 * i + 12), 2)) for i in range(2) for _ in range(4)}
+    g = Graph.of(spark.createDataFrame([(u, v, 1) for u, v in edges], "src long, dst long, weight long"))
+    points, bridges = K.articulation_points(K.adjacency([tuple(r) for r in g.edges.collect()]))
+    want = {("point", u, None) for u in points} | {("bridge", u, v) for u, v in bridges}
+    got = [tuple(r) for r in cuts.structure(g, 2).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_articulation_of_a_large_star(spark):
+    star = Graph.of(spark.range(1, 6002).select(F.lit(0).alias("src"), F.col("id").alias("dst"), F.lit(1).alias("weight")))
+    assert {(r[0], r[1]) for r in cuts.structure(star).groupBy("kind").count().collect()} == {("point", 1), ("bridge", 6001)}
