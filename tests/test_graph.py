@@ -136,3 +136,11 @@ def test_articulation_by_joins(spark, seed):
 def test_articulation_of_a_large_star(spark):
     star = Graph.of(spark.range(1, 6002).select(F.lit(0).alias("src"), F.col("id").alias("dst"), F.lit(1).alias("weight")))
     assert {(r[0], r[1]) for r in cuts.structure(star).groupBy("kind").count().collect()} == {("point", 1), ("bridge", 6001)}
+
+
+def test_articulation_of_a_large_ring_with_leaves(spark):
+    e = [(0, 1), (1, 2), (2, 3), (0, 3)] + [(i % 4, i) for i in range(4, 5100)]
+    g = Graph.of(spark.createDataFrame([(u, v, 1) for u, v in e], "src long, dst long, weight long"))
+    got = cuts.structure(g)
+    assert rows(got.where("kind = 'point'").select("u")) == [(0,), (1,), (2,), (3,)]
+    assert rows(got.where("kind = 'bridge'").select("u", "v")) == sorted(e[4:])
