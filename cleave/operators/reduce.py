@@ -6,12 +6,17 @@ applied all at once for the value of a minimum cut below ``bound``; ``half_verti
 
 from __future__ import annotations
 
+from math import ceil, sqrt
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cleave.functions import kernels as K
 from cleave.graph import Graph
 from cleave.operators.relational import degrees
+from cleave.session import materialise
 
 
 def heavy_edges(g: Graph, bound: int) -> DataFrame:
@@ -58,6 +63,29 @@ def all_triangles(g: Graph) -> DataFrame:
     return t.select(corner[0].alias("a"), corner[1].alias("b"), corner[2].alias("c"), w(0, 1).alias("w_ab"), w(0, 2).alias("w_ac"), w(1, 2).alias("w_bc"))
 
 
+def triangle_totals(g: Graph, most: int = 1_000_000) -> DataFrame:
+    """``triangles, weight``: how many triangles there are and what their edges weigh together, no two neighbours of a vertex ever written as a pair.
+
+    Vertices are dealt into blocks by hash; a task has the edges between three blocks (some ``most`` of them, more around a vertex of huge degree) and
+    counts the triangles with a corner in each, so an edge is sent as many times as there are blocks.
+    """
+    e = materialise(g.edges.select("src", "dst", "weight"), "triangles")
+    k = max(1, ceil(sqrt(6 * e.count() / most)))
+    block = lambda v: F.pmod(F.xxhash64(v), F.lit(k)).cast("int")
+    dealt = e.withColumn("a", block("src")).withColumn("b", block("dst")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    three = F.sort_array(F.array("a", "b", "c"))
+    dealt = dealt.select("src", "dst", "weight", (F.col("a") * k + F.col("b")).alias("ab"), ((three[0] * k + three[1]) * k + three[2]).alias("three"))  # few columns: every edge is sent k times
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        three, ab = int(key[0]), pdf["ab"]
+        edges = (pdf["src"].tolist(), (ab // k).tolist(), pdf["dst"].tolist(), (ab % k).tolist(), pdf["weight"].tolist())
+        number, weight = K.triangle_totals(edges, (three // k // k, three // k % k, three % k))
+        return pd.DataFrame([(number, weight)] if number else [], columns=["triangles", "weight"])
+
+    each = dealt.groupBy("three").applyInPandas(run, "triangles long, weight long")
+    return each.agg(F.coalesce(F.sum("triangles"), F.lit(0)).alias("triangles"), F.sum("weight").alias("weight"))
+
+
 def common_neighbours(g: Graph, bound: int) -> DataFrame:
     """Edges whose weight and common neighbours' smaller weights reach ``bound`` together."""
     t = all_triangles(g)

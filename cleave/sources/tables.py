@@ -59,7 +59,7 @@ def part_supplier(spark: SparkSession, sf_dir: str) -> Graph:
 
 def supplier_coorder(spark: SparkSession, sf_dir: str) -> Graph:
     """Suppliers on the same order (an order has a handful of lines)."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()  # noqa: E741
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").repartition("l_orderkey").distinct()  # noqa: E741  one shuffle, for the join too
     r = l.select("l_orderkey", F.col("l_suppkey").alias("dst"))
     return Graph.of(l.join(r, "l_orderkey").where("l_suppkey < dst").select(F.col("l_suppkey").alias("src"), "dst", F.lit(1).alias("weight")))
 

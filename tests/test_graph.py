@@ -144,3 +144,23 @@ def test_articulation_of_a_large_ring_with_leaves(spark):
     got = cuts.structure(g)
     assert rows(got.where("kind = 'point'").select("u")) == [(0,), (1,), (2,), (3,)]
     assert rows(got.where("kind = 'bridge'").select("u", "v")) == sorted(e[4:])
+
+
+def test_triangle_totals(spark):
+    rng = random.Random(1)
+    for n, p in ((30, 0.4), (400, 0.012)):
+        e = [(u, v, rng.randint(1, 9)) for u in range(n) for v in range(u) if rng.random() < p]
+        g = Graph.of(spark.createDataFrame(e, "src long, dst long, weight long"))
+        t = R.all_triangles(g).agg(F.count("*"), F.sum(F.expr("w_ab + w_ac + w_bc"))).first()
+        for most in (10**6, len(e), len(e) // 4):  # 1, 3 and 5 blocks
+            assert tuple(R.triangle_totals(g, most).first()) == tuple(t)
+    none = Graph.of(spark.createDataFrame([(0, 1, 1)], "src long, dst long, weight long"))
+    assert tuple(R.triangle_totals(none).first()) == (0, None)
+
+
+def test_triangle_totals_write_no_pairs(spark, monkeypatch):
+    from cleave.sources import tables as T
+
+    monkeypatch.setattr(R, "all_triangles", lambda g: pytest.fail("the query lists the triangles"))
+    monkeypatch.setattr(T, "table", lambda s, d, n: spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1), (2, 2)], "l_orderkey long, l_suppkey long"))
+    assert tuple(catalogue.QUERIES["triangles_suppliers"](spark, "").first()) == (1, 4)
