@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import pandas as pd
@@ -410,61 +410,82 @@ def cliques(g: Graph) -> DataFrame:
     return in_one_group(g, lambda a: [(",".join(map(str, c)),) for c in K.maximal_cliques(a)], "members string")
 
 
-def replay(updates: DataFrame, edges: DataFrame | None = None, one_by_one: bool = False) -> DataFrame:
-    """``ts, cut_value, changes`` after each timestamp's updates ``(seq, src, dst, delta, ts)``, in the order of (ts, seq).
-
-    ``graph`` groups separate streams where the column exists.  ``one_by_one`` gives a row for every update.  Start graphs
-    of more than 20 * KERNEL_VERTICES edges are refused.
-    """
-    rows = updates if "graph" in updates.columns else updates.withColumn("graph", F.lit(0).cast("long"))
-    rows = rows.select("graph", "ts", "seq", "src", "dst", "delta")
+def _start(edges: DataFrame | None) -> list[tuple]:
     most = KERNEL_VERTICES * 20
     start = [] if edges is None else [tuple(r) for r in edges.select("src", "dst", "weight").limit(most + 1).collect()]
     if len(start) > most:
         raise ValueError(f"the start graph has more than {most} edges; it can't be replayed in one group")
-    ts = rows.schema["ts"].dataType.simpleString()
+    return start
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        d, out, changes = K.DynamicCut(start), [], 0
-        before = d.value
-        for t, part in pdf.sort_values(["ts", "seq"]).groupby("ts", sort=True):
-            for r in part.itertuples(index=False):
-                now = d.insert(r.src, r.dst, r.delta) if r.delta > 0 else d.delete(r.src, r.dst)
-                changes += now != before
-                before = now
-                if one_by_one:
-                    out.append((key[0], t, r.seq, now, changes))
-            if not one_by_one:
-                out.append((key[0], t, part["seq"].max(), d.value, changes))
-        return pd.DataFrame(out, columns=["graph", "ts", "seq", "cut_value", "changes"])
-
-    return rows.groupBy("graph").applyInPandas(run, f"graph long, ts {ts}, seq long, cut_value long, changes long")
+
+def _in_order(updates: DataFrame) -> DataFrame:
+    """The updates sorted within one partition a stream, for a task that reads them batch by batch."""
+    rows = updates if "graph" in updates.columns else updates.withColumn("graph", F.lit(0).cast("long"))
+    return rows.select("graph", "ts", "seq", "src", "dst", "delta").repartition("graph").sortWithinPartitions("graph", F.asc_nulls_last("ts"), "seq")
+
+
+def replay(updates: DataFrame, edges: DataFrame | None = None, one_by_one: bool = False) -> DataFrame:
+    """``ts, cut_value, changes`` after each timestamp's updates ``(seq, src, dst, delta, ts)``, in the order of (ts, seq).
+
+    ``graph`` groups separate streams where the column exists; each is read once, in batches.  ``one_by_one`` gives a row for every update.  Start graphs
+    of more than 20 * KERNEL_VERTICES edges are refused.
+    """
+    start = _start(edges)
+    names = ["graph", "ts", "seq", "cut_value", "changes"]
+    ts = updates.schema["ts"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph, last = None, None  # the stream at hand, and the row of its timestamp at hand
+        for pdf in batches:
+            out = []
+            for (key, t), part in pdf.groupby(["graph", "ts"], sort=False):
+                if graph != key:
+                    graph, d, changes = key, K.DynamicCut(start), 0
+                    before = d.value
+                if last is not None and last[:2] != (key, t):
+                    out.append(last)
+                for seq, src, dst, delta in zip(*(part[c].tolist() for c in ("seq", "src", "dst", "delta")), strict=True):
+                    now = d.insert(src, dst, delta) if delta > 0 else d.delete(src, dst)
+                    changes += now != before
+                    before = now
+                    if one_by_one:
+                        out.append((key, t, seq, now, changes))
+                last = None if one_by_one else (key, t, part["seq"].max(), d.value, changes)
+            yield pd.DataFrame(out, columns=names)
+        if last is not None:
+            yield pd.DataFrame([last], columns=names)
+
+    return _in_order(updates).where("ts is not null").mapInPandas(run, f"graph long, ts {ts}, seq long, cut_value long, changes long")
 
 
 def replay_totals(updates: DataFrame, edges: DataFrame | None = None, seconds: float = 3600.0) -> DataFrame:
     """``graph, inserts, deletes, changes, solves, cut_value, timed_out``: one row a stream; what is left after ``seconds`` is not applied."""
     import time
 
-    rows = updates if "graph" in updates.columns else updates.withColumn("graph", F.lit(0).cast("long"))
-    most = KERNEL_VERTICES * 20
-    start = [] if edges is None else [tuple(r) for r in edges.select("src", "dst", "weight").limit(most + 1).collect()]
-    if len(start) > most:
-        raise ValueError(f"the start graph has more than {most} edges; it can't be replayed in one group")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        stop, d = time.monotonic() + seconds, K.DynamicCut(start)
-        inserts = deletes = changes = 0
-        before, late = d.value, False
-        for r in pdf.sort_values(["ts", "seq"]).itertuples(index=False):
-            if time.monotonic() > stop:
-                late = True
-                break
-            if r.delta > 0:
-                now, inserts = d.insert(r.src, r.dst, r.delta), inserts + 1
-            else:
-                now, deletes = d.delete(r.src, r.dst), deletes + 1
-            changes += now != before
-            before = now
-        return pd.DataFrame([(key[0], inserts, deletes, changes, d.solves, d.value, late)], columns=["graph", "inserts", "deletes", "changes", "solves", "cut_value", "timed_out"])
-
-    return rows.select("graph", "ts", "seq", "src", "dst", "delta").groupBy("graph").applyInPandas(run, "graph long, inserts long, deletes long, changes long, solves long, cut_value long, timed_out boolean")
+    start = _start(edges)
+    names = ["graph", "inserts", "deletes", "changes", "solves", "cut_value", "timed_out"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = d = None
+        for pdf in batches:
+            for key, part in pdf.groupby("graph", sort=False):
+                if graph != key:
+                    if d is not None:
+                        yield pd.DataFrame([(graph, inserts, deletes, changes, d.solves, d.value, late)], columns=names)
+                    stop, graph, d = time.monotonic() + seconds, key, K.DynamicCut(start)
+                    inserts = deletes = changes = 0
+                    before, late = d.value, False
+                for src, dst, delta in zip(*(part[c].tolist() for c in ("src", "dst", "delta")), strict=True):
+                    if late or time.monotonic() > stop:
+                        late = True
+                        break
+                    if delta > 0:
+                        now, inserts = d.insert(src, dst, delta), inserts + 1
+                    else:
+                        now, deletes = d.delete(src, dst), deletes + 1
+                    changes += now != before
+                    before = now
+        if d is not None:
+            yield pd.DataFrame([(graph, inserts, deletes, changes, d.solves, d.value, late)], columns=names)
+
+    return _in_order(updates).mapInPandas(run, "graph long, inserts long, deletes long, changes long, solves long, cut_value long, timed_out boolean")

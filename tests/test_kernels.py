@@ -120,3 +120,32 @@ def test_clusters():
     for size in (5, 10):
         e = [(size * c + i, size * c + j, 1) for c in range(4) for i in range(size) for j in range(i)] + [(size * a, size * b, 1) for a in range(4) for b in range(a)]
         assert K.multiterminal(K.adjacency(e), [size * c + 1 for c in range(4)])[0] == 6
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_near_cuts(seed):
+    _, g = random_graph(random.Random(seed))
+    value = least(g)[0]
+    if value:
+        for below in (value + 1, 2 * value):
+            assert set(K.near_cuts(g, below, 10**6)) == {s for c, s in every_cut(g) if c < below}
+        assert K.near_cuts(g, value + 1, 1) is None
+
+
+@pytest.mark.parametrize("search", [K.DynamicCut.SEARCH, (0, 0, 0), (200, 40, 5)])
+def test_long_stream_equals_static(search, monkeypatch):
+    monkeypatch.setattr(K.DynamicCut, "SEARCH", search, raising=False)
+    rng, d = random.Random(3), K.DynamicCut()
+    for k in range(1500):
+        u, v, w = rng.randrange(3), 10 + rng.randrange(5), rng.randint(1, 2)
+        d.delete(u, v) if rng.random() < (0.25 if k < 900 else 0.6) else d.insert(u, v, w)
+        if len(d.vertices) > 1:
+            assert d.value == least(d.graph())[0], k
+
+
+def test_stream_of_heavy_traffic_needs_few_solves():
+    rng, d = random.Random(4), K.DynamicCut()
+    for _ in range(20_000):
+        u, v = rng.randrange(5), 10 + rng.randrange(24)
+        d.delete(u, v) if rng.random() < 0.2 else d.insert(u, v, 1)
+    assert d.solves < 1000
