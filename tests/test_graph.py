@@ -190,3 +190,14 @@ def test_replay_over_batches_and_streams(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     # before the second vertex there is no value, which a frame holds as NaN
     assert got == want and len(got_each) == len(each) and got_each[-50:] == each[-50:] and got_totals == totals
+
+
+def test_replay_totals_of_a_long_stream(spark):
+    u = spark.range(20_000).select(
+        F.col("id").alias("seq"), (F.pmod(F.xxhash64("id"), F.lit(5))).alias("src"), (10 + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(24))).alias("dst"),
+        F.when(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(5)) == 0, -1).otherwise(1).cast("long").alias("delta"), F.col("id").alias("ts"),
+    )
+    got = cuts.replay_totals(u).first()
+    deletes = u.where("delta < 0").count()
+    assert (got["inserts"], got["deletes"], got["timed_out"]) == (20_000 - deletes, deletes, False)
+    assert got["solves"] < 1000  # one for each deletion before
