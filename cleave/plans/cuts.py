@@ -418,10 +418,19 @@ def _start(edges: DataFrame | None) -> list[tuple]:
     return start
 
 
-def _in_order(updates: DataFrame) -> DataFrame:
-    """The updates sorted within one partition a stream, for a task that reads them batch by batch."""
+def _in_order(updates: DataFrame, met: bool = False) -> DataFrame:
+    """The updates sorted within one partition a stream, for a task that reads them batch by batch.
+
+    An update with a null end has no edge: its ends become a loop, which changes nothing.  With ``met`` a first row that is not ``real`` lets the one
+    stream of a frame without ``graph`` be met even if it is empty.
+    """
     rows = updates if "graph" in updates.columns else updates.withColumn("graph", F.lit(0).cast("long"))
-    return rows.select("graph", "ts", "seq", "src", "dst", "delta").repartition("graph").sortWithinPartitions("graph", F.asc_nulls_last("ts"), "seq")
+    known = F.col("src").isNotNull() & F.col("dst").isNotNull()
+    rows = rows.select("graph", "ts", "seq", *(F.when(known, F.col(c)).otherwise(0).alias(c) for c in ("src", "dst")), "delta", F.lit(True).alias("real"))
+    if met and "graph" not in updates.columns:
+        nothing = {"graph": F.lit(0), "src": F.lit(0), "dst": F.lit(0), "delta": F.lit(0), "real": F.lit(False)}
+        rows = rows.union(updates.sparkSession.range(1).select(*(nothing.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema)))
+    return rows.repartition("graph").sortWithinPartitions("graph", F.asc_nulls_last("ts"), "seq")
 
 
 def replay(updates: DataFrame, edges: DataFrame | None = None, one_by_one: bool = False) -> DataFrame:
@@ -455,11 +464,14 @@ def replay(updates: DataFrame, edges: DataFrame | None = None, one_by_one: bool
         if last is not None:
             yield pd.DataFrame([last], columns=names)
 
-    return _in_order(updates).where("ts is not null").mapInPandas(run, f"graph long, ts {ts}, seq long, cut_value long, changes long")
+    return _in_order(updates).where("ts is not null").drop("real").mapInPandas(run, f"graph long, ts {ts}, seq long, cut_value long, changes long")
 
 
 def replay_totals(updates: DataFrame, edges: DataFrame | None = None, seconds: float = 3600.0) -> DataFrame:
-    """``graph, inserts, deletes, changes, solves, cut_value, timed_out``: one row a stream; what is left after ``seconds`` is not applied."""
+    """``graph, inserts, deletes, changes, solves, cut_value, timed_out``: one row a stream, even for one of no updates; what is left after ``seconds`` is not applied.
+
+    Updates with a null end or ``ts`` are counted; those with a null end change nothing.
+    """
     import time
 
     start = _start(edges)
@@ -475,6 +487,7 @@ def replay_totals(updates: DataFrame, edges: DataFrame | None = None, seconds: f
                     stop, graph, d = time.monotonic() + seconds, key, K.DynamicCut(start)
                     inserts = deletes = changes = 0
                     before, late = d.value, False
+                part = part[part["real"]]
                 for src, dst, delta in zip(*(part[c].tolist() for c in ("src", "dst", "delta")), strict=True):
                     if late or time.monotonic() > stop:
                         late = True
@@ -488,4 +501,4 @@ def replay_totals(updates: DataFrame, edges: DataFrame | None = None, seconds: f
         if d is not None:
             yield pd.DataFrame([(graph, inserts, deletes, changes, d.solves, d.value, late)], columns=names)
 
-    return _in_order(updates).mapInPandas(run, "graph long, inserts long, deletes long, changes long, solves long, cut_value long, timed_out boolean")
+    return _in_order(updates, True).mapInPandas(run, "graph long, inserts long, deletes long, changes long, solves long, cut_value long, timed_out boolean")

@@ -201,3 +201,16 @@ def test_replay_totals_of_a_long_stream(spark):
     deletes = u.where("delta < 0").count()
     assert (got["inserts"], got["deletes"], got["timed_out"]) == (20_000 - deletes, deletes, False)
     assert got["solves"] < 1000  # one for each deletion before
+
+
+def test_replay_totals_of_events_without_a_time_and_of_none(spark, tmp_path):
+    e = [(i, f"2024-01-01 {i % 3:02}:00:00" if i % 4 else None, "error" if i == 9 else "ab"[i % 2]) for i in range(60)]
+    for name, some in (("some", e), ("none", [])):
+        (tmp_path / name).mkdir()
+        spark.createDataFrame(some, "event_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        got = catalogue.QUERIES["replay_totals"](spark, f"{tmp_path}/{name}")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/{name}/events.parquet/*.parquet'")
+        assert rows(got) == con.execute(catalogue.SQL["replay_totals"]).fetchall()
+    u = spark.createDataFrame([(1, 1, 2, 5, 1), (2, 2, None, 7, None), (3, None, 3, -1, 2), (4, 2, 2**53 + 1, 3, 3), (5, 2**53 + 1, 1, 1, 3)], "seq long, src long, dst long, delta long, ts long")
+    assert tuple(cuts.replay_totals(u).first())[1:4] + (cuts.replay_totals(u).first()["cut_value"],) == (4, 1, 3, 4)

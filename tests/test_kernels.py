@@ -149,3 +149,20 @@ def test_stream_of_heavy_traffic_needs_few_solves():
         u, v = rng.randrange(5), 10 + rng.randrange(24)
         d.delete(u, v) if rng.random() < 0.2 else d.insert(u, v, 1)
     assert d.solves < 1000
+
+
+def test_dynamic_apart_makes_few_solves():
+    rng = random.Random(6)
+    d = K.DynamicCut()
+    for i in range(600):
+        s = rng.randrange(4)
+        u, v = (s, 100 + 12 * (s % 2) + rng.randrange(12)) if i % 100 else (0, 101 + 12)  # two parts, joined and parted again
+        if i % 100 == 1:
+            u, v = 0, 101 + 12
+        if i % 100 == 1 or rng.random() < 0.2 and i % 100:
+            d.delete(u, v)
+        else:
+            d.insert(u, v, rng.randint(1, 3))
+        g = d.graph()
+        assert d.value == (None if len(g) < 2 else K.noi(g)[0] if len(K.components(g)) == 1 else 0)
+    assert d.solves < 60  # one for each insertion before
