@@ -146,6 +146,17 @@ def test_articulation_of_a_large_ring_with_leaves(spark):
     assert rows(got.where("kind = 'bridge'").select("u", "v")) == sorted(e[4:])
 
 
+def test_articulation_ring_of_a_whole_table_above_the_kernel(spark):
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    for name in ("customer", "nation", "region"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    want = con.execute(catalogue.SQL["articulation_ring"]).fetchall()
+    assert len(want) > cuts.KERNEL_VERTICES  # one component holds all
+    got = [tuple(r) for r in catalogue.QUERIES["articulation_ring"](spark, sf).select("kind", "u", "v").collect()]
+    assert len(got) == len(want) and set(got) == set(want)
+
+
 def test_triangle_totals(spark):
     rng = random.Random(1)
     for n, p in ((30, 0.4), (400, 0.012)):
