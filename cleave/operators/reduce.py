@@ -6,17 +6,19 @@ applied all at once for the value of a minimum cut below ``bound``; ``half_verti
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil, sqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cleave.functions import kernels as K
+from cleave.functions import triangles as N
 from cleave.graph import Graph
 from cleave.operators.relational import degrees
-from cleave.session import materialise
+from cleave.session import bounded_batches, materialise
 
 
 def heavy_edges(g: Graph, bound: int) -> DataFrame:
@@ -63,26 +65,86 @@ def all_triangles(g: Graph) -> DataFrame:
     return t.select(corner[0].alias("a"), corner[1].alias("b"), corner[2].alias("c"), w(0, 1).alias("w_ab"), w(0, 2).alias("w_ac"), w(1, 2).alias("w_bc"))
 
 
-def triangle_totals(g: Graph, most: int = 1_000_000) -> DataFrame:
-    """``triangles, weight``: how many triangles there are and what their edges weigh together, no two neighbours of a vertex ever written as a pair.
-
-    Vertices are dealt into blocks by hash; a task has the edges between three blocks (some ``most`` of them, more around a vertex of huge degree) and
-    counts the triangles with a corner in each, so an edge is sent as many times as there are blocks.
-    """
+def triangle_totals(g: Graph, most: int = 8_000_000) -> DataFrame:
+    """``triangles, weight``: how many triangles there are and what their edges weigh together, no two neighbours of a vertex ever written as a pair."""
     e = materialise(g.edges.select("src", "dst", "weight"), "triangles")
     k = max(1, ceil(sqrt(6 * e.count() / most)))
-    block = lambda v: F.pmod(F.xxhash64(v), F.lit(k)).cast("int")
-    dealt = e.withColumn("a", block("src")).withColumn("b", block("dst")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    three = F.sort_array(F.array("a", "b", "c"))
-    dealt = dealt.select("src", "dst", "weight", (F.col("a") * k + F.col("b")).alias("ab"), ((three[0] * k + three[1]) * k + three[2]).alias("three"))  # few columns: every edge is sent k times
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _joined(batches):
+            u, v, w = (pdf[c].to_numpy() for c in ("src", "dst", "weight"))
+            yield pd.DataFrame(N.deal(u, v, w, N.block(u, k), N.block(v, k), k), columns=["two", "u", "v", "w"])
+
+    return _block_totals(e.mapInPandas(deal, "two int, u binary, v binary, w binary"), k)
+
+
+def shared_triangle_totals(rows: DataFrame, most: int = 8_000_000) -> DataFrame:
+    """:func:`triangle_totals` of the graph whose vertices are the ``member`` s of ``rows(group, member)``; an edge weighs how many groups hold both its ends.
+
+    Groups come whole into one task each (a large one's members, not its pairs), are kept as arrays in the shared folder, and their pairs are made and summed there
+    in arrays, a few million at a time.
+    """
+    rows = rows.select(F.col("group").cast("long").alias("group"), F.col("member").cast("long").alias("member")).where("group is not null and member is not null")
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = member = np.zeros(0, np.int64)
+        for pdf in _joined(batches):
+            group, member = N.sorted_groups(np.concatenate([group, pdf["group"].to_numpy()]), np.concatenate([member, pdf["member"].to_numpy()]))
+        size = N.sizes(group)
+        if len(size):
+            yield pd.DataFrame({"member": [member.tobytes()], "size": [size.tobytes()], "pairs": [int((size * (size - 1) // 2).sum())]})
+
+    parts = max(ceil(rows.count() / 500_000), 1)
+    groups = materialise(rows.repartition(parts, "group").mapInPandas(gather, "member binary, size binary, pairs long"), "triangles-groups")
+    k = max(1, ceil(sqrt(6 * (groups.agg(F.sum("pairs")).first()[0] or 0) / most)))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for member, size in zip(pdf["member"], pdf["size"], strict=True):
+                m = N.ints(member)
+                a = N.block(m, k)
+                for i, j in N.pairs(m, N.ints(size)):
+                    yield pd.DataFrame(N.deal(m[i], m[j], None, a[i], a[j], k), columns=["two", "u", "v", "w"])
+
+    return _block_totals(groups.select("member", "size").mapInPandas(deal, "two int, u binary, v binary, w binary"), k)
+
+
+def _joined(batches: Iterator[pd.DataFrame], most: int = 1_000_000) -> Iterator[pd.DataFrame]:
+    """Batches put together, to ``most`` rows or a batch more."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= most:
+            yield pd.concat(held)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held)
+
+
+def _block_totals(dealt: DataFrame, k: int) -> DataFrame:
+    """``triangles, weight`` of edges that are ``dealt(two, u, v, w)`` as arrays by the pair of their ends' ``k`` blocks; without ``w`` edges weigh one, parallel ones are summed.
+
+    Vertices are dealt into blocks by hash.  A task sums the edges between two blocks; a task has the edges between three (some ``most``, more around a vertex of
+    huge degree) and counts the triangles with a corner in each.  Edges are sent as many times as there are blocks, packed, a row for all of two blocks.
+    """
+    bounded_batches(dealt.sparkSession)
+
+    def tie(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, v = (N.ints(b"".join(pdf[c])) for c in "uv")
+        w = np.concatenate([N.ints(w) if len(w) else np.ones(len(u) // 8, np.int64) for u, w in zip(pdf["u"], pdf["w"], strict=True)])
+        return pd.DataFrame([(*divmod(int(pdf["two"].iloc[0]), k), *N.tie(u, v, w))], columns=names)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        three, ab = int(key[0]), pdf["ab"]
-        edges = (pdf["src"].tolist(), (ab // k).tolist(), pdf["dst"].tolist(), (ab % k).tolist(), pdf["weight"].tolist())
-        number, weight = K.triangle_totals(edges, (three // k // k, three // k % k, three % k))
-        return pd.DataFrame([(number, weight)] if number else [], columns=["triangles", "weight"])
+        three = int(key[0])
+        found = N.totals((three // k // k, three // k % k, three % k), {(r[0], r[1]): r[2:] for r in pdf[names].itertuples(index=False, name=None)})
+        return pd.DataFrame([found] if found[0] else [], columns=["triangles", "weight"])
 
-    each = dealt.groupBy("three").applyInPandas(run, "triangles long, weight long")
+    names = ["a", "b", "us", "vs", "n", "at", "wide", "w", "heavy"]
+    tied = dealt.groupBy("two").applyInPandas(tie, "a int, b int, us binary, vs binary, n binary, at binary, wide int, w binary, heavy int")
+    sent = tied.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    three = F.sort_array(F.array("a", "b", "c"))
+    each = sent.select(*names, ((three[0] * k + three[1]) * k + three[2]).alias("three")).groupBy("three").applyInPandas(run, "triangles long, weight long")
     return each.agg(F.coalesce(F.sum("triangles"), F.lit(0)).alias("triangles"), F.sum("weight").alias("weight"))
 
 

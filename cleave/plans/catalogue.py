@@ -203,7 +203,7 @@ _simple("graph_centre", T.customer_nation, A.centre, f"WITH {FOREST}, c AS (SELE
 query("certified_clusters", f"WITH RECURSIVE {NATION}, {BL}, ab AS (SELECT src AS id, b1 AS block, b2 AS other, weight FROM eb UNION ALL SELECT dst, b2, b1, weight FROM eb), g AS (SELECT id FROM ab GROUP BY id HAVING sum(CASE WHEN block <> other THEN weight ELSE 0 END) > sum(CASE WHEN block = other THEN weight ELSE 0 END)), i AS (SELECT src, dst FROM eb WHERE b1 = b2 AND src NOT IN (SELECT id FROM g) AND dst NOT IN (SELECT id FROM g)), i2 AS (SELECT src, dst FROM i UNION SELECT dst, src FROM i), reach AS (SELECT id, id AS near FROM v UNION SELECT reach.id, i2.dst FROM reach JOIN i2 ON i2.src = reach.near) SELECT id, min(near) AS cluster FROM reach GROUP BY id")(lambda s, d: A.certified_clusters(_kept(T.nation_trade(s, d), "nations"), _blocks(s, d)))
 _simple("semi_isolated_cliques", lambda s, d: _kept(T.market(s, d), "market"), A.semi_isolated_cliques, f"WITH {MARKET}, {DEG} SELECT src || ',' || dst AS members, CAST(a.weighted + b.weighted - 2 * weight AS BIGINT) AS external FROM e JOIN deg a ON src = a.id JOIN deg b ON dst = b.id WHERE a.weighted + b.weighted - 2 * weight <= 2 * weight")
 _simple("label_prop_two_rounds", T.customer_supplier, lambda g: R.label_propagation(g, 2), f"WITH {CUSTOMER_SUPPLIER}, {ARCS}, a1 AS (SELECT src AS id, dst AS label, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM arcs), l1 AS (SELECT id, label FROM a1 WHERE k = 1), b1 AS (SELECT src AS id, label, sum(weight) AS w FROM arcs JOIN l1 ON dst = l1.id GROUP BY 1, 2), a2 AS (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY w DESC, label) AS k FROM b1) SELECT id, label FROM a2 WHERE k = 1")
-_simple("triangles_suppliers", T.supplier_coorder, R.triangle_totals, "WITH l AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), e AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*) AS weight FROM l a JOIN l b USING (l_orderkey) WHERE a.l_suppkey < b.l_suppkey GROUP BY 1, 2) SELECT count(*) AS triangles, CAST(sum(x.weight + y.weight + z.weight) AS BIGINT) AS weight FROM e x JOIN e y ON x.dst = y.src JOIN e z ON z.src = x.src AND z.dst = y.dst")
+query("triangles_suppliers", "WITH l AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), e AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*) AS weight FROM l a JOIN l b USING (l_orderkey) WHERE a.l_suppkey < b.l_suppkey GROUP BY 1, 2) SELECT count(*) AS triangles, CAST(sum(x.weight + y.weight + z.weight) AS BIGINT) AS weight FROM e x JOIN e y ON x.dst = y.src JOIN e z ON z.src = x.src AND z.dst = y.dst")(lambda s, d: R.shared_triangle_totals(T.supplier_orders(s, d)))
 query("overlay_stream")(lambda s, d: A.overlay_stream(_kept(T.nation_trade(s, d), "nations"), 1, 5)[1])
 query("augmenting_stream")(lambda s, d: A.augmenting_stream(_kept(T.market(s, d), "market"), 5, 3))
 query("core_cuts")(lambda s, d: A.core_cuts(_kept(T.nation_trade(s, d), "nations"), [5, 10, 20]))

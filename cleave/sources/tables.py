@@ -57,11 +57,9 @@ def part_supplier(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.of(table(spark, sf_dir, "lineitem").select((2 * F.col("l_partkey") + 1).alias("src"), (2 * F.col("l_suppkey")).alias("dst"), F.lit(1).alias("weight")))
 
 
-def supplier_coorder(spark: SparkSession, sf_dir: str) -> Graph:
-    """Suppliers on the same order (an order has a handful of lines)."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").repartition("l_orderkey").distinct()  # noqa: E741  one shuffle, for the join too
-    r = l.select("l_orderkey", F.col("l_suppkey").alias("dst"))
-    return Graph.of(l.join(r, "l_orderkey").where("l_suppkey < dst").select(F.col("l_suppkey").alias("src"), "dst", F.lit(1).alias("weight")))
+def supplier_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``group, member``: orders and the suppliers on them (an order has a handful of lines)."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group"), F.col("l_suppkey").alias("member"))
 
 
 def customer_nation(spark: SparkSession, sf_dir: str) -> Graph:

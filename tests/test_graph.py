@@ -4,10 +4,12 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cleave.functions import kernels as K
+from cleave.functions import triangles as N
 from cleave.graph import Graph
 from cleave.operators import components as C
 from cleave.operators import reduce as R
@@ -177,6 +179,38 @@ def test_triangle_totals_write_no_pairs(spark, monkeypatch):
     assert tuple(catalogue.QUERIES["triangles_suppliers"](spark, "").first()) == (1, 4)
 
 
+def test_triangles_suppliers_keeps_pairs_in_arrays(spark, monkeypatch):
+    from cleave.sources import tables as T
+
+    rng = random.Random(3)
+    lines = [(rng.randrange(200), rng.randrange(-40, 40)) for _ in range(900)] + [(500, s) for s in range(30, 90)] + [(None, 1), (7, None), (7, 2), (7, 2)]
+    df = spark.createDataFrame(lines, "l_orderkey long, l_suppkey long")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE lineitem (l_orderkey BIGINT, l_suppkey BIGINT)")
+    con.executemany("INSERT INTO lineitem VALUES (?, ?)", lines)
+    want = con.execute(catalogue.SQL["triangles_suppliers"]).fetchall()[0]
+    monkeypatch.setattr(T, "table", lambda s, d, n: df)
+    monkeypatch.setattr(Graph, "of", lambda *a: pytest.fail("the query makes a row of every pair"))
+    assert tuple(catalogue.QUERIES["triangles_suppliers"](spark, "").first()) == want
+    for most in (4000, 400):  # 3 blocks and more
+        assert tuple(R.shared_triangle_totals(T.supplier_orders(spark, ""), most).first()) == want
+    assert tuple(R.shared_triangle_totals(df.limit(0).toDF("group", "member")).first()) == (0, None)
+
+
+@pytest.mark.parametrize("n, p", [(150, 0.3), (150, 0.02), (3000, 0.001)])
+def test_common_neighbours_by_bits_and_look_ups(n, p):
+    rng = np.random.default_rng(2)
+    m = np.triu(rng.random((n, n)) < p, 1)
+    m |= m.T
+    u, v = np.nonzero(np.triu(m))
+    near = N.Near(*np.nonzero(m), n, n)
+    want = (m[u] & m[v]).sum(axis=1)
+    starts = np.append(np.flatnonzero(np.append(True, u[1:] != u[:-1])), len(u))
+    assert want.any() and (N.common(u, v, near, near) == want).all()
+    assert (N._by_bits(u, v, starts, near, near) == want).all()
+    assert (N._by_look_up(u, v, np.minimum(near.n[u], near.n[v]), near, near) == want).all()
+
+
 def test_replay_over_batches_and_streams(spark):
     rng = random.Random(5)
     rows_ = [(g, t, 20 * t + i, rng.randrange(3), 5 + rng.randrange(3), rng.choice((1, 1, 2, -1))) for g in (1, 2, 3) for t in range(4) for i in range(7)]
